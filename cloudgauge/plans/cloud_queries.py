@@ -41,15 +41,15 @@ FLAT = """SELECT CAST(l_suppkey AS VARCHAR) AS cloud_id, l_quantity AS x, l_exte
 WITH points AS ({FLAT}), cells AS (
   SELECT cloud_id, FLOOR(x / 5.0) kx, FLOOR(y / 5.0) ky, FLOOR(z / 5.0) kz, AVG(x) x, AVG(y) y, AVG(z) z
   FROM points WHERE x BETWEEN 5 AND 45 GROUP BY ALL)
-SELECT cloud_id, COUNT(*) AS n, ROUND(MIN(x), 9) AS min_x, ROUND(MAX(x), 9) AS max_x, ROUND(AVG(x), 9) AS mean_x,
-  ROUND(MIN(y), 9) AS min_y, ROUND(MAX(y), 9) AS max_y, ROUND(AVG(y), 9) AS mean_y,
-  ROUND(MIN(z), 9) AS min_z, ROUND(MAX(z), 9) AS max_z, ROUND(AVG(z), 9) AS mean_z,
-  ROUND(MAX(x) - MIN(x), 9) AS size_x, ROUND(MAX(y) - MIN(y), 9) AS size_y, ROUND(MAX(z) - MIN(z), 9) AS size_z
+SELECT cloud_id, COUNT(*) AS n, ROUND(MIN(x), 6) AS min_x, ROUND(MAX(x), 6) AS max_x, ROUND(AVG(x), 6) AS mean_x,
+  ROUND(MIN(y), 6) AS min_y, ROUND(MAX(y), 6) AS max_y, ROUND(AVG(y), 6) AS mean_y,
+  ROUND(MIN(z), 6) AS min_z, ROUND(MAX(z), 6) AS max_z, ROUND(AVG(z), 6) AS mean_z,
+  ROUND(MAX(x) - MIN(x), 6) AS size_x, ROUND(MAX(y) - MIN(y), 6) AS size_y, ROUND(MAX(z) - MIN(z), 6) AS size_z
 FROM cells GROUP BY cloud_id""")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean, crop, down-sample and summarise every cloud."""
     cells = cloud.voxel_downsample(cloud.pass_through(recipes.raw_points(spark, sf_dir), 0, 5.0, 45.0), 5.0)
-    return round_all(cloud.cloud_summary(cells))
+    return round_all(cloud.cloud_summary(cells), 6)
 
 
 @query("filter_finite", sql=f"""
