@@ -111,3 +111,25 @@ def running_sum(
         )
     helpers = [f"{p}{n}" for n in sums for p in ("_v_", "_i_", "_o_")]
     return joined.drop("_slice", *helpers)
+
+
+def following(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, slice_by: Column | None = None
+) -> DataFrame:
+    """The next non-NULL ``value`` among the later rows of the group: a forward as-of join
+    of a group with itself."""
+    sliced = with_slice(df.withColumn("_value", value), by, order, slice_by)
+    inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    heads = (
+        sliced.groupBy(*by, "_slice")
+        .agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_head"))
+        .withColumn("_later", F.first("_head", ignorenulls=True).over(across))
+        .drop("_head")
+    )
+    near = sliced.withColumn("_near", F.first("_value", ignorenulls=True).over(inside))
+    return (
+        join_on(near, heads, [*by, "_slice"])
+        .withColumn(out, F.coalesce("_near", "_later"))
+        .drop("_value", "_near", "_later", "_slice")
+    )
