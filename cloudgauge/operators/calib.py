@@ -84,11 +84,21 @@ def reprojection_error(
     return out.na.fill(0.0, ["error"]).na.fill(0, ["corners"])
 
 
+def board_grids(boards: DataFrame) -> DataFrame:
+    """Corners of each board ``(width, height, square_x, square_y)``, row by row, in the
+    plane z = 0."""
+    rows = boards.withColumn("corner_id", F.explode(F.sequence(
+        F.lit(0).cast("bigint"), F.col("width").cast("bigint") * F.col("height") - 1)))
+    return rows.withColumns({
+        "ox": F.expr("corner_id % width") * F.col("square_x"), "oy": F.expr("corner_id div width") * F.col("square_y"),
+        "oz": F.lit(0.0)})
+
+
 def board_points(
     spark: SparkSession, width: int = 11, height: int = 8, square_x: float = 15.0, square_y: float = 15.0
 ) -> DataFrame:
-    """Corner grid of a chessboard, row by row, in the plane z = 0."""
-    ids = spark.range(width * height)
-    return ids.select(
-        F.col("id").alias("corner_id"), (F.expr(f"id % {width}") * float(square_x)).alias("ox"),
-        (F.expr(f"id div {width}") * float(square_y)).alias("oy"), F.lit(0.0).alias("oz"))
+    """Corner grid of one chessboard."""
+    one = spark.range(1).select(
+        F.lit(width).alias("width"), F.lit(height).alias("height"), F.lit(float(square_x)).alias("square_x"),
+        F.lit(float(square_y)).alias("square_y"))
+    return board_grids(one).select("corner_id", "ox", "oy", "oz")

@@ -191,7 +191,7 @@ def q_frame_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("stamp_names", sql="""
-SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%g') AS name, epoch_ms(ts) AS back_ms,
+SELECT event_id, strftime(ts, '%Y%m%d_%H%M%S_%g') AS name, epoch_us(ts) // 1000 AS back_ms,
   printf('%.3f', value) AS shown, CASE event_id % 5 WHEN 0 THEN 'Disconnected' WHEN 1 THEN 'Connected'
   WHEN 2 THEN 'Streaming' WHEN 3 THEN 'Error' ELSE 'Unknown' END AS state FROM events""")
 def q_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -292,12 +292,10 @@ def q_lint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("board_points", sql="""
-WITH b AS (SELECT DISTINCT 2 + p_size % 5 AS w, 3 AS h FROM part)
-SELECT w, i AS corner_id, (i % w) * 12.5 AS ox, (i // w) * 10.0 AS oy, 0.0 AS oz FROM b, RANGE(21) t(i) WHERE i < w * h""")
+WITH b AS (SELECT p_partkey, 2 + p_size % 5 AS w, 3 AS h FROM part)
+SELECT p_partkey, CAST(i AS BIGINT) AS corner_id, (i % w) * 12.5 AS ox, (i // w) * 10.0 AS oy, 0.0 AS oz
+FROM b, RANGE(21) t(i) WHERE i < w * h""")
 def q_board(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = recipes.table(spark, sf_dir, "part").select((F.col("p_size") % 5 + 2).alias("w")).distinct()
-    boards = None
-    for width in range(2, 7):
-        one = calib.board_points(spark, width, 3, 12.5, 10.0).withColumn("w", F.lit(width))
-        boards = one if boards is None else boards.unionByName(one)
-    return boards.join(sizes, "w", "left_semi").select("w", "corner_id", "ox", "oy", "oz")
+    boards = recipes.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey", "2 + p_size % 5 AS width", "3 AS height", "12.5D AS square_x", "10.0D AS square_y")
+    return calib.board_grids(boards).select("p_partkey", "corner_id", "ox", "oy", "oz")

@@ -99,6 +99,11 @@ def q_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
         recipes.pixels(spark, sf_dir), SIDE, SIDE, 60, 2.0, 40, min_area=4.0, border=1))
 
 
-@query("connected_components")
+@query("connected_components", sql=with_sql("pixels", body=OPENED + """
+, label AS (WITH RECURSIVE reach AS (SELECT frame_id, y, x, y * 4294967296 + x AS label FROM opened
+   UNION SELECT r.frame_id, o.y, o.x, r.label FROM reach r JOIN opened o ON o.frame_id = r.frame_id
+   AND ABS(o.y - r.y) <= 1 AND ABS(o.x - r.x) <= 1)
+   SELECT frame_id, y, x, MIN(label) AS label FROM reach GROUP BY 1, 2, 3)
+SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, label FROM label"""))
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pixel_components(opened(spark, sf_dir))
