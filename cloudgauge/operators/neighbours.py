@@ -68,7 +68,7 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
     for level in range(MAX_LEVEL + 1):
         staged = pending.withColumn("node", _node(level))
         cells = staged.groupBy(*by, "node").agg(
-            F.count(F.lit(1)).alias("_rows"), F.sum("m").alias("n"), F.min("id").alias("_rep"),
+            F.count(F.lit(1)).alias("_rows"), F.sum("m").alias("n"), F.sum(F.size("ids")).alias("kept"), F.min("id").alias("_rep"),
             F.min("unit").alias("unit"), *[F.min(a).alias(f"l{a}") for a in "xyz"], *[F.max(a).alias(f"h{a}") for a in "xyz"])
         if reach is not None:
             diagonal = F.sqrt(sum(((F.col(f"h{a}") - F.col(f"l{a}")) ** 2 for a in "xyz"), F.lit(0.0)))
@@ -93,7 +93,7 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
 
 
 def _info() -> Column:
-    return F.struct("node", "n", "leaf", "unit", *BOX)
+    return F.struct("node", "n", "kept", "leaf", "unit", *BOX)
 
 
 def _gap(a: Column, b: Column, far: bool) -> Column:
@@ -130,25 +130,19 @@ def _nearest_batches(k: int, by: list[str]):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            out = []
+            parts = []
             for row in frame.itertuples(index=False):
-                cand = np.array([(c["x"], c["y"], c["z"]) for c in row.cand])
-                ids = np.array([c["id"] for c in row.cand])
-                order = np.argsort(ids, kind="stable")
-                cand, ids = cand[order], ids[order]
-                lists = [row.cand[i]["ids"] for i in order]
-                counts = np.array([len(v) for v in lists])
-                query = np.array([(q["x"], q["y"], q["z"]) for q in row.query])
+                order = np.argsort(row.cid, kind="stable")
+                ids = np.asarray(row.cid)[order]
+                cand = np.column_stack([row.cx, row.cy, row.cz])[order]
+                query = np.column_stack([row.qx, row.qy, row.qz])
                 gaps = np.sqrt(((query[:, None, :] - cand[None, :, :]) ** 2).sum(axis=2))
-                best = np.argsort(gaps, axis=1, kind="stable")[:, : k + 1]
-                for q, line, near in zip(row.query, gaps, best):
-                    if (counts[near] == 1).all():
-                        d, i = line[near], ids[near]
-                    else:
-                        d = np.repeat(line[near], counts[near])[: k + 1]
-                        i = np.concatenate([np.asarray(lists[j]) for j in near])[: k + 1]
-                    out.append((*[getattr(row, c) for c in by], q["id"], q["x"], q["y"], q["z"], d.tolist(), i.tolist()))
-            yield pd.DataFrame(out, columns=[*by, "id", "x", "y", "z", "d", "ids"])
+                near = np.argsort(gaps, axis=1, kind="stable")[:, : k + 1]
+                parts.append(pd.DataFrame({
+                    **{c: getattr(row, c) for c in by}, "id": row.qid, "x": row.qx, "y": row.qy, "z": row.qz,
+                    "d": list(np.take_along_axis(gaps, near, axis=1)), "ids": list(ids[near])}))
+            if parts:
+                yield pd.concat(parts, ignore_index=True)
 
     return run
 
@@ -188,12 +182,16 @@ def position_neighbours(
         pairs = _open_pairs(pairs.drop("_near"), nodes, keys, wanted)
     # Candidates of a cell in chunks of bounded size.
     w = Window.partitionBy(*keys, "_a").orderBy("_near", "_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    links = pairs.select(*keys, F.col("a.node").alias("_a"), F.col("b.node").alias("_b"), "_near", F.col("b.n").alias("_n"))
+    links = pairs.select(
+        *keys, F.col("a.node").alias("_a"), F.col("b.node").alias("_b"), "_near", F.col("b.kept").alias("_n"))
     links = links.withColumn("_chunk", F.floor((F.sum("_n").over(w) - F.col("_n")) / CHUNK)).drop("_near", "_n")
-    found = links.join(placed.withColumnRenamed("node", "_b"), [*keys, "_b"])
-    cand = found.groupBy(*keys, "_a", "_chunk").agg(F.collect_list(F.struct("id", "x", "y", "z", "ids")).alias("cand"))
-    ask = asked.groupBy(*keys, F.col("node").alias("_a")).agg(F.collect_list(F.struct("id", "x", "y", "z")).alias("query"))
-    rows = cand.join(ask, [*keys, "_a"]).select(*keys, "query", "cand")
+    copies = placed.select(*keys, F.col("node").alias("_b"), "x", "y", "z", F.explode("ids").alias("id"))
+    found = links.join(copies, [*keys, "_b"])
+    cand = found.groupBy(*keys, "_a", "_chunk").agg(
+        F.collect_list("id").alias("cid"), *[F.collect_list(a).alias(f"c{a}") for a in "xyz"])
+    ask = asked.groupBy(*keys, F.col("node").alias("_a")).agg(
+        F.collect_list("id").alias("qid"), *[F.collect_list(a).alias(f"q{a}") for a in "xyz"])
+    rows = cand.join(ask, [*keys, "_a"]).drop("_a", "_chunk")
     schema = T.StructType([
         *[points.schema[c] for c in keys], T.StructField("id", T.LongType()),
         *[T.StructField(a, T.DoubleType()) for a in "xyz"], T.StructField("d", T.ArrayType(T.DoubleType())),

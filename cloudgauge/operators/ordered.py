@@ -133,3 +133,25 @@ def following(
         .withColumn(out, F.coalesce("_near", "_later"))
         .drop("_value", "_near", "_later", "_slice")
     )
+
+
+def latest(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, slice_by: Column | None = None
+) -> DataFrame:
+    """The last non-NULL ``value`` up to and including the row: a forward fill."""
+    sliced = with_slice(df.withColumn("_value", value), by, order, slice_by)
+    inside = (
+        Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    tails = (
+        sliced.groupBy(*by, "_slice")
+        .agg(F.max_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_tail"))
+        .withColumn("_earlier", F.last("_tail", ignorenulls=True).over(across))
+        .drop("_tail")
+    )
+    near = sliced.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
+    return (
+        join_on(near, tails, [*by, "_slice"])
+        .withColumn(out, F.coalesce("_near", "_earlier"))
+        .drop("_value", "_near", "_earlier", "_slice")
+    )

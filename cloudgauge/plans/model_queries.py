@@ -114,7 +114,8 @@ def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.expr("CASE WHEN p_partkey % 2 = 0 THEN p_size / 4 ELSE 0D END").alias("standard_diameter"),
         F.col("p_size").cast("double").alias("axis_min"), F.col("p_retailprice").alias("axis_max"))
     out = models.fit_report(part).drop("direction", "radius", "standard_diameter", "axis_min", "axis_max")
-    return round_all(round_all(out, 6).withColumns({f"angle_{p}": F.round(f"angle_{p}", 5) for p in ("xy", "xz", "yz")}), 6)
+    angles = {f"angle_{p}": F.round(f"angle_{p}", 5) for p in ("xy", "xz", "yz")}
+    return round_all(out.withColumns(angles), 6)
 
 
 @query("plane_angle", sql="""
