@@ -1,7 +1,7 @@
 """Exact nearest neighbours and radius search without an all-pairs join.
 
 Positions are cut into a tree of cells whose depth follows the local density: a cell is
-split (four ways per axis) until it holds at most ``LEAF`` distinct positions. The search
+split (halved on each axis) until it holds at most ``LEAF`` distinct positions. The search
 walks pairs of cells from the roots down. A pair is dropped as soon as the gap between the
 two boxes proves that it cannot matter, so a crowded region costs no more per point than a
 sparse one. Copies of a position are one row with a count, however many there are.
@@ -22,7 +22,7 @@ from cloudgauge.operators.cloud import filter_finite, stride_filter, upper_media
 from cloudgauge.session import cut_lineage, join_on, salted_join
 
 LEAF = 32
-MAX_LEVEL = 26
+MAX_LEVEL = 52
 CHUNK = 4096
 
 # Fixed values of the reference procedure.
@@ -46,7 +46,7 @@ def positions(points: DataFrame, by: Sequence[str], keep_ids: int) -> DataFrame:
 
 
 def _node(level: int) -> Column:
-    side = float(4**level)
+    side = float(2**level)
     return F.struct(
         F.lit(level).alias("level"), *[F.floor(F.col(f"_f{a}") * side).cast("bigint").alias(f"c{a}") for a in "xyz"])
 
@@ -77,7 +77,7 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
         cells = cut_lineage(cells.withColumn("leaf", leaf).drop("_rows", "_rep"))
         parent = F.struct(
             (F.col("node.level") - 1).alias("level"),
-            *[F.shiftright(F.col("node")[f"c{a}"], 2).alias(f"c{a}") for a in "xyz"])
+            *[F.shiftright(F.col("node")[f"c{a}"], 1).alias(f"c{a}") for a in "xyz"])
         levels.append(cells.withColumn("parent", parent))
         placed = salted_join(
             staged.drop("unit"), cells.select(*by, "node", "leaf", "unit"), [*by, "node"], spread=["id"])
@@ -164,7 +164,7 @@ def position_neighbours(
         asked = placed.join(spots, [*keys, "x", "y", "z"], "left_semi")
         ups = F.transform(F.sequence(F.lit(0), F.col("node.level")), lambda s: F.struct(
             (F.col("node.level") - s).alias("level"),
-            *[F.floor(F.col("node")[f"c{a}"] / F.pow(F.lit(4.0), s)).cast("bigint").alias(f"c{a}") for a in "xyz"]))
+            *[F.floor(F.col("node")[f"c{a}"] / F.pow(F.lit(2.0), s)).cast("bigint").alias(f"c{a}") for a in "xyz"]))
         wanted = cut_lineage(asked.select(*keys, F.explode(ups).alias("node")).distinct())
     pairs = _roots(nodes, keys)
     while True:
@@ -186,12 +186,18 @@ def position_neighbours(
         *keys, F.col("a.node").alias("_a"), F.col("b.node").alias("_b"), "_near", F.col("b.kept").alias("_n"))
     links = links.withColumn("_chunk", F.floor((F.sum("_n").over(w) - F.col("_n")) / CHUNK)).drop("_near", "_n")
     copies = placed.select(*keys, F.col("node").alias("_b"), "x", "y", "z", F.explode("ids").alias("id"))
-    found = links.join(copies, [*keys, "_b"])
-    cand = found.groupBy(*keys, "_a", "_chunk").agg(
-        F.collect_list("id").alias("cid"), *[F.collect_list(a).alias(f"c{a}") for a in "xyz"])
-    ask = asked.groupBy(*keys, F.col("node").alias("_a")).agg(
-        F.collect_list("id").alias("qid"), *[F.collect_list(a).alias(f"q{a}") for a in "xyz"])
-    rows = cand.join(ask, [*keys, "_a"]).drop("_a", "_chunk")
+    found = links.join(copies, [*keys, "_b"]).drop("_b").withColumn("_c", F.lit(True))
+    ask = links.select(*keys, "_a", "_chunk").distinct().join(
+        asked.select(*keys, F.col("node").alias("_a"), "id", "x", "y", "z"), [*keys, "_a"]).withColumn("_c", F.lit(False))
+
+    def listed(name: str, candidate: bool) -> Column:
+        return F.collect_list(F.when(F.col("_c") == candidate, F.col(name))).alias(("c" if candidate else "q") + name)
+
+    # A fixed partition count: the rows are few bytes but much work, so they must not be merged.
+    width = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    both = found.unionByName(ask).repartition(width, *keys, "_a", "_chunk")
+    rows = both.groupBy(*keys, "_a", "_chunk").agg(
+        *[listed(n, c) for c in (True, False) for n in ("id", "x", "y", "z")]).drop("_a", "_chunk")
     schema = T.StructType([
         *[points.schema[c] for c in keys], T.StructField("id", T.LongType()),
         *[T.StructField(a, T.DoubleType()) for a in "xyz"], T.StructField("d", T.ArrayType(T.DoubleType())),
