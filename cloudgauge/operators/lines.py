@@ -129,8 +129,8 @@ def stripe_ranges(
     """Bounding boxes of the large connected regions, grown by ``border`` and cut to the
     image, numbered ``range_id`` by (y, x) from 0. The area is that of the outline through
     the pixel centres, holes filled: ``N - B / 2 - 1`` with ``B`` outline pixels."""
-    cells = pixel_components(mask, by)
-    keys = [*by, "label"]
+    cells = pixel_components(mask, by).withColumnRenamed("label", "region")
+    keys = [*by, "region"]
     full = _filled(cells.select(*keys, "y", "x"), keys)
     inner = _neighbours(full, keys, ALL_4).groupBy(*keys, F.col("_y0").alias("y"), F.col("_x0").alias("x")).agg(
         F.count(F.lit(1)).alias("_c")).filter("_c = 4").groupBy(*keys).agg(F.count(F.lit(1)).alias("_inner"))
@@ -144,10 +144,10 @@ def stripe_ranges(
     w = F.least(F.lit(width) - x0, F.col("_hx") - F.col("_lx") + 1 + 2 * border)
     h = F.least(F.lit(height) - y0, F.col("_hy") - F.col("_ly") + 1 + 2 * border)
     sized = boxes.select(
-        *by, "label", x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), w.cast("int").alias("w"),
+        *by, "region", x0.cast("int").alias("x0"), y0.cast("int").alias("y0"), w.cast("int").alias("w"),
         h.cast("int").alias("h"), "area")
-    ranked = ordered.row_number(sized, by, ["y0", "x0", "label"], "_at", F.floor(F.col("y0") / 64))
-    return ranked.withColumn("range_id", F.col("_at") - 1).drop("_at", "label")
+    ranked = ordered.row_number(sized, by, ["y0", "x0", "region"], "_at", F.floor(F.col("y0") / 64))
+    return ranked.withColumn("range_id", F.col("_at") - 1).drop("_at", "region")
 
 
 def whole_ranges(frames: DataFrame, width: int, height: int, by: Sequence[str] = FRAME) -> DataFrame:
