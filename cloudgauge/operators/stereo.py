@@ -62,19 +62,24 @@ def undistort(df: DataFrame, u: str, v: str, k: str, d: str, p: str) -> DataFram
     """Replace pixel columns by undistorted ones: five fixed-point steps of the five
     parameter lens model, then projection with ``p``."""
     c = [entry(d, 0, i, 5) for i in range(5)]
-    df = df.withColumns({
-        "_x0": (F.col(u) - entry(k, 0, 2)) / entry(k, 0, 0), "_y0": (F.col(v) - entry(k, 1, 2)) / entry(k, 1, 1)})
-    df = df.withColumns({"_x": F.col("_x0"), "_y": F.col("_y0")})
-    x, y = F.col("_x"), F.col("_y")
-    for _ in range(UNDISTORT_STEPS):
-        df = df.withColumn("_r2", x * x + y * y)
-        r2 = F.col("_r2")
+    x0 = (F.col(u) - entry(k, 0, 2)) / entry(k, 0, 0)
+    y0 = (F.col(v) - entry(k, 1, 2)) / entry(k, 1, 1)
+
+    def step(at: Column, _: Column) -> Column:
+        x, y = at["x"], at["y"]
+        r2 = x * x + y * y
         inv = F.lit(1.0) / (1 + ((c[4] * r2 + c[1]) * r2 + c[0]) * r2)
         dx = 2 * c[2] * x * y + c[3] * (r2 + 2 * x * x)
         dy = c[2] * (r2 + 2 * y * y) + 2 * c[3] * x * y
-        df = df.withColumns({"_x": (F.col("_x0") - dx) * inv, "_y": (F.col("_y0") - dy) * inv})
+        return F.struct(((x0 - dx) * inv).alias("x"), ((y0 - dy) * inv).alias("y"))
+
+    # A fold keeps the expression small; five nested projections would multiply when the
+    # optimizer pushes a null check on the result down to the scan.
+    rounds = F.array(*[F.lit(i) for i in range(UNDISTORT_STEPS)])
+    df = df.withColumn("_s", F.aggregate(rounds, F.struct(x0.alias("x"), y0.alias("y")), step))
+    x, y = F.col("_s.x"), F.col("_s.y")
     rows = [entry(p, i, 0) * x + entry(p, i, 1) * y + entry(p, i, 2) for i in range(3)]
-    return df.withColumns({u: rows[0] / rows[2], v: rows[1] / rows[2]}).drop("_x", "_y", "_x0", "_y0", "_r2")
+    return df.withColumns({u: rows[0] / rows[2], v: rows[1] / rows[2]}).drop("_s")
 
 
 def undistort_observations(obs: DataFrame, calibrations: DataFrame, rig: Sequence[str] = ("rig_id",)) -> DataFrame:
@@ -159,7 +164,7 @@ def epipolar_match(
     ``a, b`` at right angles to the baseline, the blocks around a ray bound what the others
     could give; rays whose best is not yet proven search a wider window in the next round.
     """
-    rays = _roles(observation_rays(obs, calibrations, rig), by)
+    rays = _roles(cut_lineage(observation_rays(obs, calibrations, rig)), by)
     ray, base = vec("rx", "ry", "rz"), vec("bx", "by", "bz")
     if not prune:
         drive = rays.filter("_drives")
