@@ -98,25 +98,25 @@ def orthogonal(v: Vec) -> Vec:
     )
 
 
-def _attach(points: DataFrame, groups: DataFrame, keys: Sequence[str], salts: int = 1) -> DataFrame:
+def _attach(points: DataFrame, groups: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
     """Group values beside each point. Samples hold a bounded number of rows per group and
-    join as they are; whole clouds are spread over ``salts`` tasks."""
-    if salts == 1:
+    join as they are; whole clouds are spread over salts."""
+    if bounded:
         return join_on(points, groups, keys)
-    return salted_join(points, groups, keys, salts=salts, spread=["x", "y", "z"])
+    return salted_join(points, groups, keys, spread=["x", "y", "z"])
 
 
 # -- principal axes ------------------------------------------------------------------
 
 
-def pca(df: DataFrame, by: Sequence[str] = ("cloud_id",), salts: int = 16) -> DataFrame:
+def pca(df: DataFrame, by: Sequence[str] = ("cloud_id",), bounded: bool = False) -> DataFrame:
     """Centroid, covariance eigenvalues (rising) and axes per group.
 
     Two passes: centroid first, then centred products, so that large coordinates are safe.
     """
     pts = filter_finite(df)
     centers = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.avg(a).alias(f"c{a}") for a in "xyz"])
-    joined = _attach(pts.select(*by, "x", "y", "z"), centers, by, salts)
+    joined = _attach(pts.select(*by, "x", "y", "z"), centers, by, bounded)
     d = {a: F.col(a) - F.col(f"c{a}") for a in "xyz"}
     pairs = ("xx", "yy", "zz", "xy", "xz", "yz")
     sums = joined.groupBy(*by).agg(
@@ -144,7 +144,7 @@ def _normal_sums(terms: Sequence[Column], value: Column) -> list[Column]:
 
 def least_squares(points: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
     """One model row per key with the ``failure`` of degenerate groups."""
-    axes = pca(points, keys, salts=1)
+    axes = pca(points, keys, bounded=True)
     degenerate = F.element_at("eigenvalues", 2) <= DEGENERATE_EIGENVALUE
     axes = axes.withColumn("failure", F.when(degenerate, "degenerate"))
     if kind == "plane":

@@ -361,7 +361,7 @@ def reconstruct(
     flat = undistort_observations(clean, calibrations, rig)
     matches = epipolar_match(flat, calibrations, threshold, by, rig)
     rigs = flat.select(*by, *rig).distinct() if not set(rig) <= set(by) else None
-    keyed = matches if rigs is None else join_on(matches, rigs, by)
+    keyed = matches if rigs is None else salted_join(matches, rigs, by, spread=["left_obs"])
     points = triangulate(keyed, calibrations, rig)
     diag = frame_diagnostics(frames, clean, matches, points, roi_width, roi_height, by)
     if on_frames is not None:

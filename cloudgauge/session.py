@@ -70,15 +70,22 @@ def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "
     return left.join(renamed, condition, how).drop(*[f"_r_{key}" for key in keys])
 
 
+def salt_count(spark: SparkSession) -> int:
+    """Salts per key: an eighth of the shuffle partitions, between 16 and 256. What is
+    still too large for one task after salting, adaptive execution splits at run time."""
+    return max(16, min(256, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def salted_join(
-    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int = 16,
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner", salts: int | None = None,
     spread: Sequence[str] = (),
 ) -> DataFrame:
     """Join whose left side may hold a hot key while ``right`` has one row per key.
 
-    Left rows of one key are spread over ``salts`` tasks by the hash of ``spread``; the
-    right rows are repeated once per salt.
+    Left rows of one key are spread over the salts by the hash of ``spread``; the right
+    rows are repeated once per salt.
     """
+    salts = salts or salt_count(left.sparkSession)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
     copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*keys, "_salt"], how).drop("_salt")
