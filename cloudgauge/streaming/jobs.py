@@ -15,6 +15,7 @@ from cloudgauge.operators.fleet import COMMAND_TIMEOUT_MS, frames_of, key_logs
 from cloudgauge.session import checkpoint_folder
 
 Sink = Callable[[DataFrame, int], None]
+ROWS_PER_STORE = 500_000
 
 
 def reconstruct_stream(
@@ -119,7 +120,13 @@ def replay(
     """
     spark = rows.sparkSession
     base = f"{checkpoint_folder(spark)}/replay-{time.time_ns():x}"
-    cuts = rows.select(F.percentile_approx(time_column, [i / slices for i in range(1, slices)], 10_000)).first()[0]
+    found = rows.agg(
+        F.percentile_approx(time_column, [i / slices for i in range(1, slices)], 10_000).alias("cuts"),
+        F.count(F.lit(1)).alias("n")).first()
+    cuts = found["cuts"]
+    # State stores are opened per partition and micro-batch, so their number follows the rows.
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    stores = min(width, max(8, found["n"] // ROWS_PER_STORE))
     bounds = [None, *sorted(set(cuts or [])), None]
     for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
         part = rows
@@ -130,8 +137,12 @@ def replay(
         part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         out = build(stream)
-        query = (
-            out.writeStream.format("parquet").option("path", f"{base}/out")
-            .option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start())
+        spark.conf.set("spark.sql.shuffle.partitions", str(stores))
+        try:
+            query = (
+                out.writeStream.format("parquet").option("path", f"{base}/out")
+                .option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start())
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", str(width))
         query.awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/out")
