@@ -7,9 +7,11 @@ give candidates, the sketch of the union estimates their similarity, the full se
 pairs; texts whose sketch is their whole set: always). By the prefix argument it is enough to list each
 text under its first ``size - shared + 1`` values of any common order; values that are frequent in the
 corpus come last, so a passage in a third of all texts hardly gets a list.
-*Groups.* Equal sets are one vertex. Each list first links its members to one of them; only members that this
-leaves outside the list's largest component are then compared with the rest of the list. A group of copies
-thus costs its size, not its square, and no pair of different texts is left out.
+*Groups.* Equal sets are one vertex. Each list first links its members to one of them, so a group of copies costs its
+size, not its square. Lists that this leaves in several components are compared pair by pair if they are short. Members
+of the long ones get exact lists instead: whole sets with the rarest shingles first, where two texts meet only if both
+positions leave room for the overlap that the threshold demands. Families of edited copies below the
+threshold, and texts around a common passage, then hardly meet, and no pair of different texts is left out.
 """
 
 from __future__ import annotations
@@ -36,6 +38,8 @@ MARGIN = 5.0
 FREQUENT = 50
 #: Frequent values, and candidate ids, that a broadcast may hold. More ids are joined by a shuffle.
 BROADCAST_IDS = 500_000
+#: Members up to which an open list is compared pair by pair.
+SHORT_LIST = 32
 _WORDS: dict[bytes, int] = {}
 
 
@@ -83,7 +87,9 @@ def needed_overlap(n: int, share: float) -> int:
     """Retained values that a set of ``n`` shares with any set at the threshold ``share``."""
     if n <= share * SKETCH:  # every partner's sketch is its whole set
         return math.ceil(share * n - 1e-9)
-    return max(1, math.floor(SKETCH * share - MARGIN * math.sqrt(SKETCH * share * (1 - share))))
+    # Of a union of at most n / share values the sketches see a sample without replacement.
+    spread = math.sqrt(SKETCH * share * (1 - share) * (1 - SKETCH * share / n)) if n > SKETCH * share else 0.0
+    return max(1, math.floor(SKETCH * share - MARGIN * spread))
 
 
 def postings(sets: DataFrame, share: float, scratch: Scratch) -> DataFrame:
@@ -127,19 +133,8 @@ def postings(sets: DataFrame, share: float, scratch: Scratch) -> DataFrame:
     return sets.select("id", "n", "sketch").mapInArrow(run, f"value long, id {kind}, n long")
 
 
-def verified(
-    pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, scratch: Scratch
-) -> DataFrame:
-    """The pairs (src, dst) whose full sets reach the threshold; sketches of the unions filter them first."""
-    share = percent / 100
-    side = sets.select("id", "sketch")
-    both = pairs.join(side.withColumnsRenamed({"id": "src", "sketch": "_a"}), "src").join(
-        side.withColumnsRenamed({"id": "dst", "sketch": "_b"}), "dst")
-    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH)
-    common = F.size(F.array_intersect(union, F.array_intersect("_a", "_b")))
-    floor = share - MARGIN * math.sqrt(share * (1 - share) / SKETCH)
-    near = scratch.write(both.filter(common >= F.size(union) * F.lit(floor)).select("src", "dst").distinct())
-    wanted = near.select(F.col("src").alias("_key")).union(near.select(F.col("dst").alias("_key"))).distinct()
+def _full_sets(docs: DataFrame, wanted: DataFrame, key: str, text: str, size: int) -> DataFrame:
+    """``_key``, ``hashes`` of the documents whose key is among ``wanted`` (distinct ``_key``)."""
     if wanted.count() <= BROADCAST_IDS:
         wanted = F.broadcast(wanted)
 
@@ -153,7 +148,23 @@ def verified(
 
     kind = docs.schema[key].dataType.simpleString()
     texts = docs.select(F.col(key).alias("_key"), F.col(text).cast("binary").alias("_text")).join(wanted, "_key")
-    full = scratch.write(texts.mapInArrow(run, f"_key {kind}, hashes array<long>"))
+    return texts.mapInArrow(run, f"_key {kind}, hashes array<long>")
+
+
+def verified(
+    pairs: DataFrame, sets: DataFrame, docs: DataFrame, key: str, text: str, size: int, percent: int, scratch: Scratch
+) -> DataFrame:
+    """The pairs (src, dst) whose full sets reach the threshold; sketches of the unions filter them first."""
+    share = percent / 100
+    side = sets.select("id", "sketch")
+    both = pairs.join(side.withColumnsRenamed({"id": "src", "sketch": "_a"}), "src").join(
+        side.withColumnsRenamed({"id": "dst", "sketch": "_b"}), "dst")
+    union = F.slice(F.array_sort(F.array_union("_a", "_b")), 1, SKETCH)
+    common = F.size(F.array_intersect(union, F.array_intersect("_a", "_b")))
+    floor = share - MARGIN * math.sqrt(share * (1 - share) / SKETCH)
+    near = scratch.write(both.filter(common >= F.size(union) * F.lit(floor)).select("src", "dst").distinct())
+    wanted = near.select(F.col("src").alias("_key")).union(near.select(F.col("dst").alias("_key"))).distinct()
+    full = scratch.write(_full_sets(docs, wanted, key, text, size))
     checked = near.join(full.withColumnsRenamed({"_key": "src", "hashes": "_a"}), "src").join(
         full.withColumnsRenamed({"_key": "dst", "hashes": "_b"}), "dst")
     shared = F.size(F.array_intersect("_a", "_b"))
@@ -189,7 +200,8 @@ def near_duplicates(
     star = lists.join(heads, ["value", "step"]).filter("id <> head").select(F.col("head").alias("src"), F.col("id").alias("dst"))
     edges = verified(star.distinct(), sets, docs, key, text, shingle, percent, scratch)
     labels = scratch.write(components(edges, scratch))
-    rest = verified(_outsiders(lists, labels, share, scratch), sets, docs, key, text, shingle, percent, scratch)
+    open_pairs = _open_pairs(lists, labels, docs, key, text, shingle, share, scratch)
+    rest = verified(open_pairs, sets, docs, key, text, shingle, percent, scratch)
     same_key = usable.join(classes, "print").filter("_key <> id").select(F.col("_key").alias("src"), F.col("id").alias("dst"))
     repeated = usable.groupBy("_key").agg(F.countDistinct("print").alias("_k")).filter("_k > 1").select(F.col("_key").alias("src"))
     ties = same_key.join(repeated, "src", "left_semi").union(
@@ -204,21 +216,46 @@ def near_duplicates(
     ).withColumn("kept", F.col(key).eqNullSafe(F.col("component_id")))
 
 
-def _outsiders(lists: DataFrame, labels: DataFrame, share: float, scratch: Scratch) -> DataFrame:
-    """Pairs of a list that are not yet in one component, sizes permitting: outside its largest component x all."""
-    sizes = lists.groupBy("value").agg(F.count("*").alias("_m")).filter("_m > 1").drop("_m")
-    rooted = lists.join(sizes, "value", "left_semi").join(labels, "id", "left").select(
-        "value", "id", "n", F.coalesce("root", "id").alias("root"))
-    rooted = scratch.write(rooted)
-    counted = rooted.groupBy("value", "root").agg(F.count("*").alias("_m"))
-    main = counted.groupBy("value").agg(
-        F.max_by("root", F.struct("_m", "root")).alias("main"), F.count("*").alias("_k")).filter("_k > 1").drop("_k")
-    open_lists = scratch.write(rooted.join(main, "value"))
-    out = open_lists.filter("root <> main").select("value", F.col("id").alias("_a"), F.col("n").alias("_na"), F.col("root").alias("_ra"))
-    pairs = out.join(open_lists, "value").filter(
-        (F.col("_ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("_a") < F.col("id")))
-        & (F.least("_na", "n") >= F.lit(share) * F.greatest("_na", "n") - 1e-9))
-    return pairs.select(F.least("_a", "id").alias("src"), F.greatest("_a", "id").alias("dst")).distinct()
+def _open_pairs(
+    lists: DataFrame, labels: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: float, scratch: Scratch
+) -> DataFrame:
+    """Pairs of different components that a list brings together: all of short lists, those of ``_whole_pairs`` of long ones."""
+    sizes = lists.groupBy("value").agg(F.count("*").alias("_m")).filter("_m > 1")
+    rooted = scratch.write(lists.join(sizes, "value").join(labels, "id", "left").select(
+        "value", "id", "n", "_m", F.coalesce("root", "id").alias("root")))
+    several = rooted.groupBy("value").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).filter("_lo <> _hi").select("value")
+    opened = scratch.write(rooted.join(several, "value"))
+    scratch.drop(rooted)
+    short = opened.filter(F.col("_m") <= SHORT_LIST)
+    other = short.select("value", F.col("id").alias("_a"), F.col("n").alias("_na"), F.col("root").alias("_ra"))
+    direct = other.join(short, "value").filter(
+        (F.col("_ra") != F.col("root")) & (F.col("_a") < F.col("id"))
+        & (F.least("_na", "n") >= F.lit(share) * F.greatest("_na", "n") - 1e-9)).select(
+        F.col("_a").alias("src"), F.col("id").alias("dst"))
+    long = opened.filter(F.col("_m") > SHORT_LIST).select("id", "root").distinct()
+    return direct.union(_whole_pairs(scratch.write(long), docs, key, text, size, share, scratch)).distinct()
+
+
+def _whole_pairs(
+    members: DataFrame, docs: DataFrame, key: str, text: str, size: int, share: float, scratch: Scratch
+) -> DataFrame:
+    """Pairs of members (id, root) of different roots whose whole sets may reach the threshold: the exact prefix and
+    position filter, shingles in the order of their number of members."""
+    full = scratch.write(_full_sets(docs, members.select(F.col("id").alias("_key")), key, text, size))
+    values = full.select(F.col("_key").alias("id"), F.size("hashes").alias("n"), F.explode("hashes").alias("value"))
+    often = values.groupBy("value").agg(F.count("*").alias("_m")).filter("_m > 1")
+    shared = values.join(often, "value").groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("_m", "value"))).alias("_shared"))
+    # Values of one member only come first in the order; they take positions but bring nobody together.
+    keep = F.col("n") - F.ceil(F.col("n") * F.lit(share) - 1e-9) + 1 - (F.col("n") - F.size("_shared"))
+    placed = shared.filter(keep > 0).select("id", "n", F.posexplode(F.slice("_shared", F.lit(1), keep.cast("int"))).alias("_i", "_s"), "_shared")
+    placed = placed.select(
+        "id", "n", F.col("_s.value").alias("value"), (F.size("_shared") - F.col("_i")).alias("_room")).join(members, "id")
+    placed = scratch.write(placed)
+    other = placed.select("value", F.col("id").alias("_a"), F.col("n").alias("_na"), F.col("root").alias("_ra"), F.col("_room").alias("_rooma"))
+    need = (F.col("_na") + F.col("n")) * F.lit(share / (1 + share)) - 1e-9
+    return other.join(placed, "value").filter(
+        (F.col("_a") < F.col("id")) & (F.col("_ra") != F.col("root")) & (F.least("_rooma", "_room") >= need)).select(
+        F.col("_a").alias("src"), F.col("id").alias("dst")).distinct()
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
