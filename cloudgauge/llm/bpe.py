@@ -26,7 +26,7 @@ from cloudgauge.llm.common import appended, slices, with_field
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 LONG_WORD = 256
 #: Distinct pre-tokens a worker remembers before it starts anew; bounds memory only.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 NO_RANK = np.iinfo(np.int64).max
 
 

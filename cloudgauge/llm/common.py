@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -55,12 +56,11 @@ def with_field(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.Struc
 def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in slices whose ``column`` holds about ``limit`` bytes."""
     for batch in batches:
-        lengths = [len(x) if x is not None else 0 for x in batch.column(column).cast(pa.large_binary()).to_pylist()] \
-            if batch.column(column).nbytes > limit else None
-        if lengths is None:
+        if batch.column(column).nbytes <= limit:
             if batch.num_rows:
                 yield batch
             continue
+        lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
         start, held = 0, 0
         for i, n in enumerate(lengths):
             if held and held + n > limit:

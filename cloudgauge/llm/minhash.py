@@ -48,7 +48,7 @@ def shingle_hashes(text: bytes | None, size: int) -> np.ndarray:
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.int64)
-    if len(_WORDS) > 500_000:
+    if len(_WORDS) > 200_000:
         _WORDS.clear()
     for w in set(words).difference(_WORDS):
         _WORDS[w] = xxhash.xxh3_64_intdigest(w)

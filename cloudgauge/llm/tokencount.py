@@ -21,7 +21,7 @@ from cloudgauge.llm.bpe import PRETOKEN
 from cloudgauge.llm.common import appended, slices, with_field
 
 #: Distinct pre-tokens a worker remembers before it starts anew; bounds memory only.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 #: Words of a piece model: white space belongs to the word after it. No piece joins a word to later white space,
 #: which ``PieceCounter`` checks, so words are encoded independently.
 PIECE_WORD = regex.compile("[ ▁]*[^ ▁]+|[ ▁]+")
