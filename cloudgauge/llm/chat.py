@@ -21,6 +21,8 @@ SCALAR = r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|BINARY|DATE|TIMESTAMP|TIME
 #: Field names that some layout uses.
 FIELDS = ("completion", "content", "conversations", "from", "input", "instruction", "messages", "output", "prompt",
           "response", "role", "text", "value", "question", "answer")
+#: Depth of nested fields that are recognised as unused; a record with deeper ones has no layout.
+UNUSED_LEVELS = 3
 #: Speakers' names that mean a canonical role.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
@@ -67,12 +69,13 @@ LAYOUTS = {
 
 def shape(record: Column) -> Column:
     """Nested field paths of a variant: names in order, scalars without type; fields that no layout uses, scalar or
-    holding one level of fields, are left out."""
+    nested up to ``UNUSED_LEVELS`` deep, are left out."""
     out = F.regexp_replace(F.schema_of_variant(record), rf": {SCALAR}(?=[,>])", "")
     out = F.regexp_replace(out, "(?<=[,:]) ", "")
     unused = rf"(?<=[<,])(?!(?:{'|'.join(FIELDS)})[,>:])(?:[^<>,:`]+|`[^`]*`)"
     out = F.regexp_replace(out, rf"{unused}(?:,|(?=>))", "")
-    out = F.regexp_replace(out, rf"{unused}:(?:OBJECT<[^<>]*>|ARRAY<(?:OBJECT<[^<>]*>)?>)(?:,|(?=>))", "")
+    for _ in range(UNUSED_LEVELS):
+        out = F.regexp_replace(out, rf"{unused}:(?:OBJECT<[^<>]*>|ARRAY<(?:OBJECT<[^<>]*>)?>)(?:,|(?=>))", "")
     return F.regexp_replace(out, ",>", ">")
 
 

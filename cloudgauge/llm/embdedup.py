@@ -25,8 +25,10 @@ COSINE = 0.93
 FIT_SAMPLE = 4096
 SHARD = 1500
 OVERLAP = 2
-#: Nodes, and queries, that one task holds. Larger shards are cut into blocks of nodes, each searched by all blocks of queries.
+#: Nodes that one task holds. Larger shards are cut into blocks of nodes, each searched by all blocks of queries.
 BLOCK = 4000
+#: Queries that one task holds.
+ASK_BLOCK = 750
 DEGREE, POOL, RANDOM, ALPHA, BEAM = 24, 64, 16, 1.2, 48
 
 
@@ -65,13 +67,17 @@ def robust_prune(vectors: np.ndarray) -> list[np.ndarray]:
             between = np.einsum("ijk,ik->ij", vectors[candidates], vectors[picked])
             covered = ALPHA * np.sqrt(np.maximum(0, 2 - 2 * between)) <= distance
             alive &= ~(covered & live[:, None]) & (candidates != picked[:, None])
-    # Reverse edges keep every node reachable; a node passes on at most as many as it has room for twice over.
+    # Reverse edges: at most twice the degree for each node, but always the one to a node's nearest, so that
+    # whoever finds the nearest finds the node.
     out = [row[row >= 0] for row in chosen]
     sources = np.repeat(np.arange(n), [len(o) for o in out])
+    nearest = np.concatenate([np.arange(len(o)) == 0 for o in out])
     targets = np.concatenate(out)
-    order = np.argsort(targets, kind="stable")
-    ends = np.searchsorted(targets[order], np.arange(n + 1))
-    return [np.unique(np.concatenate([out[i], sources[order[ends[i] : ends[i + 1]]][: 2 * DEGREE]])) for i in range(n)]
+    order = np.lexsort((sources, ~nearest, targets))
+    sources, targets, nearest = sources[order], targets[order], nearest[order]
+    kept = nearest | (np.arange(len(targets)) - np.searchsorted(targets, targets) < 2 * DEGREE)
+    sources, ends = sources[kept], np.searchsorted(targets[kept], np.arange(n + 1))
+    return [np.unique(np.concatenate([out[i], sources[ends[i] : ends[i + 1]]])) for i in range(n)]
 
 
 def range_search(
@@ -83,10 +89,15 @@ def range_search(
     node of its beam; afterwards all nodes in range are opened until no new one is.
     """
     n, m = len(vectors), len(queries)
-    width = max([len(x) for x in neighbours] + [1])
-    graph = np.full((n, width), -1, np.int64)
-    for i, x in enumerate(neighbours):
-        graph[i, : len(x)] = x
+    degree = np.array([len(x) for x in neighbours], np.int64)
+    flat = np.concatenate([*neighbours, np.zeros(0, np.int64)]).astype(np.int64)
+    begin = np.cumsum(degree) - degree
+
+    def around(r: np.ndarray, nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each (query, neighbour of its node)."""
+        count = degree[nodes]
+        return np.repeat(r, count), flat[np.arange(count.sum()) + np.repeat(begin[nodes] - (np.cumsum(count) - count), count)]
+
     medoid = int((vectors @ vectors.mean(axis=0)).argmax())
     found_q, found_n = [], []
     step = max(1, (32 << 20) // max(n, 1))
@@ -122,17 +133,18 @@ def range_search(
             going, best = going[live], best[live]
             if len(going):
                 opened[going, best] = True
-                nodes = graph[best]
-                visit(np.repeat(going, width), nodes.ravel())
+                visit(*around(going, best))
+        near = np.zeros((b, n), bool)
         while True:
             r, nodes = np.nonzero((score >= cosine) & ~opened)
             if not len(r):
                 break
             opened[r, nodes] = True
-            for s in range(0, len(r), 1 << 13):
-                a, c = r[s : s + (1 << 13)], nodes[s : s + (1 << 13)]
-                wide = np.unique(np.stack([np.repeat(a, width), graph[c].ravel()]), axis=1)
-                visit(wide[0], wide[1])
+            for s in range(0, len(r), 1 << 16):
+                near[around(r[s : s + (1 << 16)], nodes[s : s + (1 << 16)])] = True
+            near &= ~seen
+            visit(*np.nonzero(near))
+            near[:] = False
         r, nodes = np.nonzero(score >= cosine)
         found_q.append(r + at)
         found_n.append(nodes)
@@ -214,7 +226,8 @@ def near_vectors(
         assign, f"label string, node {kind}, copies long, embedding array<double>, shards array<int>"))
     members = assigned.withColumn("shard", F.explode("shards"))
     sizes = members.groupBy("label", "shard").agg(F.count("*").alias("_members"))
-    sizes = sizes.withColumn("blocks", F.ceil(F.col("_members") / F.lit(BLOCK)).cast("int")).drop("_members")
+    sizes = sizes.select("label", "shard", F.ceil(F.col("_members") / F.lit(BLOCK)).cast("int").alias("blocks"),
+                         F.ceil(F.col("_members") / F.lit(ASK_BLOCK)).cast("int").alias("ask_blocks"))
     members = members.join(sizes, ["label", "shard"]).withColumn(
         "block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
 
@@ -228,10 +241,11 @@ def near_vectors(
         build, f"node {kind}, near array<{kind}>")
     united = scratch.write(adjacency.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))
     nodes = members.join(united, "node").select(
-        "label", "shard", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("q_block"), F.lit(False).alias("asks"),
+        "label", "shard", "block", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("q_block"), F.lit(False).alias("asks"),
         "node", "copies", "embedding", "shards", "near")
     asks = members.filter(F.col("shards")[0] == F.col("shard")).select(
-        "label", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("block").alias("q_block"),
+        "label", "shard", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"),
+        F.pmod(F.xxhash64("node"), F.col("ask_blocks")).cast("int").alias("q_block"),
         F.lit(True).alias("asks"), "node", "copies", "embedding", "shards", F.lit(None).cast(f"array<{kind}>").alias("near"))
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
