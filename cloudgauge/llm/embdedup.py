@@ -23,7 +23,7 @@ from cloudgauge.llm.components import components
 COSINE = 0.93
 #: Vectors that the centroids are fitted on (the smallest id hashes); every vector is indexed.
 FIT_SAMPLE = 4096
-SHARD = 1500
+SHARD = 700
 OVERLAP = 2
 #: Nodes that one task holds. Larger shards are cut into blocks of nodes, each searched by all blocks of queries.
 BLOCK = 4000
@@ -115,24 +115,29 @@ def range_search(
             r, nodes = r[new], nodes[new]
             for s in range(0, len(r), 1 << 16):
                 a, c = r[s : s + (1 << 16)], nodes[s : s + (1 << 16)]
-                score[a, c] = np.einsum("ij,ij->i", q[a], vectors[c])
+                score[a, c] = waiting[a, c] = np.einsum("ij,ij->i", q[a], vectors[c])
             seen[r, nodes] = True
 
+        waiting = score.copy()  # scores of the nodes met and not yet opened
         visit(rows, np.full(b, medoid))
         visit(rows, own[at : at + step])
         beam = min(BEAM, n)
-        going = rows
+        going, turn = rows, 0
+        floor = np.full(b, -np.inf)
         while len(going):
-            part = score[going]
-            # The beam: the best nodes met so far; the best of them not yet opened comes next.
-            floor = -np.partition(-part, beam - 1, axis=1)[:, beam - 1]
-            open_score = np.where(opened[going], -np.inf, part)
+            # The beam: the best nodes met so far; the best of them not yet opened comes next. Its floor only
+            # rises, so an older one is safe.
+            if turn % 8 == 7:
+                floor[going] = np.partition(score[going], n - beam, axis=1)[:, n - beam]
+            turn += 1
+            open_score = waiting[going]
             best = open_score.argmax(axis=1)
             top = open_score[np.arange(len(going)), best]
-            live = np.isfinite(top) & (top >= floor)
+            live = np.isfinite(top) & (top >= floor[going])
             going, best = going[live], best[live]
             if len(going):
                 opened[going, best] = True
+                waiting[going, best] = -np.inf
                 visit(*around(going, best))
         near = np.zeros((b, n), bool)
         while True:
@@ -256,7 +261,9 @@ def near_vectors(
             return empty
         ids, q_ids = there["node"].to_numpy(), query["node"].to_numpy()
         place = pd.Series(np.arange(len(ids)), index=ids)
-        lists = [place.reindex(x).dropna().to_numpy(np.int64) for x in there["near"]]
+        counts = np.array([len(x) for x in there["near"]])
+        listed = place.reindex(np.concatenate(there["near"].tolist())).fillna(-1).to_numpy(np.int64)
+        lists = [x[x >= 0] for x in np.split(listed, np.cumsum(counts)[:-1])]
         own = place.reindex(q_ids).fillna(-1).to_numpy(np.int64)
         v, q = normalised(there["embedding"]), normalised(query["embedding"])
         a, b = range_search(v, lists, q, own, cosine)
