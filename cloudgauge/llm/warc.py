@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cloudgauge.llm.common import Scratch
 from cloudgauge.operators.ordered import latest
 
 #: Header fields by which a 304 answer updates the stored response. Fixed values.
@@ -49,11 +50,14 @@ def warc_record(
 def _headers(block: Column) -> Column:
     """Header fields of a block after its first line as a map; names in lower case, the last of a repeated name counts."""
     lines = F.filter(F.split(block, CRLF), lambda x: x.contains(":"))
-    pairs = F.transform(lines, lambda x: F.struct(
-        F.lower(F.trim(F.substring_index(x, ":", 1))), F.trim(F.substring(x, F.instr(x, ":") + 1, F.length(x)))))
-    names = F.transform(pairs, lambda p: p["col1"])
-    last = F.filter(pairs, lambda p, i: ~F.array_contains(F.slice(names, i + 2, F.size(names)), p["col1"]))
-    return F.map_from_entries(last)
+    empty = F.create_map().cast("map<string,string>")
+
+    def add(fields: Column, line: Column) -> Column:
+        name, at = F.lower(F.trim(F.substring_index(line, ":", 1))), F.instr(line, ":")
+        one = F.create_map(name, F.trim(F.substring(line, at + 1, F.length(line))))
+        return F.map_concat(F.map_filter(fields, lambda k, _: k != name), one)
+
+    return F.when(block.isNotNull(), F.aggregate(lines, empty, add))
 
 
 def parse_records(raw: DataFrame, record: str = "record") -> DataFrame:
@@ -63,21 +67,25 @@ def parse_records(raw: DataFrame, record: str = "record") -> DataFrame:
     The HTTP header ends at its first empty line and the body is taken whole. A null or broken record gives
     nulls, which ``resolve_revisits`` reports as ``not_a_revisit``.
     """
-    gap = F.lit(CRLF + CRLF)
-    first = F.instr(F.col(record), CRLF + CRLF)
-    warc = F.substring(F.col(record), F.lit(1), first - 1)
-    split = raw.withColumn("_warc", _headers(F.when(first > 0, warc))).withColumn(
-        "_http", F.when(first > 0, F.substring(F.col(record), first + 4, F.length(record)))).drop(record)
-    second = F.instr(F.col("_http"), CRLF + CRLF)
-    split = split.withColumn("_head", F.when(second > 0, F.substring(F.col("_http"), F.lit(1), second - 1))).withColumn(
-        "body", F.when(second > 0, F.substring(F.col("_http"), second + F.length(gap), F.length("_http"))))
+    gap, size = CRLF + CRLF, len(CRLF + CRLF)
+    whole = F.col(record)
+    # substring_index cuts at bytes; positions in characters would count through the body
+    split = raw.withColumn("_head", F.substring_index(whole, gap, 1)).withColumn("_rest", F.substring_index(whole, gap, 2))
+    split = split.withColumns({
+        "_warc": F.when(F.octet_length("_rest") > F.octet_length("_head"), F.col("_head")),
+        "_http": F.when(F.octet_length("_rest") > F.octet_length("_head") + size, F.expr(
+            f"cast(substring(cast(_rest as binary), octet_length(_head) + {size + 1}) as string)")),
+        "_body": F.when(F.octet_length(whole) >= F.octet_length("_rest") + size, F.expr(
+            f"substring(cast(`{record}` as binary), octet_length(_rest) + {size + 1})"))}).drop(record, "_head", "_rest")
+    split = split.withColumn("_fields", _headers(F.col("_warc"))).withColumn("headers", _headers(F.when(
+        F.col("_body").isNotNull(), F.col("_http"))))
     return split.withColumns({
-        "warc_type": F.col("_warc")["warc-type"], "url": F.col("_warc")["warc-target-uri"],
-        "captured_at": F.try_to_timestamp(F.col("_warc")["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")),
-        "record_id": F.col("_warc")["warc-record-id"],
-        "status": F.regexp_extract("_head", r"^HTTP/\S+ (\d{3})", 1).try_cast("int"), "headers": _headers(F.col("_head")),
-        "payload_digest": F.when(F.length("body") > 0, F.concat(F.lit("md5:"), F.md5(F.col("body").cast("binary")))),
-    }).drop("_warc", "_http", "_head")
+        "warc_type": F.col("_fields")["warc-type"], "url": F.col("_fields")["warc-target-uri"],
+        "captured_at": F.try_to_timestamp(F.col("_fields")["warc-date"], F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        "record_id": F.col("_fields")["warc-record-id"],
+        "status": F.regexp_extract("_http", r"^HTTP/\S+ (\d{3})", 1).try_cast("int"), "body": F.col("_body").cast("string"),
+        "payload_digest": F.when(F.octet_length("_body") > 0, F.concat(F.lit("md5:"), F.md5("_body"))),
+    }).drop("_warc", "_http", "_body", "_fields")
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -98,6 +106,8 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     full = (F.col("warc_type") == "response") & (F.col("status") == 200) & F.col("payload_digest").isNotNull()
     revisit = (F.col("warc_type") == "revisit") & (F.col("status") == 304)
     kept = rows.filter(full | revisit).withColumn("_kind", F.when(full, F.lit(0)).otherwise(F.lit(1)))
+    # The range partitioning reads its input twice; parsing is done once.
+    kept = Scratch(records.sparkSession).write(kept)
     packed = F.when(F.col("canonical").isNotNull() & (F.col("_kind") == 0), F.struct(
         F.col("record_id").alias("id"), F.col("status").alias("status"), F.col("headers").alias("headers"),
         F.col("payload_digest").alias("digest"), F.col("_etag").alias("etag"), F.col("_modified").alias("modified")))
