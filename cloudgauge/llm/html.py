@@ -304,9 +304,14 @@ def relaid_targets(page: Page) -> np.ndarray:
 
 
 def train(pages: DataFrame, column: str = "html", sample: int = FIT_SAMPLE) -> Boosted:
-    """Trees fitted on the ``sample`` pages of smallest text hash, at most; null pages teach nothing."""
-    chosen = pages.select(F.col(column).cast("string").alias("_html")).filter("_html is not null and length(_html) < 1000000")
-    chosen = chosen.orderBy(F.xxhash64("_html"), "_html").limit(sample).collect()
+    """Trees fitted on the ``sample`` pages of smallest text hash, at most; null pages teach nothing.
+
+    Only hashes are sorted; of the pages no more than the sample leaves the executors.
+    """
+    known = pages.select(F.col(column).cast("string").alias("_html"), F.xxhash64(F.col(column).cast("string")).alias("_hash"))
+    known = known.filter("_html is not null and length(_html) < 1000000")
+    last = known.select("_hash").distinct().orderBy("_hash").limit(sample).agg(F.max("_hash")).first()[0]
+    chosen = known.filter(F.col("_hash") <= F.lit(last).cast("long")).dropDuplicates(["_hash"]).orderBy("_hash").select("_html").collect()
     xs, ys = [np.zeros((0, 29))], [np.zeros(0)]
     for number, row in enumerate(chosen):
         page = parse(row[0])
