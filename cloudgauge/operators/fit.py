@@ -2,8 +2,9 @@
 
 All sums (centroids, covariances, normal equations) are grouped aggregates; the closing
 3x3 eigen problem or the at most 15x15 solve of an already aggregated row runs in a pandas
-UDF. Candidate scoring and Gauss-Newton steps run per cloud on its sample, which holds at
-most ``SAMPLE_LIMIT`` rows however large the cloud is. Residuals cover every point. Each least-squares pass first centres
+UDF. Every step uses all finite points of a cloud: candidates are scored by exact medians
+from digit counts of slices of the cloud, Gauss-Newton sums its normal equations over all
+open clouds in one grouped aggregate per step. Each least-squares pass first centres
 its points, so large coordinates do not cost precision. Groups whose points cannot
 determine a shape get a ``failure`` text instead of failing the job.
 """
@@ -14,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -28,8 +29,9 @@ from cloudgauge.session import cut_lineage, join_on, salted_join
 
 # Fixed values of the fitting procedure.
 MINIMUM_POINTS = {"plane": 3, "sphere": 4, "cylinder": 6, "quadric": 6, "quartic": 15}
-SAMPLE_LIMIT = 20_000
 CANDIDATES = 120
+#: Points of a cloud that one task scores at a time.
+SCORE_SLICE = 50_000
 DEGENERATE_EIGENVALUE = 1e-12
 TRIM_ROUNDS = 3
 TRIM_FACTOR = 3.0
@@ -42,8 +44,6 @@ RANK_TOLERANCE = 1e-13
 EIGEN = T.StructType(
     [T.StructField("values", T.ArrayType(T.DoubleType())), T.StructField("vectors", T.ArrayType(T.DoubleType()))])
 
-BEST = T.StructType([T.StructField("best", T.IntegerType()), T.StructField("score", T.DoubleType())])
-
 
 @F.pandas_udf(EIGEN)
 def eigen3(xx: pd.Series, yy: pd.Series, zz: pd.Series, xy: pd.Series, xz: pd.Series, yz: pd.Series) -> pd.DataFrame:
@@ -98,9 +98,9 @@ def orthogonal(v: Vec) -> Vec:
     )
 
 
-def _attach(points: DataFrame, groups: DataFrame, keys: Sequence[str], bounded: bool = True) -> DataFrame:
-    """Group values beside each point. Samples hold a bounded number of rows per group and
-    join as they are; whole clouds are spread over salts."""
+def _attach(points: DataFrame, groups: DataFrame, keys: Sequence[str], bounded: bool = False) -> DataFrame:
+    """Group values beside each point. Minimal subsets hold a bounded number of rows per group
+    and join as they are; whole clouds are spread over salts."""
     if bounded:
         return join_on(points, groups, keys)
     return salted_join(points, groups, keys, spread=["x", "y", "z"])
@@ -142,9 +142,9 @@ def _normal_sums(terms: Sequence[Column], value: Column) -> list[Column]:
     return [matrix.alias("_m"), right.alias("_b")]
 
 
-def least_squares(points: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
+def least_squares(points: DataFrame, kind: str, keys: Sequence[str], bounded: bool = False) -> DataFrame:
     """One model row per key with the ``failure`` of degenerate groups."""
-    axes = pca(points, keys, bounded=True)
+    axes = pca(points, keys, bounded)
     degenerate = F.element_at("eigenvalues", 2) <= DEGENERATE_EIGENVALUE
     axes = axes.withColumn("failure", F.when(degenerate, "degenerate"))
     if kind == "plane":
@@ -152,17 +152,17 @@ def least_squares(points: DataFrame, kind: str, keys: Sequence[str]) -> DataFram
         out = out.withColumn("offset", -dot(fields("direction"), fields("center")))
         return _shape(out, keys)
     if kind in ("quadric", "quartic"):
-        return _surface(points, axes, kind, keys)
+        return _surface(points, axes, kind, keys, bounded)
     if kind == "sphere":
-        return _sphere(points, axes, keys)
-    return _cylinder(points, axes, keys)
+        return _sphere(points, axes, keys, bounded)
+    return _cylinder(points, axes, keys, bounded)
 
 
 def _shape(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return complete_models(df).select(*keys, *MODEL_COLUMNS, "failure")
 
 
-def _surface(points: DataFrame, axes: DataFrame, kind: str, keys: Sequence[str]) -> DataFrame:
+def _surface(points: DataFrame, axes: DataFrame, kind: str, keys: Sequence[str], bounded: bool) -> DataFrame:
     degree = 2 if kind == "quadric" else 4
     total = F.aggregate("eigenvalues", F.lit(0.0), lambda acc, v: acc + v)
     normal = fields("axis0")
@@ -170,7 +170,7 @@ def _surface(points: DataFrame, axes: DataFrame, kind: str, keys: Sequence[str])
         *keys, "failure", "center", F.col("axis0").alias("direction"), pack(orthogonal(normal)).alias("basis_u"),
         F.sqrt(total).alias("surface_scale"))
     frame = frame.withColumn("basis_v", pack(cross(fields("direction"), fields("basis_u"))))
-    joined = _attach(points.select(*keys, "x", "y", "z"), frame, keys)
+    joined = _attach(points.select(*keys, "x", "y", "z"), frame, keys, bounded)
     delta = sub(vec("x", "y", "z"), fields("center"))
     u = dot(delta, fields("basis_u")) / F.col("surface_scale")
     v = dot(delta, fields("basis_v")) / F.col("surface_scale")
@@ -183,9 +183,9 @@ def _surface(points: DataFrame, axes: DataFrame, kind: str, keys: Sequence[str])
     return _shape(out.withColumn("failure", F.coalesce("failure", missing)), keys)
 
 
-def _sphere(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _sphere(points: DataFrame, axes: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     base = axes.select(*keys, "failure", "center")
-    joined = _attach(points.select(*keys, "x", "y", "z"), base, keys)
+    joined = _attach(points.select(*keys, "x", "y", "z"), base, keys, bounded)
     delta = sub(vec("x", "y", "z"), fields("center"))
     rows = joined.select(*keys, *[c.alias(f"d{a}") for a, c in zip("xyz", delta)])
     d = vec("dx", "dy", "dz")
@@ -205,7 +205,7 @@ def _sphere(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFram
     return _shape(out, keys)
 
 
-def _cylinder(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _cylinder(points: DataFrame, axes: DataFrame, keys: Sequence[str], bounded: bool) -> DataFrame:
     """Each principal axis is tried as the cylinder axis with a circle fit; the candidate
     of least squared error wins, the earlier one in a tie."""
     tries = axes.select(
@@ -216,7 +216,7 @@ def _cylinder(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFr
     packed = tries.groupBy(*keys).agg(
         F.first("failure").alias("failure"),
         F.collect_list(F.struct("_try", "origin", "direction", "basis_u", "basis_v")).alias("_tries"))
-    joined = _attach(points.select(*keys, "x", "y", "z"), packed, keys).select(
+    joined = _attach(points.select(*keys, "x", "y", "z"), packed, keys, bounded).select(
         *keys, "x", "y", "z", F.explode("_tries").alias("_c"))
     c = F.col("_c")
     delta = sub(vec("x", "y", "z"), fields(c["origin"]))
@@ -231,7 +231,8 @@ def _cylinder(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFr
     squared = s[0] * s[0] + s[1] * s[1] + s[2]
     solved = solved.filter(F.col("_s").isNotNull() & (squared > 0)).withColumns({
         "p0": s[0], "q0": s[1], "radius": F.sqrt(F.abs(squared))})
-    scored = join_on(rows, solved.select(*keys, "_try", "p0", "q0", "radius"), [*keys, "_try"])
+    circles = solved.select(*keys, "_try", "p0", "q0", "radius")
+    scored = join_on(rows, circles, [*keys, "_try"]) if bounded else salted_join(rows, circles, [*keys, "_try"], spread=["p", "q"])
     gap = F.sqrt((p - F.col("p0")) ** 2 + (q - F.col("q0")) ** 2) - F.col("radius")
     scores = scored.groupBy(*keys, "_try").agg(F.sum(gap * gap).alias("_score"))
     best = join_on(solved, scores, [*keys, "_try"])
@@ -247,60 +248,101 @@ def _cylinder(points: DataFrame, axes: DataFrame, keys: Sequence[str]) -> DataFr
     return _shape(out, keys)
 
 
-# -- sample, candidates, trimming, refinement ----------------------------------------
+# -- candidates, trimming, refinement ------------------------------------------------
 
 
-def fit_sample(df: DataFrame, by: Sequence[str], limit: int = SAMPLE_LIMIT) -> DataFrame:
-    """At most ``limit`` finite points per cloud, evenly strided in id order, numbered
-    ``_i`` from 0 with the sample size ``_keep``."""
+def numbered(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """All finite points of each cloud, numbered ``_i`` from 0 in id order, with their count ``_n``."""
     pts = filter_finite(df).select(*by, "point_id", "x", "y", "z")
     ranked = ordered.row_number(pts, by, ["point_id"], "_row", ordered.point_slice())
     totals = pts.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    totals = totals.withColumn("_keep", F.least(F.col("_n"), F.lit(limit)).cast("bigint"))
-    rows = salted_join(ranked.withColumn("_at", F.col("_row") - 1), totals, by, spread=["point_id"])
-    rows = rows.filter(stride_filter("_at", "_n", "_keep"))
+    rows = salted_join(ranked, totals, by, spread=["point_id"])
+    return rows.select(*by, "point_id", "x", "y", "z", "_n", (F.col("_row") - 1).alias("_i"))
+
+
+def fit_sample(df: DataFrame, by: Sequence[str], limit: int) -> DataFrame:
+    """At most ``limit`` finite points per cloud, evenly strided in id order, numbered
+    ``_i`` from 0 with the sample size ``_keep``. For display and imports; fits use every point."""
+    rows = numbered(df, by).withColumnRenamed("_i", "_at")
+    rows = rows.withColumn("_keep", F.least(F.col("_n"), F.lit(limit)).cast("bigint")).filter(stride_filter("_at", "_n", "_keep"))
     return rows.select(*by, "point_id", "x", "y", "z", "_n", "_keep", F.expr("(_at * _keep + _n - 1) div _n").alias("_i"))
 
 
-def _candidate_subsets(sample: DataFrame, kind: str, by: Sequence[str], seed: int) -> DataFrame:
-    """``CANDIDATES`` minimal subsets per cloud: distinct sample rows picked by hash."""
+def _candidate_subsets(points: DataFrame, kind: str, by: Sequence[str], seed: int) -> DataFrame:
+    """``CANDIDATES`` minimal subsets per cloud: distinct points picked by hash."""
     size = MINIMUM_POINTS[kind]
-    groups = sample.groupBy(*by).agg(F.first("_keep").alias("_keep"))
+    groups = points.groupBy(*by).agg(F.first("_n").alias("_n"))
     # More picks than needed, so that repeats can be dropped; the first distinct ones stay.
     picks = groups.withColumn("_cand", F.explode(F.sequence(F.lit(1), F.lit(CANDIDATES))))
     draws = F.transform(
         F.sequence(F.lit(0), F.lit(8 * size)),
-        lambda k: F.pmod(F.xxhash64(*by, F.lit(seed), F.col("_cand"), k), F.col("_keep")))
+        lambda k: F.pmod(F.xxhash64(*by, F.lit(seed), F.col("_cand"), k), F.col("_n")))
     picks = picks.withColumn("_i", F.explode(F.slice(F.array_distinct(draws), 1, size)))
-    return join_on(picks.select(*by, "_i", "_cand"), sample.select(*by, "_i", "x", "y", "z"), [*by, "_i"])
+    return join_on(picks.select(*by, "_i", "_cand"), points.select(*by, "_i", "x", "y", "z"), [*by, "_i"])
 
 
-@F.pandas_udf(BEST)
-def best_candidate(xs: pd.Series, ys: pd.Series, zs: pd.Series, params: pd.Series) -> pd.DataFrame:
-    """Index of the candidate with the smallest upper median of absolute residuals.
+def _digit_counts(points: DataFrame, pools: DataFrame, by: Sequence[str], places: int) -> DataFrame:
+    """Per cloud and candidate how many absolute residuals have each digit, 24 bits of the number's own.
 
-    One row is one cloud's sample (at most ``SAMPLE_LIMIT`` points) with its candidates as
-    flat groups of 7: centre, normal, radius (radius below zero marks a plane).
+    A pool row holds a cloud's candidates as flat groups of 7 (centre, normal, radius; a radius below
+    zero marks a plane) and the leading digits that count, or NULL for all. The order of the bits is the
+    order of the numbers. A task sees ``SCORE_SLICE`` points of one cloud.
     """
-    best, score = [], []
-    for x, y, z, flat in zip(xs, ys, zs, params):
-        pts = np.column_stack([x, y, z])
-        winner = (np.inf, -1)
-        for index, c in enumerate(np.asarray(flat, dtype=float).reshape(-1, 7)):
+    keys = [*by, "_part"]
+    rows = points.select(*by, F.floor(F.col("_i") / SCORE_SLICE).alias("_part"), "x", "y", "z")
+    parts = join_on(rows.select(*keys).distinct(), pools.select(*by, "_params", "_lead"), by)
+    schema = T.StructType([*[points.schema[k] for k in by], T.StructField("_cand", T.IntegerType()),
+                           T.StructField("_digit", T.LongType()), T.StructField("_count", T.LongType())])
+
+    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        pts = left[["x", "y", "z"]].to_numpy(float)
+        lead = right["_lead"].iloc[0] if len(right) else None
+        for index, c in enumerate(np.asarray(right["_params"].iloc[0], float).reshape(-1, 7) if len(right) and len(left) else []):
             delta = pts - c[:3]
             e = np.abs(delta @ c[3:6]) if c[6] < 0 else np.abs(np.sqrt((delta * delta).sum(axis=1)) - c[6])
-            median = np.partition(e, len(e) // 2)[len(e) // 2]
-            if median < winner[0]:
-                winner = (median, index)
-        best.append(winner[1])
-        score.append(winner[0])
-    return pd.DataFrame({"best": best, "score": score})
-
-
-def _robust_start(sample: DataFrame, first: DataFrame, kind: str, by: Sequence[str], seed: int) -> DataFrame:
+            bits = e.view(np.int64)
+            if lead is not None:
+                bits = bits[bits >> places + 24 == lead[index]]
+            digit, n = np.unique(bits >> places & 0xFFFFFF, return_counts=True)
+            out.append(pd.DataFrame({"_cand": index, "_digit": digit, "_count": n}))
+        found = pd.concat(out) if out else pd.DataFrame({"_cand": [], "_digit": [], "_count": []})
+        for name, value in zip(by, key):
+            found[name] = value
+        return found[schema.names]
+
+    parts = parts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_params", "_lead")
+    counts = rows.groupBy(*keys).cogroup(parts.groupBy(*[f"_own_{k}" for k in keys])).applyInPandas(count, schema)
+    return counts.groupBy(*by, "_cand", "_digit").agg(F.sum("_count").alias("_count"))
+
+
+def _median_digit(counts: DataFrame, by: Sequence[str], rank: Column) -> DataFrame:
+    """The digit of the value at 0-based ``rank``, and the rank that is left inside it."""
+    upto = Window.partitionBy(*by, "_cand").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = counts.withColumn("_upto", F.sum("_count").over(upto)).withColumn("_rank", rank)
+    hit = run.filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_count") <= F.col("_rank")))
+    return hit.select(*by, "_cand", "_digit", (F.col("_rank") - F.col("_upto") + F.col("_count")).alias("_left"))
+
+
+def best_candidates(points: DataFrame, pools: DataFrame, by: Sequence[str]) -> DataFrame:
+    """``by``, ``_best``: index of the candidate with the smallest upper median of absolute residuals over all
+    points, the earlier one in a tie. Medians are compared by their leading 48 bits."""
+    totals = points.groupBy(*by).agg(F.first("_n").alias("_n"))
+    first = join_on(_digit_counts(points, pools.withColumn("_lead", F.lit(None).cast("array<bigint>")), by, 40), totals, by)
+    high = cut_lineage(_median_digit(first, by, F.expr("_n div 2")))
+    lead = high.groupBy(*by).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("_cand", "_digit"))), lambda d: d["_digit"]).alias("_lead"))
+    second = _digit_counts(points, join_on(pools, lead, by), by, 16)
+    ranks = high.select(*by, "_cand", F.col("_digit").alias("_high"), "_left")
+    low = _median_digit(join_on(second, ranks.drop("_high"), [*by, "_cand"]), by, F.col("_left"))
+    scores = join_on(low.select(*by, "_cand", "_digit"), ranks.select(*by, "_cand", "_high"), [*by, "_cand"])
+    return scores.groupBy(*by).agg(F.min_by("_cand", F.struct("_high", "_digit", "_cand")).alias("_best"))
+
+
+def _robust_start(points: DataFrame, first: DataFrame, kind: str, by: Sequence[str], seed: int) -> DataFrame:
     """Replace the all-points model by the best of it and the random minimal subsets."""
-    subsets = _candidate_subsets(sample, kind, by, seed)
-    tries = least_squares(subsets, kind, [*by, "_cand"]).filter("failure IS NULL").drop("failure")
+    subsets = _candidate_subsets(points, kind, by, seed)
+    tries = least_squares(subsets, kind, [*by, "_cand"], bounded=True).filter("failure IS NULL").drop("failure")
     whole = first.filter("failure IS NULL").drop("failure").withColumn("_cand", F.lit(0))
     pool = whole.unionByName(tries)
     ordered_pool = F.array_sort(F.collect_list(F.struct(
@@ -309,11 +351,9 @@ def _robust_start(sample: DataFrame, first: DataFrame, kind: str, by: Sequence[s
     params = F.flatten(F.transform("_pool", lambda c: F.array(
         c["center"]["x"], c["center"]["y"], c["center"]["z"],
         c["direction"]["x"], c["direction"]["y"], c["direction"]["z"], c["_r"])))
-    # The sample of one cloud is at most SAMPLE_LIMIT rows, so one array row is bounded.
-    clouds = sample.groupBy(*by).agg(*[F.collect_list(a).alias(f"_{a}s") for a in "xyz"])
-    scored = join_on(clouds, packed, by).select(
-        *by, "_pool", best_candidate("_xs", "_ys", "_zs", params).alias("_b"))
-    chosen = scored.select(*by, F.element_at("_pool", F.col("_b")["best"] + 1).alias("_w"))
+    packed = cut_lineage(packed.withColumn("_params", params))
+    best = best_candidates(points, packed.select(*by, "_params"), by)
+    chosen = join_on(packed, best, by).select(*by, F.element_at("_pool", F.col("_best") + 1).alias("_w"))
     out = join_on(first, chosen, by, "left")
     w = F.col("_w")
     out = out.withColumn("center", F.coalesce(w["center"], F.col("center")))
@@ -326,80 +366,104 @@ def _robust_start(sample: DataFrame, first: DataFrame, kind: str, by: Sequence[s
     return out.drop("_w")
 
 
-REFINED = T.StructType([
-    T.StructField("center", VEC3), T.StructField("direction", VEC3), T.StructField("radius", T.DoubleType()),
-    T.StructField("ok", T.BooleanType())])
+STEPPED = T.StructType([
+    T.StructField("center", VEC3), T.StructField("direction", VEC3), T.StructField("u", VEC3), T.StructField("v", VEC3),
+    T.StructField("radius", T.DoubleType()), T.StructField("state", T.StringType())])
 
 
-def _gauss_newton(pts: np.ndarray, c: np.ndarray, d: np.ndarray, r: float, kind: str):
-    """Steps of one cloud's sphere or cylinder on its bounded sample."""
-    for _ in range(REFINE_STEPS):
-        delta = pts - c
-        if kind == "sphere":
-            radial = delta
-        else:
-            u = np.cross(d, np.eye(3)[np.argmin(np.abs(d))])
-            u /= np.linalg.norm(u)
-            v = np.cross(d, u)
-            t = delta @ d
-            radial = delta - t[:, None] * d
-        length = np.sqrt((radial * radial).sum(axis=1))
-        ok = length >= 1e-12
-        n = radial[ok] / length[ok, None]
-        if kind == "sphere":
-            jac = np.column_stack([-n, -np.ones(len(n))])
-        else:
-            nu, nv = n @ u, n @ v
-            jac = np.column_stack([-nu, -nv, -t[ok] * nu, -t[ok] * nv, -np.ones(len(n))])
-        normal = jac.T @ jac + REFINE_DAMPING * np.eye(jac.shape[1])
-        step = np.linalg.solve(normal, -jac.T @ (length[ok] - r))
+def _frame(d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    u = np.cross(d, np.eye(3)[np.argmin(np.abs(d))])
+    u /= np.linalg.norm(u)
+    return u, np.cross(d, u)
+
+
+def _step(matrix, right, s, kind: str):
+    """One Gauss-Newton step from summed normal equations; ``matrix`` is NULL at the start."""
+    c, d, r = np.array(s[:3]), np.array(s[3:6]), s[6]
+    state = "open"
+    if matrix is not None and len(matrix):
+        n = len(right)
+        a = np.zeros((n, n))
+        a[np.triu_indices(n)] = matrix
+        a = a + np.triu(a, 1).T + REFINE_DAMPING * np.eye(n)
+        step = np.linalg.solve(a, np.asarray(right, float)) if np.isfinite(a).all() else np.full(n, np.nan)
         size = np.linalg.norm(step)
         if not np.isfinite(step).all() or size < REFINE_STOP or size > 2 * max(1.0, r):
-            break
-        if kind == "sphere":
+            state = "done"
+        elif kind == "sphere":
             c = c + step[:3]
         else:
+            u, v = _frame(d)
             c = c + u * step[0] + v * step[1]
             d = d + u * step[2] + v * step[3]
             d = d / np.linalg.norm(d)
-        r = r + step[-1]
-        if r <= 0 or not np.isfinite(c).all():
-            return c, d, r, False
-    return c, d, r, True
+        if state == "open":
+            r = r + step[-1]
+            if r <= 0 or not np.isfinite(c).all():
+                state = "failed"
+    u, v = _frame(d) if kind == "cylinder" else (d, d)
+    return (*(dict(zip("xyz", x)) for x in (c, d, u, v)), r, state)
 
 
-@F.pandas_udf(REFINED)
-def refine_packed(
-    xs: pd.Series, ys: pd.Series, zs: pd.Series, start: pd.Series, kind: pd.Series
-) -> pd.DataFrame:
-    """One row is one cloud's sample, at most ``SAMPLE_LIMIT`` points by construction."""
-    out = []
-    for x, y, z, s, k in zip(xs, ys, zs, start, kind):
-        c, d, r, ok = _gauss_newton(np.column_stack([x, y, z]), np.array(s[:3]), np.array(s[3:6]), s[6], k)
-        out.append((dict(zip("xyz", c)), dict(zip("xyz", d)), r, ok))
-    return pd.DataFrame(out, columns=["center", "direction", "radius", "ok"])
+@F.pandas_udf(STEPPED)
+def take_step(matrix: pd.Series, right: pd.Series, start: pd.Series, kind: pd.Series) -> pd.DataFrame:
+    """New models of already summed clouds."""
+    rows = [_step(m, b, s, k) for m, b, s, k in zip(matrix, right, start, kind)]
+    return pd.DataFrame(rows, columns=STEPPED.names)
 
 
 def refine(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
-    """Gauss-Newton on the geometric distance. ``points`` must be (part of) a fit sample,
-    so a cloud is a bounded array row and clouds refine in parallel."""
+    """Gauss-Newton on the geometric distance over all ``points``: per step one grouped aggregate of the normal
+    equations of every cloud that still moves, at most ``REFINE_STEPS`` of them."""
     if kind not in ("sphere", "cylinder"):
         return models
-    clouds = points.groupBy(*by).agg(*[F.collect_list(a).alias(f"_{a}s") for a in "xyz"])
-    start = F.array(*fields("center"), *fields("direction"), F.col("radius"))
-    rows = join_on(models.filter("failure IS NULL").select(*by, start.alias("_start")), clouds, by)
-    steps = rows.select(*by, refine_packed("_xs", "_ys", "_zs", "_start", F.lit(kind)).alias("_f"))
+
+    def start() -> Column:
+        return F.array(*fields("center"), *fields("direction"), F.col("radius"))
+
+    none = F.lit(None).cast("array<double>")
+    first = models.filter("failure IS NULL").select(*by, take_step(none, none, start(), F.lit(kind)).alias("_f"))
+    moving = cut_lineage(first.select(*by, "_f.*"))
+    ended = None
+    for _ in range(REFINE_STEPS):
+        at = _attach(points.select(*by, "x", "y", "z"), moving.select(*by, F.struct("center", "direction", "u", "v", "radius").alias("_g")), by)
+        g = F.col("_g")
+        delta = sub(vec("x", "y", "z"), fields(g["center"]))
+        if kind == "sphere":
+            radial, t = delta, F.lit(0.0)
+        else:
+            t = dot(delta, fields(g["direction"]))
+            radial = sub(delta, scale(fields(g["direction"]), t))
+        rows = at.select(*by, *[c.alias(f"_r{a}") for a, c in zip("xyz", radial)], t.alias("_t"), "_g")
+        rows = rows.withColumn("_l", F.sqrt(dot(vec("_rx", "_ry", "_rz"), vec("_rx", "_ry", "_rz")))).filter("_l >= 1e-12")
+        normal = scale(vec("_rx", "_ry", "_rz"), 1.0 / F.col("_l"))
+        if kind == "sphere":
+            terms = [-normal[0], -normal[1], -normal[2], F.lit(-1.0)]
+        else:
+            nu, nv = dot(normal, fields(g["u"])), dot(normal, fields(g["v"]))
+            terms = [-nu, -nv, -F.col("_t") * nu, -F.col("_t") * nv, F.lit(-1.0)]
+        rows = rows.select(*by, *[x.alias(f"_j{i}") for i, x in enumerate(terms)], (g["radius"] - F.col("_l")).alias("_e"))
+        sums = rows.groupBy(*by).agg(*_normal_sums([F.col(f"_j{i}") for i in range(len(terms))], F.col("_e")))
+        stepped = join_on(moving, sums, by, "left").select(
+            *by, take_step("_m", "_b", start(), F.lit(kind)).alias("_f"))
+        stepped = cut_lineage(stepped.select(*by, "_f.*"))
+        closed = stepped.filter("state <> 'open'")
+        ended = closed if ended is None else ended.unionByName(closed)
+        moving = stepped.filter("state = 'open'")
+        if moving.isEmpty():
+            break
+    steps = ended.unionByName(moving).select(*by, F.struct("center", "direction", "radius", "state").alias("_f"))
     out = join_on(models, steps, by, "left")
     f = F.col("_f")
     return out.withColumns({
         "center": F.coalesce(f["center"], F.col("center")),
         "direction": F.when(f.isNotNull(), pack(orient(fields(f["direction"])))).otherwise(F.col("direction")),
         "radius": F.coalesce(f["radius"], F.col("radius")),
-        "failure": F.when(f["ok"] == F.lit(False), "not_converged").otherwise(F.col("failure")),
+        "failure": F.when(f["state"] == "failed", "not_converged").otherwise(F.col("failure")),
     }).drop("_f")
 
 
-def _trim(sample: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
+def _trim(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
     """Up to three rounds of refitting on the points near the current model. A cloud stops
     when too few points are near, or after one refinement when all of them are."""
     state = cut_lineage(models.withColumn("_open", F.col("failure").isNull()))
@@ -408,16 +472,16 @@ def _trim(sample: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) ->
         if active.isEmpty():
             break
         packed = complete_models(active).select(*by, F.struct(*MODEL_COLUMNS).alias("_model"))
-        rows = join_on(sample.select(*by, "x", "y", "z"), packed, by)
+        rows = _attach(points.select(*by, "x", "y", "z"), packed, by)
         rows = rows.select(*by, "x", "y", "z", F.abs(residual(vec("x", "y", "z"), F.col("_model"))).alias("_e"))
         limits = rows.groupBy(*by).agg(upper_median("_e").alias("_median"), F.count(F.lit(1)).alias("_all"))
-        near = join_on(rows, limits, by).filter(
+        near = _attach(rows, limits, by).filter(
             F.col("_e") <= F.greatest(F.lit(TRIM_FLOOR), F.col("_median") * TRIM_FACTOR))
         counts = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_in"))
         case = (
             F.when(F.col("_in") < MINIMUM_POINTS[kind], "stop").when(F.col("_in") == F.col("_all"), "last")
             .otherwise("again"))
-        near = cut_lineage(join_on(near, counts, by).select(*by, "x", "y", "z", case.alias("_case")))
+        near = cut_lineage(_attach(near, counts, by).select(*by, "x", "y", "z", case.alias("_case")))
         again = near.filter("_case = 'again'")
         last = near.filter("_case = 'last'").select(*by).distinct()
         start = least_squares(again, kind, by).withColumn("_open", F.lit(True)).unionByName(
@@ -436,9 +500,9 @@ def _trim(sample: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) ->
 def fit(
     df: DataFrame, kind: str, by: Sequence[str] = ("cloud_id",), standard_diameter: float = 0.0, seed: int = 12345
 ) -> DataFrame:
-    """Fit one shape to every cloud: sample, solve, robust start or refinement, trimmed
-    refits, then statistics over all finite points. Eager: a bounded number of aggregate
-    passes over the sample, for all clouds together.
+    """Fit one shape to every cloud: solve, robust start or refinement, trimmed refits, then
+    statistics, all over every finite point. Eager: a bounded number of aggregate passes for all
+    clouds together.
 
     Returns one model row per cloud; ``failure`` tells why a cloud has no model
     (``too_few``, ``degenerate``, ``rank``, ``radius``, ``not_converged``).
@@ -448,8 +512,7 @@ def fit(
     if not np.isfinite(standard_diameter) or standard_diameter < 0:
         raise ValueError("standard diameter must not be negative")
     keys = list(by)
-    sample = cut_lineage(fit_sample(df, keys))
-    enough = sample.filter(F.col("_n") >= MINIMUM_POINTS[kind])
+    enough = cut_lineage(numbered(df, keys)).filter(F.col("_n") >= MINIMUM_POINTS[kind])
     models = cut_lineage(least_squares(enough, kind, keys))
     if kind in ("plane", "sphere"):
         models = _robust_start(enough, models, kind, keys, seed)

@@ -17,8 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudgauge.operators import ordered
-from cloudgauge.operators.cloud import filter_finite, stride_filter, upper_median
+from cloudgauge.operators.cloud import filter_finite, upper_median
 from cloudgauge.session import cut_lineage, join_on, salted_join
 
 LEAF = 32
@@ -26,7 +25,6 @@ MAX_LEVEL = 52
 CHUNK = 4096
 
 # Fixed values of the reference procedure.
-SPACING_SAMPLE = 2000
 
 BOX = ["lx", "ly", "lz", "hx", "hy", "hz"]
 
@@ -249,21 +247,16 @@ def statistical_outlier_removal(
 
 
 def estimate_spacing(df: DataFrame, by: Sequence[str] = ("cloud_id",)) -> DataFrame:
-    """Upper median of the distance to the nearest other point, over at most
-    ``SPACING_SAMPLE`` evenly strided points, zeros left out; 0 where nothing remains."""
+    """Upper median of the distance to the nearest other point over all finite points, zeros
+    left out; 0 where nothing remains."""
     keys = list(by)
     pts = filter_finite(df)
-    ranked = ordered.row_number(pts, keys, ["point_id"], "_row", ordered.point_slice())
-    totals = pts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).withColumn(
-        "_keep", F.least(F.col("_n"), F.lit(SPACING_SAMPLE)).cast("bigint"))
-    rows = salted_join(ranked.withColumn("_at", F.col("_row") - 1), totals, keys, spread=["point_id"])
-    sample = cut_lineage(rows.filter(stride_filter("_at", "_n", "_keep")).select(*keys, "point_id", "x", "y", "z"))
-    lists = position_neighbours(pts, 1, keys, sample)
-    near = lists.select(*keys, "x", "y", "z", F.try_element_at("d", F.lit(2)).alias("_d")).filter("_d > 0")
-    flat = sample.withColumns({a: F.col(a) + F.lit(0.0) for a in "xyz"})
-    values = flat.join(near, [*keys, "x", "y", "z"])
+    clouds = pts.select(*keys).distinct()
+    # A position with copies has a nearest other point at distance 0; the others stand for one point each.
+    lists = position_neighbours(pts, 1, keys)
+    values = lists.select(*keys, F.try_element_at("d", F.lit(2)).alias("_d")).filter("_d > 0")
     medians = values.groupBy(*keys).agg(upper_median("_d").alias("spacing"))
-    return join_on(totals.select(*keys), medians, keys, "left").na.fill(0.0, ["spacing"])
+    return join_on(clouds, medians, keys, "left").na.fill(0.0, ["spacing"])
 
 
 # -- radius search -------------------------------------------------------------------

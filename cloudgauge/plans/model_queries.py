@@ -203,12 +203,11 @@ def q_sor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("estimate_spacing", sql=with_sql("points", body=GAPS + """
-, c AS (SELECT cloud_id, COUNT(*) AS n, LEAST(COUNT(*), 2000) AS k FROM points GROUP BY 1)
-, s AS (SELECT cloud_id, (i * n) // k AS point_id FROM c, LATERAL (SELECT UNNEST(RANGE(k)) AS i))
+, c AS (SELECT DISTINCT cloud_id FROM points)
 , v AS (SELECT cloud_id, d, ROW_NUMBER() OVER (PARTITION BY cloud_id ORDER BY d) - 1 AS i, COUNT(*) OVER (PARTITION BY cloud_id) AS n
-   FROM near JOIN s USING (cloud_id, point_id) WHERE rank = 1 AND d > 0)
+   FROM near WHERE rank = 1 AND d > 0)
 SELECT cloud_id, ROUND(COALESCE(MAX(CASE WHEN i = n // 2 THEN d END), 0), 6) AS spacing FROM c LEFT JOIN v USING (cloud_id)
-GROUP BY 1""".replace("COUNT(*) OVER (PARTITION BY cloud_id) AS n\n   FROM near", "COUNT(*) OVER (PARTITION BY cloud_id) AS nn\n   FROM near").replace("i = n // 2", "i = nn // 2")))
+GROUP BY 1"""))
 def q_spacing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(neighbours.estimate_spacing(recipes.points(spark, sf_dir)), 6)
 

@@ -34,6 +34,40 @@ def test_spheres(clouds):
         fit.fit(df, "sphere", standard_diameter=-1)
 
 
+def test_fits_use_every_point(clouds, monkeypatch):
+    """More points than one scoring slice; the outliers stand where strided samples would miss or hit them all."""
+    monkeypatch.setattr(fit, "SCORE_SLICE", 7_000)
+    rng = np.random.default_rng(9)
+    plane = np.column_stack([rng.uniform(-9, 9, (30_000, 2)), np.full(30_000, 2.0)])
+    plane[::2] += [0, 0, 50.0]
+    plane[: 30_000 : 10, 2] = 2.0  # 60 % on the plane, most of the even rows are off it
+    ball = rng.normal(size=(30_000, 3))
+    ball = ball / np.linalg.norm(ball, axis=1, keepdims=True) * 3 + [5, 6, 7]
+    ball[1::3] += [40, 40, 40]
+    got = by_cloud(fit.fit(clouds(p=plane), "plane"))
+    assert abs(got["p"].offset + 2) < 1e-9 and got["p"].direction.z == pytest.approx(1)
+    got = by_cloud(fit.fit(clouds(b=ball), "sphere"))
+    assert abs(got["b"].radius - 3) < 1e-6 and abs(got["b"].center.x - 5) < 1e-6
+    assert got["b"].max_abs > 50
+
+
+def test_medians_from_digits(clouds):
+    rng = np.random.default_rng(4)
+    pts = rng.normal(size=(501, 3))
+    pts[:100] = pts[0]
+    pools = rng.normal(size=(40, 7))
+    pools[:, 6] = np.where(np.arange(40) % 2, -1.0, np.abs(pools[:, 6]))
+    df = fit.numbered(clouds(c=pts), ["cloud_id"])
+    packed = df.sparkSession.createDataFrame([("c", pools.ravel().tolist())], "cloud_id string, _params array<double>")
+    best = fit.best_candidates(df, packed, ["cloud_id"]).collect()[0]["_best"]
+    scores = []
+    for c in pools:
+        d = pts - c[:3]
+        e = np.abs(d @ c[3:6]) if c[6] < 0 else np.abs(np.linalg.norm(d, axis=1) - c[6])
+        scores.append(np.sort(e)[len(e) // 2])
+    assert best == int(np.argmin(scores))
+
+
 def test_cylinders(clouds):
     got = by_cloud(fit.fit(clouds(short=cylinder(2), tall=cylinder(20)), "cylinder"))
     for name, height in (("short", 2), ("tall", 20)):
