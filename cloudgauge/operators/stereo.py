@@ -304,12 +304,12 @@ def frame_diagnostics(
 
 
 def sample_diagnostics(diag: DataFrame, run: Sequence[str] = ("run_id",), index: str = "frame_index") -> DataFrame:
-    """Frames worth logging: failures, short runs, the first ten, the last, each 50th."""
+    """All frames with ``sampled``: worth logging are failures, short runs, the first ten, the last, each 50th."""
     totals = diag.groupBy(*run).agg(F.count(F.lit(1)).alias("_n"))
     i = F.col(index)
     keep = (F.col("reason") != "ok") | (F.col("_n") <= DIAGNOSTIC_FULL) | (i <= DIAGNOSTIC_HEAD) | (
         i == F.col("_n")) | (i % DIAGNOSTIC_EVERY == 0)
-    return salted_join(diag, totals, run, spread=[index]).filter(keep).select(*diag.columns)
+    return salted_join(diag, totals, run, spread=[index]).select(*diag.columns, keep.alias("sampled"))
 
 
 def progress(

@@ -89,4 +89,4 @@ def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
     obs = observations(spark, sf_dir)
     points, _ = stereo.reconstruct(
         obs.select("frame_id").distinct(), obs, calibrations(spark, LENS), 2448, 2048, 0.01)
-    return round_all(points.filter("abs(z) < 1e4").select("frame_id", "left_obs", "right_obs", "x", "y", "z"), 3)
+    return round_all(points.select("frame_id", "left_obs", "right_obs", "x", "y", "z"), 3)

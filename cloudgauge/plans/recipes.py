@@ -59,10 +59,10 @@ def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     ranked = ordered.row_number(
         base, ["session_id", "side"], ["arrival_us", "event_id"], "k", F.expr("arrival_us div 86400000000"))
-    return ranked.filter("event_id % 211 <> 0").select(
+    return ranked.select(
         "session_id", "side", F.col("ts").alias("arrival_ts"), "arrival_us", "event_id",
-        F.expr("(4294967290 + k) % 4294967296").alias("frame_number"),
-        F.expr("CASE WHEN session_id % 2 = 0 THEN 0 ELSE k + 100 END").cast("bigint").alias("trigger_index"),
+        F.expr("(4294967290 + k + k div 29) % 4294967296").alias("frame_number"),
+        F.expr("CASE WHEN session_id % 2 = 0 THEN 0 ELSE k + k div 29 + 100 END").cast("bigint").alias("trigger_index"),
         F.expr("CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END").cast("bigint").alias("lost_packets"),
         F.expr("event_id % 733 <> 0").alias("metadata_valid"),
         F.floor(F.col("value") * 1000).cast("bigint").alias("n_bytes"),
@@ -150,15 +150,14 @@ SELECT CAST(l_suppkey AS VARCHAR) AS cloud_id,
 FROM lineitem""",
     "frame_events": """
 SELECT session_id, side, arrival_ts, epoch_us(arrival_ts) AS arrival_us, event_id,
-       (4294967290 + k) % 4294967296 AS frame_number,
-       CASE WHEN session_id % 2 = 0 THEN 0 ELSE k + 100 END AS trigger_index,
+       (4294967290 + k + k // 29) % 4294967296 AS frame_number,
+       CASE WHEN session_id % 2 = 0 THEN 0 ELSE k + k // 29 + 100 END AS trigger_index,
        CASE WHEN event_id % 499 = 0 THEN 1 ELSE 0 END AS lost_packets,
        event_id % 733 <> 0 AS metadata_valid, CAST(FLOOR(value * 1000) AS BIGINT) AS n_bytes
 FROM (SELECT e.*, CAST(FLOOR(user_id / 10) AS BIGINT) AS session_id,
              CASE WHEN user_id % 2 = 0 THEN 'left' ELSE 'right' END AS side, ts AS arrival_ts,
              ROW_NUMBER() OVER (PARTITION BY FLOOR(user_id / 10), user_id % 2 ORDER BY ts, event_id) AS k
-      FROM events e) q
-WHERE event_id % 211 <> 0""",
+      FROM events e) q""",
     "line_obs": """
 SELECT frame_id, side, ROW_NUMBER() OVER (PARTITION BY frame_id, side ORDER BY v, u, l_orderkey, l_linenumber,
          l_partkey, l_suppkey, l_shipdate) - 1 AS obs_id, u, v

@@ -83,12 +83,14 @@ TRIANGULATED = MATCH + """
 
 
 @query("triangulate", sql=with_sql("line_obs", body=TRIANGULATED + """
-SELECT frame_id, left_obs, right_obs, ROUND(x, 3) AS x, ROUND(y, 3) AS y, ROUND(z, 3) AS z FROM points
-WHERE ABS(z) < 1e4"""))
+SELECT frame_id, left_obs, right_obs, ROUND(x / z, 6) AS x_slope, ROUND(y / z, 6) AS y_slope, ROUND(1 / z, 9) AS nearness
+FROM points"""))
 def q_triangulate(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = matched(spark, sf_dir, 0.01).withColumn("rig_id", F.lit("rig"))
     points = stereo.triangulate(pairs, calibrations(spark))
-    return round_all(points.filter("abs(z) < 1e4").select("frame_id", "left_obs", "right_obs", "x", "y", "z"), 3)
+    # Nearly parallel rays meet far away, where only ratios have a fixed number of digits.
+    return points.select("frame_id", "left_obs", "right_obs", F.round(F.col("x") / F.col("z"), 6).alias("x_slope"),
+                         F.round(F.col("y") / F.col("z"), 6).alias("y_slope"), F.round(1 / F.col("z"), 9).alias("nearness"))
 
 
 def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,10 +134,10 @@ def run_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("sample_diagnostics", sql=with_sql("line_obs", body=DIAG + """
 , t AS (SELECT *, COUNT(*) OVER (PARTITION BY run_id) AS n FROM runs)
-SELECT run_id, frame_index, frame_id, reason FROM t WHERE reason <> 'ok' OR n <= 200 OR frame_index <= 10
-  OR frame_index = n OR frame_index % 50 = 0"""))
+SELECT run_id, frame_index, frame_id, reason, reason <> 'ok' OR n <= 200 OR frame_index <= 10
+  OR frame_index = n OR frame_index % 50 = 0 AS sampled FROM t"""))
 def q_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stereo.sample_diagnostics(run_table(spark, sf_dir)).select("run_id", "frame_index", "frame_id", "reason")
+    return stereo.sample_diagnostics(run_table(spark, sf_dir)).select("run_id", "frame_index", "frame_id", "reason", "sampled")
 
 
 @query("progress", sql=with_sql("line_obs", body=DIAG + """

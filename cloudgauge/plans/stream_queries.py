@@ -30,7 +30,7 @@ def q_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
    OR p.arrival_us < s.at[1] OR (p.arrival_us = s.at[1] AND p.event_id < s.at[2]))
 SELECT l.session_id, l.nth AS pair_index, l.frame_number AS left_frame_number, r.frame_number AS right_frame_number,
   l.trigger_index AS left_trigger_index, r.trigger_index AS right_trigger_index,
-  GREATEST(l.arrival_us, r.arrival_us) AS ready_us
+  GREATEST(l.arrival_us, r.arrival_us) AS ready_us, FALSE AS late_arrival
 FROM ok l JOIN ok r ON l.session_id = r.session_id AND l.nth = r.nth AND l.side = 'left' AND r.side = 'right'"""))
 def q_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.replay(recipes.frame_events(spark, sf_dir), "arrival_us",
@@ -40,7 +40,7 @@ def q_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("stream_pairs_all", sql=with_sql("frame_events", body=JUDGED + """
 SELECT l.session_id, l.nth AS pair_index, l.frame_number AS left_frame_number, r.frame_number AS right_frame_number,
   l.trigger_index AS left_trigger_index, r.trigger_index AS right_trigger_index,
-  GREATEST(l.arrival_us, r.arrival_us) AS ready_us
+  GREATEST(l.arrival_us, r.arrival_us) AS ready_us, FALSE AS late_arrival
 FROM prev l JOIN prev r ON l.session_id = r.session_id AND l.nth = r.nth AND l.side = 'left' AND r.side = 'right'"""))
 def q_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.replay(recipes.frame_events(spark, sf_dir), "arrival_us",

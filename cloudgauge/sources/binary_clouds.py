@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import glob
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,7 +20,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 SCHEMA = "cloud_id string, record_id bigint, x double, y double, z double"
 SPLIT_BYTES = 64 << 20
 BATCH_RECORDS = 1 << 16
-HEADER_LIMIT = 1 << 20
+#: Bytes that a header is first looked for in; while it has no end, twice as many are read.
+HEADER_BYTES = 1 << 20
 
 # Number types of the two formats.
 PCD_TYPES = {
@@ -110,7 +112,10 @@ def ply_layout(head: bytes) -> Layout:
 
 def layout_of(path: str) -> Layout:
     with open(path, "rb") as stream:
-        head = stream.read(HEADER_LIMIT)
+        head, size = stream.read(HEADER_BYTES), HEADER_BYTES
+        ends = re.compile(rb"^\s*end_header\b" if path.lower().endswith(".ply") else rb"^\s*DATA\b[^\n]*\n", re.M | re.I)
+        while not ends.search(head) and len(head) == size:
+            head, size = head + stream.read(size), 2 * size
     try:
         layout = ply_layout(head) if path.lower().endswith(".ply") else pcd_layout(head)
     except ValueError as error:

@@ -96,7 +96,8 @@ def read_xyz_text(
 def _words_after(lines: Column, key: str) -> Column:
     """Words after ``key`` on the last header line that starts with it."""
     hits = F.filter(lines, lambda t: F.upper(F.try_element_at(t, F.lit(1))) == key)
-    return F.slice(F.try_element_at(hits, F.lit(-1)), 2, 100_000)
+    last = F.try_element_at(hits, F.lit(-1))
+    return F.slice(last, F.lit(2), F.greatest(F.size(last), F.lit(0)))
 
 
 def _headers(lines: DataFrame) -> DataFrame:

@@ -106,7 +106,8 @@ def monitor_sequence(
 
 
 PAIRS = ("session_id bigint, pair_index bigint, left_frame_number bigint, right_frame_number bigint, "
-         "left_trigger_index bigint, right_trigger_index bigint, ready_us bigint")
+         "left_trigger_index bigint, right_trigger_index bigint, ready_us bigint, late_arrival boolean")
+PAIR_COLUMNS = [c.split()[0] for c in PAIRS.split(", ")]
 PAIR_STATE = ("left_frame array<bigint>, left_trigger array<bigint>, left_us array<bigint>, right_frame array<bigint>, "
               "right_trigger array<bigint>, right_us array<bigint>, paired bigint, stopped boolean, last_us bigint, "
               "last_tie bigint, left_prev array<bigint>, right_prev array<bigint>")
@@ -118,7 +119,15 @@ def _pairing(stop_on_violation: bool):
         queues = {"left": [np.array(v, dtype="i8") for v in old[0:3]], "right": [np.array(v, dtype="i8") for v in old[3:6]]}
         paired, stopped, last_us, last_tie = old[6:10]
         prev = {"left": list(old[10]), "right": list(old[11])}
-        rows, _ = gather(batches, None if last_us is None else (last_us, last_tie))
+        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        if len(late):
+            is_left = late["side"] == "left"
+            yield pd.DataFrame({
+                "session_id": key[0], "pair_index": None, "left_frame_number": late["frame_number"].where(is_left),
+                "right_frame_number": late["frame_number"].where(~is_left),
+                "left_trigger_index": late["trigger_index"].where(is_left),
+                "right_trigger_index": late["trigger_index"].where(~is_left), "ready_us": late["arrival_us"],
+                "late_arrival": True})[PAIR_COLUMNS].astype({c: "Int64" for c in PAIR_COLUMNS[:-1]})
         if len(rows):
             last_us, last_tie = int(rows["arrival_us"].iloc[-1]), int(rows["tie"].iloc[-1])
         if stopped or not len(rows):
@@ -146,7 +155,7 @@ def _pairing(stop_on_violation: bool):
             yield pd.DataFrame({
                 "session_id": key[0], "pair_index": np.arange(1, n + 1) + paired, "left_frame_number": left[0],
                 "right_frame_number": right[0], "left_trigger_index": left[1], "right_trigger_index": right[1],
-                "ready_us": np.maximum(left[2], right[2])})
+                "ready_us": np.maximum(left[2], right[2]), "late_arrival": False})
         rest = [q[n:].tolist() for side in ("left", "right") for q in queues[side]]
         state.update((*rest, paired + n, stopped, last_us, last_tie, prev["left"], prev["right"]))
 
@@ -158,20 +167,23 @@ def pair_stream(
 ) -> DataFrame:
     """k-th left frame with k-th right frame per session, each frame used once. With
     ``stop_on_violation`` the first broken sequence rule ends the session's pairing. State
-    is what one side has received ahead of the other."""
+    is what one side has received ahead of the other. A frame older than what its session has already
+    seen pairs with nothing and comes out as ``late_arrival``."""
     rows = prepare(events, watermark, tie).drop("arrival_ts", "n_bytes", "expected")
     return rows.groupBy("session_id").applyInPandasWithState(
         _pairing(stop_on_violation), PAIRS, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-FPS = "session_id bigint, side string, arrival_us bigint, fps double"
+FPS = "session_id bigint, side string, arrival_us bigint, fps double, late_arrival boolean"
 FPS_STATE = "start_us bigint, count bigint, last_us bigint, last_tie bigint"
 
 
 def _fps(period_us: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, count, last_us, last_tie = state.get if state.exists else (None, 0, None, None)
-        rows, _ = gather(batches, None if last_us is None else (last_us, last_tie))
+        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        if len(late):
+            yield late[["session_id", "side", "arrival_us"]].assign(fps=np.nan, late_arrival=True)
         if not len(rows):
             return
         times = rows["arrival_us"].to_numpy("i8")
@@ -189,7 +201,7 @@ def _fps(period_us: int):
             start, count, at = int(times[hit]), 0, hit + 1
         state.update((start, count, int(times[-1]), int(rows["tie"].iloc[-1])))
         if done:
-            yield pd.DataFrame(done, columns=["session_id", "side", "arrival_us", "fps"])
+            yield pd.DataFrame(done, columns=["session_id", "side", "arrival_us", "fps"]).assign(late_arrival=False)
 
     return run
 
@@ -198,7 +210,8 @@ def live_fps(
     events: DataFrame, watermark: str = "10 seconds", period_s: float = 1.0, tie: str = "frame_number"
 ) -> DataFrame:
     """Frame rate per camera: frames over elapsed time, given at the first frame that is at
-    least ``period_s`` after the window start; the window restarts at that frame."""
+    least ``period_s`` after the window start; the window restarts at that frame. Frames older than the last
+    one count in no window and come out as ``late_arrival``."""
     rows = prepare(events, watermark, tie).select("session_id", "side", "arrival_us", "tie")
     return rows.groupBy("session_id", "side").applyInPandasWithState(
         _fps(int(period_s * 1_000_000)), FPS, FPS_STATE, "append", GroupStateTimeout.NoTimeout)
@@ -211,15 +224,23 @@ def fps_tumbling(events: DataFrame, watermark: str = "10 seconds", width: str =
     return counts.select("session_id", "side", F.col("window.start").alias("window_start"), "frames")
 
 
-QUEUE = "session_id bigint, side string, at_us bigint, queued_bytes bigint, peak_bytes bigint, overflow boolean"
+QUEUE = ("session_id bigint, side string, at_us bigint, queued_bytes bigint, peak_bytes bigint, overflow boolean, "
+         "late_rows bigint")
 QUEUE_STATE = "queued bigint, peak bigint, last_us bigint, last_tie bigint"
 
 
 def _queue(limit: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         queued, peak, last_us, last_tie = state.get if state.exists else (0, 0, None, None)
-        rows, _ = gather(batches, None if last_us is None else (last_us, last_tie))
+        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        # A late step is in no order any more, but its bytes are in the queue, or gone, from now on.
+        queued += int(late["n_bytes"].sum())
+        peak = max(peak, queued) if len(late) else peak
         if not len(rows):
+            state.update((queued, peak, last_us, last_tie))
+            yield pd.DataFrame({
+                "session_id": [key[0]], "side": [key[1]], "at_us": [last_us], "queued_bytes": [queued], "peak_bytes": [peak],
+                "overflow": [peak > limit], "late_rows": [len(late)]})
             return
         level = rows["n_bytes"].to_numpy("i8").cumsum() + queued
         came = level[rows["n_bytes"].to_numpy() >= 0]
@@ -227,7 +248,7 @@ def _queue(limit: int):
         state.update((int(level[-1]), peak, int(rows["arrival_us"].iloc[-1]), int(rows["tie"].iloc[-1])))
         yield pd.DataFrame({
             "session_id": [key[0]], "side": [key[1]], "at_us": [int(rows["arrival_us"].iloc[-1])],
-            "queued_bytes": [int(level[-1])], "peak_bytes": [peak], "overflow": [peak > limit]})
+            "queued_bytes": [int(level[-1])], "peak_bytes": [peak], "overflow": [peak > limit], "late_rows": [len(late)]})
 
     return run
 
@@ -236,7 +257,8 @@ def queue_monitor(
     steps: DataFrame, limit: int = QUEUE_LIMIT, keys: Sequence[str] = ("session_id", "side")
 ) -> DataFrame:
     """Queued and peak bytes per camera after each micro-batch. ``steps`` are rows
-    ``(session_id, side, arrival_us, tie, n_bytes)``, with negative bytes for removals."""
+    ``(session_id, side, arrival_us, tie, n_bytes)``, with negative bytes for removals. Steps older than the
+    last one change the level when they come; ``late_rows`` counts them."""
     rows = steps.select("session_id", "side", "arrival_us", "tie", "n_bytes")
     return rows.groupBy(*keys).applyInPandasWithState(
         _queue(limit), QUEUE, QUEUE_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,6 +1,7 @@
 import datetime
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -131,6 +132,40 @@ def test_live_fps(spark):
     assert [round(r.fps, 6) for r in rates] == [round(35 / 1.02, 6)] + [round(34 / 1.02, 6)] * 1
 
 
+class Held:
+    """State of one key between micro-batches."""
+
+    exists, hasTimedOut, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def micro_batches(run, *batches):
+    state, names = Held(), ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad", "n_bytes"]
+    for rows in batches:
+        out = list(run((1, "left"), iter([pd.DataFrame(rows, columns=names)]), state))
+        yield pd.concat(out) if out else None
+
+
+def test_late_rows_come_out():
+    def row(side, us, frame, n_bytes=10):
+        return (1, side, us, frame, frame, 0, False, n_bytes)
+
+    first = [row("left", 10, 1), row("left", 20, 2), row("right", 21, 1)]
+    second = [row("left", 5, 9), row("right", 30, 2)]
+    _, pairs = micro_batches(stateful._pairing(False), first, second)
+    late = pairs[pairs["late_arrival"]]
+    assert late["left_frame_number"].tolist() == [9] and late["pair_index"].isna().all() and late["ready_us"].tolist() == [5]
+    assert pairs[~pairs["late_arrival"]]["pair_index"].tolist() == [2]
+    _, rates = micro_batches(stateful._fps(1_000_000), first[:2], [row("left", 5, 9), row("left", 3_000_000, 3)])
+    assert rates["late_arrival"].tolist() == [True, False] and rates["arrival_us"].tolist() == [5, 3_000_000]
+    _, queue, only_late = micro_batches(
+        stateful._queue(100), first[:2], [row("left", 5, 9, 70), row("left", 30, 3, 5)], [row("left", 6, 9, -70)])
+    assert queue["queued_bytes"].tolist() == [95] and queue["late_rows"].tolist() == [1]
+    assert only_late["queued_bytes"].tolist() == [25] and only_late["late_rows"].tolist() == [1]
+
+
 def test_log_stream_keeps_other_sinks(spark, tmp_path):
     logs = spark.createDataFrame([("Debug", "a"), ("Info", "b"), ("Error", "c")], "level string, text string")
     logs.write.parquet(str(tmp_path / "in"))
