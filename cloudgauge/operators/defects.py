@@ -59,9 +59,7 @@ def measure_defects(
     vertices, edges = reach_edges(space, reach, group)
     labels = connected_components(vertices.select(*group, "id"), edges, group)
     named = vertices.join(labels, [*group, "id"])
-    joined = salted_join(
-        space.select(*group, "point_id", "signed_error", "x", "y", "z", "_reach"), named, [*group, "x", "y", "z"],
-        spread=["point_id"])
+    joined = space.select(*group, "point_id", "signed_error", "x", "y", "z", "_reach").join(named, [*group, "x", "y", "z"])
     members = joined.select(
         *keys, "dent", F.col("label").alias("defect_id"), "point_id", "signed_error",
         *[(F.col(a) * F.col("_reach")).alias(a) for a in "xyz"])
@@ -69,7 +67,7 @@ def measure_defects(
         F.first("dent").alias("dent"), F.count(F.lit(1)).alias("n"), F.max(F.abs("signed_error")).alias("max_depth"))
     sizes = sizes.filter(F.col("n") >= min_points)
     named_keys = [*keys, "defect_id"]
-    members = cut_lineage(salted_join(members.drop("dent"), sizes.select(*named_keys), named_keys, spread=["point_id"]))
+    members = cut_lineage(members.drop("dent").join(sizes.select(*named_keys), named_keys))
     axes = pca(members, named_keys).select(*named_keys, "center", "axis2", "axis1")
     placed = salted_join(members, axes, named_keys, spread=["point_id"])
     delta = sub(vec("x", "y", "z"), fields("center"))

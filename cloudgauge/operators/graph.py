@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudgauge.session import cut_lineage, salted_join
+from cloudgauge.session import cut_lineage
 
 
 def connected_components(
@@ -18,7 +18,7 @@ def connected_components(
     Each round joins the remaining edges with the labels of their ends (vertices have few
     edges, so no key is hot), lets every label hook onto the smallest neighbouring label
     through a map-side combined ``min``, shortens the hook chains, and relabels. A giant
-    component makes its label hot, so relabelling spreads rows over salts. Edges inside a
+    component makes its label hot on one side of a join, which adaptive execution splits. Edges inside a
     component drop out; the labels that remain at least halve per round.
     """
     keys = list(by)
@@ -39,7 +39,7 @@ def connected_components(
             onward = hooks.select(*keys, F.col("label").alias("_to"), F.col("_to").alias("_next"))
             hooks = hooks.join(onward, [*keys, "_to"], "left").select(
                 *keys, "label", F.coalesce("_next", "_to").alias("_to"))
-        moved = salted_join(labels, hooks, [*keys, "label"], "left", spread=[vertex])
+        moved = labels.join(hooks, [*keys, "label"], "left")
         labels = cut_lineage(moved.select(*keys, vertex, F.coalesce("_to", "label").alias("label")))
         open_edges = crossing.select(*keys, "src", "dst")
 

@@ -77,8 +77,7 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
             (F.col("node.level") - 1).alias("level"),
             *[F.shiftright(F.col("node")[f"c{a}"], 1).alias(f"c{a}") for a in "xyz"])
         levels.append(cells.withColumn("parent", parent))
-        placed = salted_join(
-            staged.drop("unit"), cells.select(*by, "node", "leaf", "unit"), [*by, "node"], spread=["id"])
+        placed = staged.drop("unit").join(cells.select(*by, "node", "leaf", "unit"), [*by, "node"])
         placed = cut_lineage(placed)
         leaves.append(placed.filter("leaf").select(*by, "id", "m", "ids", "x", "y", "z", "node", "unit"))
         pending = placed.filter("NOT leaf").drop("node", "leaf")
@@ -215,7 +214,7 @@ def knn(points: DataFrame, k: int, by: Sequence[str] = ("cloud_id",)) -> DataFra
     keys = list(by)
     lists = position_neighbours(points, k, keys).withColumnRenamed("ids", "_ids")
     pts = filter_finite(points).select(*keys, "point_id", *[(F.col(a) + F.lit(0.0)).alias(a) for a in "xyz"])
-    joined = salted_join(pts, lists.drop("id"), [*keys, "x", "y", "z"], spread=["point_id"])
+    joined = pts.join(lists.drop("id"), [*keys, "x", "y", "z"])
     others = F.filter(F.arrays_zip("d", "_ids"), lambda s: s["_ids"] != F.col("point_id"))
     rows = joined.select(*keys, "point_id", F.posexplode(F.slice(others, 1, k)).alias("_r", "_s"))
     return rows.select(
@@ -237,7 +236,7 @@ def statistical_outlier_removal(
     mean = F.aggregate(others, F.lit(0.0), lambda acc, v: acc + v) / F.size(others)
     spots = cut_lineage(lists.select(*keys, "x", "y", "z", mean.alias("_mean")))
     flat = pts.withColumns({a: F.col(a) + F.lit(0.0) for a in "xyz"})
-    rows = salted_join(flat, spots, [*keys, "x", "y", "z"], spread=["point_id"])
+    rows = flat.join(spots, [*keys, "x", "y", "z"])
     stats = rows.groupBy(*keys).agg(
         F.avg("_mean").alias("_mu"), F.stddev_samp("_mean").alias("_sd"), F.count(F.lit(1)).alias("_n"))
     few = F.when(F.col("_n") < 3, F.raise_error(F.lit("outlier removal needs three valid points")))

@@ -83,7 +83,8 @@ def salted_join(
     """Join whose left side may hold a hot key while ``right`` has one row per key.
 
     Left rows of one key are spread over the salts by the hash of ``spread``; the right
-    rows are repeated once per salt.
+    rows are repeated once per salt. For right sides with a row per cloud, run or frame; one with a
+    row per position, cell or vertex takes a plain join, whose skewed partitions adaptive execution splits.
     """
     salts = salts or salt_count(left.sparkSession)
     salted = left.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int"))
