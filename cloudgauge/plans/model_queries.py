@@ -189,9 +189,10 @@ GAPS = """
 
 
 @query("knn", sql=with_sql("points", body=GAPS + """
-SELECT cloud_id, point_id, rank, ROUND(d, 6) AS distance FROM near"""))
+SELECT cloud_id, point_id, rank, other AS neighbour_id, ROUND(d, 6) AS distance FROM near"""))
 def q_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_all(neighbours.knn(recipes.points(spark, sf_dir), 8).select("cloud_id", "point_id", "rank", "distance"), 6)
+    return round_all(neighbours.knn(recipes.points(spark, sf_dir), 8).select(
+        "cloud_id", "point_id", "rank", "neighbour_id", "distance"), 6)
 
 
 @query("statistical_outlier_removal", sql=with_sql("points", body=GAPS + """

@@ -60,7 +60,27 @@ def q_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.max("peak_bytes").alias("peak_bytes"), F.bool_or("overflow").alias("overflow"))
 
 
-@query("stream_live_fps")
+@query("stream_extra", sql=with_sql("frame_events", body=JUDGED + """
+SELECT session_id, side, arrival_us, event_id AS tie, frame_number, nth AS index, COALESCE(violation, 'extra_frame') AS violation
+FROM judged WHERE violation IS NOT NULL OR nth > 40 + session_id % 3"""))
+def q_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = recipes.frame_events(spark, sf_dir).withColumn("expected_frames", 40 + F.col("session_id") % 3)
+    never_ms = 1_000_000_000_000
+    return jobs.replay(events, "arrival_us", lambda s: stateful.monitor_sequence(s, DELAY, never_ms, "event_id"))
+
+
+@query("stream_live_fps", sql=with_sql("frame_events", body="""
+, f AS (SELECT session_id, side, arrival_us, ROW_NUMBER() OVER (PARTITION BY session_id, side ORDER BY arrival_us, event_id) AS i
+   FROM frame_events)
+, done AS (WITH RECURSIVE w AS (
+   SELECT session_id, side, arrival_us, CAST(0 AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS fps FROM f WHERE i = 1
+   UNION ALL SELECT session_id, side, hit_us, j, fps FROM (
+     SELECT w.session_id, w.side, n.arrival_us AS hit_us, n.i AS j, CAST(n.i - w.i AS DOUBLE) / ((n.arrival_us - w.arrival_us) / 1e6) AS fps,
+       ROW_NUMBER() OVER (PARTITION BY w.session_id, w.side ORDER BY n.i) AS k
+     FROM w JOIN f n ON n.session_id = w.session_id AND n.side = w.side AND n.i > w.i AND n.arrival_us >= w.arrival_us + 86400000000) q
+     WHERE k = 1)
+   SELECT * FROM w)
+SELECT session_id, side, arrival_us, fps, FALSE AS late_arrival FROM done WHERE fps IS NOT NULL"""))
 def q_fps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.replay(recipes.frame_events(spark, sf_dir), "arrival_us",
                        lambda s: stateful.live_fps(s, DELAY, 86_400.0, "event_id"))
