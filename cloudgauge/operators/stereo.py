@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cloudgauge.functions.vec import Vec, add, cross, dot, entry, finite, inverse3, mat_vec, pack, scale, sub, unit, vec
+from cloudgauge.functions.vec import Vec, add, cross, dot, entry, finite, inverse3, pack, scale, sub, unit, vec
 from cloudgauge.operators import ordered
 from cloudgauge.operators.fit import orthogonal
 from cloudgauge.session import cut_lineage, join_on, salted_join
@@ -97,17 +97,37 @@ def pixel_ray(u: Column, v: Column, k: str | Column) -> Vec:
     return unit(((u - entry(k, 0, 2)) / entry(k, 0, 0), (v - entry(k, 1, 2)) / entry(k, 1, 1), F.lit(1.0)))
 
 
+def _scalars(calibrations: DataFrame, rig: Sequence[str], inverse: bool = False) -> DataFrame:
+    """Entries of the camera matrices, rotation and translation as plain columns, with the inverse rotation on
+    request. They are worked out once per rig, before the join, so that the code per point stays small."""
+    out = {f"_{k}_{n}": entry(k, *at) for k in ("k1", "k2") for n, at in (("fx", (0, 0)), ("fy", (1, 1)), ("cx", (0, 2)), ("cy", (1, 2)))}
+    out |= {f"_r{i}{j}": entry("r", i, j) for i in range(3) for j in range(3)}
+    out |= {f"_t{a}": F.element_at("t", i + 1) for i, a in enumerate("xyz")}
+    out |= {f"_u{a}": c for a, c in zip("xyz", unit(tuple(F.element_at("t", i + 1) for i in range(3))))}
+    if inverse:
+        out |= {f"_i{i}{j}": c for i, row in enumerate(inverse3("r")) for j, c in enumerate(row)}
+    return calibrations.select(*rig, *[c.alias(n) for n, c in out.items()])
+
+
+def _ray(u: str, v: str, k: str) -> Vec:
+    """Unit ray of a pixel with the columns of ``_scalars``."""
+    return unit((
+        (F.col(u) - F.col(f"_{k}_cx")) / F.col(f"_{k}_fx"), (F.col(v) - F.col(f"_{k}_cy")) / F.col(f"_{k}_fy"), F.lit(1.0)))
+
+
+def _times(name: str, v: Vec) -> Vec:
+    return tuple(dot(tuple(F.col(f"{name}{i}{j}") for j in range(3)), v) for i in range(3))
+
+
 def observation_rays(obs: DataFrame, calibrations: DataFrame, rig: Sequence[str] = ("rig_id",)) -> DataFrame:
     """Rays of both sides in the right camera's frame, as ``rx, ry, rz``, with the unit
     baseline ``bx, by, bz``."""
-    joined = with_params(obs, calibrations.select(*rig, "k1", "k2", "r", "t"), rig)
-    left = pixel_ray(F.col("u"), F.col("v"), "k1")
-    right = pixel_ray(F.col("u"), F.col("v"), "k2")
+    joined = with_params(obs, _scalars(calibrations, rig), rig)
+    left, right = _ray("u", "v", "k1"), _ray("u", "v", "k2")
     is_left = F.col("side") == "left"
     staged = joined.withColumns({f"_l{a}": c for a, c in zip("xyz", left)})
-    turned = mat_vec("r", vec("_lx", "_ly", "_lz"))
-    t = tuple(F.element_at("t", i + 1) for i in range(3))
-    base = unit(t)
+    turned = _times("_r", vec("_lx", "_ly", "_lz"))
+    base = vec("_ux", "_uy", "_uz")
     out = staged.withColumns({
         **{f"r{a}": F.when(is_left, tl).otherwise(r) for a, tl, r in zip("xyz", turned, right)},
         **{f"b{a}": c for a, c in zip("xyz", base)},
@@ -236,14 +256,13 @@ def epipolar_match(
 
 def triangulate(matches: DataFrame, calibrations: DataFrame, rig: Sequence[str] = ("rig_id",)) -> DataFrame:
     """Midpoint of the closest points of the two rays, in the left camera's frame."""
-    joined = with_params(matches, calibrations.select(*rig, "k1", "k2", "r", "t"), rig)
-    left = pixel_ray(F.col("left_u"), F.col("left_v"), "k1")
-    right = pixel_ray(F.col("right_u"), F.col("right_v"), "k2")
+    joined = with_params(matches, _scalars(calibrations, rig, inverse=True), rig)
+    left, right = _ray("left_u", "left_v", "k1"), _ray("right_u", "right_v", "k2")
     staged = joined.withColumns({
         **{f"_l{a}": c for a, c in zip("xyz", left)}, **{f"_b{a}": c for a, c in zip("xyz", right)}})
-    staged = staged.withColumns({f"_a{a}": c for a, c in zip("xyz", mat_vec("r", vec("_lx", "_ly", "_lz")))})
+    staged = staged.withColumns({f"_a{a}": c for a, c in zip("xyz", _times("_r", vec("_lx", "_ly", "_lz")))})
     da, db = vec("_ax", "_ay", "_az"), vec("_bx", "_by", "_bz")
-    t = tuple(F.element_at("t", i + 1) for i in range(3))
+    t = vec("_tx", "_ty", "_tz")
     # Normal equations of  t + ca * da = cb * db.
     aa, ab, bb = dot(da, da), dot(da, db), dot(db, db)
     at, bt = dot(da, t), dot(db, t)
@@ -252,7 +271,7 @@ def triangulate(matches: DataFrame, calibrations: DataFrame, rig: Sequence[str]
     mid = scale(add(add(t, scale(da, F.col("_ca"))), scale(db, F.col("_cb"))), 0.5)
     shifted = sub(mid, t)
     staged = staged.withColumns({f"_s{a}": c for a, c in zip("xyz", shifted)})
-    back = [dot(row, vec("_sx", "_sy", "_sz")) for row in inverse3("r")]
+    back = _times("_i", vec("_sx", "_sy", "_sz"))
     out = staged.withColumns(dict(zip("xyz", back)))
     return out.select(*matches.columns, "x", "y", "z")
 
