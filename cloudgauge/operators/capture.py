@@ -24,15 +24,10 @@ SNAPSHOT_TOLERANCE = 1e-4
 RATE_TOLERANCE = 0.01
 MAX_FRAMES = 2147483647
 CONSECUTIVE_FAILURES = 3
-SLICE_US = 3_600_000_000
 
 SIDE = ("session_id", "side")
 
 
-def time_slice(column: str, width_us: int = SLICE_US) -> Column:
-    return F.floor(F.col(column) / F.lit(width_us)).cast("bigint")
-
-
 def timed(events: DataFrame, name: str = "arrival_ts") -> DataFrame:
     """Add ``_us``, the arrival in microseconds."""
     return events.withColumn("_us", micros(events, name))
@@ -61,14 +56,13 @@ def violation_rules(index: Column, prev_frame: Column, prev_trigger: Column) ->
 
 
 def sequence_violations(
-    events: DataFrame, order: Sequence[str] = ("frame_number",), slice_us: int = SLICE_US
+    events: DataFrame, order: Sequence[str] = ("frame_number",)
 ) -> DataFrame:
     """Every frame that breaks a rule against the frame before it on its side, with the
     first broken rule as ``violation``."""
     rows = timed(events)
     rows = ordered.previous(
-        rows, SIDE, _order(order), {"_prev_frame": "frame_number", "_prev_trigger": "trigger_index"},
-        time_slice("_us", slice_us))
+        rows, SIDE, _order(order), {"_prev_frame": "frame_number", "_prev_trigger": "trigger_index"})
     index = F.when(F.col("_prev_frame").isNull(), 0).otherwise(1)
     judged = F.lit(None).cast("string")
     for name, broken in reversed(violation_rules(index, F.col("_prev_frame"), F.col("_prev_trigger"))):
@@ -77,7 +71,7 @@ def sequence_violations(
     return out.withColumnsRenamed({"_prev_frame": "prev_frame", "_prev_trigger": "prev_trigger"}).drop("_us")
 
 
-def queue_steps(events: DataFrame, order: Sequence[str], slice_us: int) -> DataFrame:
+def queue_steps(events: DataFrame, order: Sequence[str]) -> DataFrame:
     """Queued bytes of a side after each arrival and each removal. Frames leave at
     ``taken_ts``; without that column nothing leaves, which gives an upper bound."""
     rows = timed(events)
@@ -88,15 +82,14 @@ def queue_steps(events: DataFrame, order: Sequence[str], slice_us: int) -> DataF
         left = rows.withColumn("_us", micros(events, "taken_ts")).filter("_us IS NOT NULL")
         steps = came.unionByName(left.select(
             *SIDE, "_us", F.lit(0).alias("_kind"), *order, (-F.col("n_bytes")).alias("_delta")))
-    return ordered.running_sum(
-        steps, SIDE, ["_us", "_kind", *order], {"queued_bytes": F.col("_delta")}, time_slice("_us", slice_us))
+    return ordered.running_sum(steps, SIDE, ["_us", "_kind", *order], {"queued_bytes": F.col("_delta")})
 
 
 def queue_pressure(
-    events: DataFrame, limit: int = QUEUE_LIMIT, order: Sequence[str] = ("frame_number",), slice_us: int = SLICE_US
+    events: DataFrame, limit: int = QUEUE_LIMIT, order: Sequence[str] = ("frame_number",)
 ) -> DataFrame:
     """Peak queued bytes per side, and whether an arrival went over ``limit``."""
-    steps = queue_steps(events, order, slice_us).filter("_kind = 1")
+    steps = queue_steps(events, order).filter("_kind = 1")
     return steps.groupBy(*SIDE).agg(
         F.max("queued_bytes").alias("peak_bytes"),
         F.bool_or(F.col("queued_bytes") > limit).alias("overflow"),
@@ -104,10 +97,10 @@ def queue_pressure(
 
 
 def extra_frames(
-    events: DataFrame, plan: DataFrame, order: Sequence[str] = ("frame_number",), slice_us: int = SLICE_US
+    events: DataFrame, plan: DataFrame, order: Sequence[str] = ("frame_number",)
 ) -> DataFrame:
     """Frames of a side beyond the session's ``expected_frames``."""
-    ranked = ordered.row_number(timed(events), SIDE, _order(order), "_nth", time_slice("_us", slice_us))
+    ranked = ordered.row_number(timed(events), SIDE, _order(order), "_nth")
     joined = ranked.join(plan.select("session_id", "expected_frames"), "session_id")
     return joined.filter(F.col("_nth") > F.col("expected_frames")).drop("_nth", "expected_frames", "_us")
 
@@ -117,18 +110,17 @@ def first_violation(
     limit: int | None = None,
     plan: DataFrame | None = None,
     order: Sequence[str] = ("frame_number",),
-    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """The earliest violation of each session, over both sides; it is the cause that stops
     the session. Within one frame the sequence rules go before queue and count rules."""
-    found = timed(sequence_violations(events, order, slice_us)).select(
+    found = timed(sequence_violations(events, order)).select(
         *SIDE, "_us", *order, F.lit(0).alias("_rank"), "violation")
     if limit is not None:
-        over = queue_steps(events, order, slice_us).filter((F.col("_kind") == 1) & (F.col("queued_bytes") > limit))
+        over = queue_steps(events, order).filter((F.col("_kind") == 1) & (F.col("queued_bytes") > limit))
         found = found.unionByName(over.select(
             *SIDE, "_us", *order, F.lit(1).alias("_rank"), F.lit("queue_full").alias("violation")))
     if plan is not None:
-        extra = timed(extra_frames(events, plan, order, slice_us))
+        extra = timed(extra_frames(events, plan, order))
         found = found.unionByName(extra.select(
             *SIDE, "_us", *order, F.lit(2).alias("_rank"), F.lit("extra_frame").alias("violation")))
     cause = F.struct("side", "_us", *order, "violation")
@@ -142,15 +134,14 @@ def arrival_timeouts(
     plan: DataFrame,
     timeout_ms: float = FRAME_TIMEOUT_MS,
     order: Sequence[str] = ("frame_number",),
-    slice_us: int = SLICE_US,
 ) -> DataFrame:
     """First wait longer than the timeout per side, before the expected count: frame
     ``index`` of ``expected_frames`` did not come in time. ``plan`` has ``start_ts``;
     sides without any frame are found too (they must be in ``plan``, one row per side)."""
     plan = plan.withColumn("_start", micros(plan, "start_ts")).drop("start_ts")
-    rows = timed(events)
-    rows = ordered.row_number(rows, SIDE, _order(order), "_nth", time_slice("_us", slice_us))
-    rows = ordered.previous(rows, SIDE, _order(order), {"_prev_us": "_us"}, time_slice("_us", slice_us))
+    rows = ordered.ranges(timed(events), SIDE, _order(order))
+    rows = ordered.row_number(rows, SIDE, _order(order), "_nth", F.col("_range"))
+    rows = ordered.previous(rows, SIDE, _order(order), {"_prev_us": "_us"}, F.col("_range"))
     rows = rows.select(*SIDE, "_us", "_nth", "_prev_us").join(plan, list(SIDE))
     limit = F.lit(int(timeout_ms * 1000))
     waited = F.col("_us") - F.coalesce("_prev_us", "_start")
@@ -184,10 +175,10 @@ def failure_runs(
 
 
 def pair_by_arrival(
-    events: DataFrame, order: Sequence[str] = ("frame_number",), slice_us: int = SLICE_US
+    events: DataFrame, order: Sequence[str] = ("frame_number",)
 ) -> DataFrame:
     """k-th left frame with k-th right frame of a session; the longer side is cut."""
-    ranked = ordered.row_number(timed(events), SIDE, _order(order), "pair_index", time_slice("_us", slice_us))
+    ranked = ordered.row_number(timed(events), SIDE, _order(order), "pair_index")
     keep = ["session_id", "pair_index"]
     columns = ["frame_number", "trigger_index", "n_bytes", "_us"]
     sides = {
@@ -199,12 +190,16 @@ def pair_by_arrival(
 
 
 def complete_pairs(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("session_id", "file_name")) -> DataFrame:
-    """Full outer join of saved files: ``pair``, or the side whose partner is missing and
-    which must be withdrawn."""
-    a = left.select(*keys).distinct().withColumn("_l", F.lit(True))
-    b = right.select(*keys).distinct().withColumn("_r", F.lit(True))
-    state = F.when(F.col("_r").isNull(), "left_only").when(F.col("_l").isNull(), "right_only").otherwise("pair")
-    return a.join(b, list(keys), "full").withColumn("state", state).drop("_l", "_r")
+    """Full outer join of the files of both sides: ``pair``, the side whose partner is missing and
+    which must be withdrawn, or ``unsaved``. A file counts unless its ``saved`` (where that column exists) is not true."""
+    def files(df: DataFrame, name: str) -> DataFrame:
+        saved = F.coalesce(F.col("saved"), F.lit(False)) if "saved" in df.columns else F.lit(True)
+        return df.groupBy(*keys).agg(F.bool_or(saved).alias(name))
+
+    both = files(left, "_l").join(files(right, "_r"), list(keys), "full")
+    has_left, has_right = F.coalesce("_l", F.lit(False)), F.coalesce("_r", F.lit(False))
+    state = F.when(has_left & has_right, "pair").when(has_left, "left_only").when(has_right, "right_only")
+    return both.withColumn("state", state.otherwise("unsaved")).drop("_l", "_r")
 
 
 def session_success(pairs: DataFrame, plan: DataFrame, require_all: bool) -> DataFrame:
@@ -240,12 +235,12 @@ def deletion_summary(pairs: DataFrame, kept: DataFrame, by: Sequence[str] = ("se
 
 def capture_report(
     events: DataFrame, saves: DataFrame, plan: DataFrame, order: Sequence[str] = ("frame_number",),
-    limit: int | None = None, slice_us: int = SLICE_US,
+    limit: int | None = None,
 ) -> DataFrame:
     """One row per session. ``saves`` holds ``(session_id, pair_index, save_start_ts,
     save_end_ts)``. Frames after the session's first violation are not received; a frame
     that fills the queue or comes in excess still counts."""
-    cause = first_violation(events, limit, plan, order, slice_us)
+    cause = first_violation(events, limit, plan, order)
     stop = cause.select("session_id", F.col("at_us").alias("_stop"), F.col("violation").alias("cause"))
     rows = join_on(timed(events), stop, ["session_id"], "left")
     counted = F.col("_stop").isNull() | (F.col("_us") < F.col("_stop")) | (

@@ -153,7 +153,6 @@ def frames_of(trace: DataFrame) -> DataFrame:
 
 def match_responses(
     trace: DataFrame, timeout_ms: float = COMMAND_TIMEOUT_MS, order: Sequence[str] = (),
-    slice_us: int = 86_400_000_000,
 ) -> DataFrame:
     """Each query with its answer: the first later received frame on the port with the
     same opcode, the expected length and a valid checksum, if it came within the timeout.
@@ -163,8 +162,7 @@ def match_responses(
     rows = rows.filter(F.col("opcode").isNotNull() & (needs > 0))
     answer = F.when(
         (F.col("direction") == "rx") & F.col("valid") & (F.col("size") == needs), F.struct("_us", "hex"))
-    paired = ordered.following(
-        rows, ["port", "opcode"], ["_us", *order], answer, "_answer", F.floor(F.col("_us") / slice_us))
+    paired = ordered.following(rows, ["port", "opcode"], ["_us", *order], answer, "_answer")
     queries = paired.filter((F.col("direction") == "tx") & F.col("valid"))
     wait = (F.col("_answer._us") - F.col("_us")) / 1000.0
     on_time = F.col("_answer").isNotNull() & (wait <= float(timeout_ms))
@@ -175,14 +173,13 @@ def match_responses(
 
 def link_quality(
     trace: DataFrame, timeout_ms: float = COMMAND_TIMEOUT_MS, order: Sequence[str] = (),
-    slice_us: int = 86_400_000_000,
 ) -> DataFrame:
     """Per port: answers decoded, checksum failures, queries and those unanswered."""
     seen = frames_of(trace).filter("direction = 'rx'").withColumn("_ok", serialcodec.decode(F.col("hex")).isNotNull())
     counts = seen.groupBy("port").agg(
         F.sum(F.when(F.col("_ok"), 1).otherwise(0)).alias("decoded"),
         F.sum(F.when(F.col("opcode").isNotNull() & ~F.col("valid"), 1).otherwise(0)).alias("checksum_failures"))
-    asked = match_responses(trace, timeout_ms, order, slice_us).groupBy("port").agg(
+    asked = match_responses(trace, timeout_ms, order).groupBy("port").agg(
         F.count(F.lit(1)).alias("queries"), F.sum(F.when(F.col("answered"), 0).otherwise(1)).alias("unanswered"))
     out = counts.join(asked, "port", "full")
     return out.na.fill(0, ["decoded", "checksum_failures", "queries", "unanswered"])

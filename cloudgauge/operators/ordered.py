@@ -5,10 +5,10 @@ Here a group is cut into *slices*: ranges of the ordering. The window runs insid
 slice, and what crosses a slice border (how many rows came before, what the last row
 was) travels in a table with one row per slice.
 
-``slice_by`` is a Column that never decreases along the ordering, such as
-``point_id div 2**20`` or a clock hour. Where no such column exists (path strings),
-pass ``None``: the rows are then range-partitioned and checkpointed, so that both passes
-see the same ranges.
+``slice_by`` is a Column that never decreases along the ordering and holds a bounded number
+of rows, such as ``point_id div 2**20`` of a dense id. Where no such column exists (path
+strings, times), pass ``None``: the rows are then range-partitioned by the sampled ordering
+and written, so that slices follow the row counts and both passes see the same ranges.
 """
 
 from __future__ import annotations
@@ -31,8 +31,13 @@ def point_slice(name: str = "point_id") -> Column:
 def with_slice(df: DataFrame, by: Sequence[str], order: Sequence[str], slice_by: Column | None) -> DataFrame:
     if slice_by is not None:
         return df.withColumn("_slice", slice_by)
-    ranged = df.repartitionByRange(*by, *order).withColumn("_slice", F.spark_partition_id())
-    return cut_lineage(ranged)
+    return ranges(df, by, order, "_slice")
+
+
+def ranges(df: DataFrame, by: Sequence[str], order: Sequence[str], out: str = "_range") -> DataFrame:
+    """Written rows with ``out``, their range of the ordering; ranges hold about equally many rows. Operators over the
+    same ordering share it as ``slice_by=F.col(out)``."""
+    return cut_lineage(df.repartitionByRange(*by, *order).withColumn(out, F.spark_partition_id()))
 
 
 def row_number(

@@ -12,7 +12,6 @@ from cloudgauge.plans.recipes import with_sql
 from cloudgauge.plans.registry import query
 
 ORDER = ("event_id",)
-DAY_US = 86_400_000_000
 LIMIT = 60_000_000
 
 WINDOW = "OVER (PARTITION BY session_id, side ORDER BY arrival_us, event_id)"
@@ -24,22 +23,16 @@ JUDGED = f"""
     WHEN pf IS NOT NULL AND (trigger_index <> 0 OR pt <> 0)
       AND ((trigger_index - pt) % 4294967296 + 4294967296) % 4294967296 <> 1 THEN 'trigger_gap' END AS violation
   FROM prev)"""
-# Frames stay queued for six hours.
-QUEUED = f"""
-, steps AS (SELECT session_id, side, arrival_us AS us, 1 AS kind, event_id, n_bytes AS delta FROM frame_events
-    UNION ALL SELECT session_id, side, arrival_us + 21600000000, 0, event_id, -n_bytes FROM frame_events)
-, queued AS (SELECT *, SUM(delta) OVER (PARTITION BY session_id, side ORDER BY us, kind, event_id
-    ROWS UNBOUNDED PRECEDING) AS q FROM steps)"""
+# The tables know no removals: the running sum is the upper bound of the queue.
+QUEUED = """
+, queued AS (SELECT session_id, side, arrival_us AS us, event_id, SUM(n_bytes) OVER (PARTITION BY session_id, side
+    ORDER BY arrival_us, event_id ROWS UNBOUNDED PRECEDING) AS q FROM frame_events)"""
 PLAN = """
 , plan AS (SELECT session_id, CAST(MIN(c) + session_id % 3 AS BIGINT) AS expected_frames, MIN(first_us) AS start_us
    FROM (SELECT session_id, side, COUNT(*) AS c, MIN(arrival_us) AS first_us FROM frame_events GROUP BY 1, 2) s
    GROUP BY session_id)"""
 
 
-def events_with_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return recipes.frame_events(spark, sf_dir).withColumn("taken_ts", F.expr("arrival_ts + INTERVAL 6 HOURS"))
-
-
 def plan_of(events: DataFrame) -> DataFrame:
     sides = events.groupBy("session_id", "side").agg(
         F.count(F.lit(1)).alias("c"), F.min("arrival_ts").alias("first_ts"))
@@ -51,28 +44,28 @@ def plan_of(events: DataFrame) -> DataFrame:
 SELECT session_id, side, event_id, frame_number, trigger_index, pf AS prev_frame, violation FROM judged
 WHERE violation IS NOT NULL"""))
 def q_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = capture.sequence_violations(recipes.frame_events(spark, sf_dir), ORDER, DAY_US)
+    found = capture.sequence_violations(recipes.frame_events(spark, sf_dir), ORDER)
     return found.select("session_id", "side", "event_id", "frame_number", "trigger_index", "prev_frame", "violation")
 
 
 @query("first_violation", sql=with_sql("frame_events", body=JUDGED + QUEUED + PLAN + f"""
 , found AS (SELECT session_id, side, arrival_us AS us, event_id, 0 AS rank, violation FROM judged
     WHERE violation IS NOT NULL
-  UNION ALL SELECT session_id, side, us, event_id, 1, 'queue_full' FROM queued WHERE kind = 1 AND q > {LIMIT}
+  UNION ALL SELECT session_id, side, us, event_id, 1, 'queue_full' FROM queued WHERE q > {LIMIT}
   UNION ALL SELECT session_id, side, arrival_us, event_id, 2, 'extra_frame' FROM prev JOIN plan USING (session_id)
     WHERE nth > expected_frames)
 SELECT session_id, side, us AS at_us, event_id, violation FROM found
 QUALIFY ROW_NUMBER() OVER (PARTITION BY session_id ORDER BY us, side, event_id, rank) = 1"""))
 def q_first(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = events_with_taken(spark, sf_dir)
-    return capture.first_violation(events, LIMIT, plan_of(events), ORDER, DAY_US)
+    events = recipes.frame_events(spark, sf_dir)
+    return capture.first_violation(events, LIMIT, plan_of(events), ORDER)
 
 
 @query("queue_pressure", sql=with_sql("frame_events", body=QUEUED + f"""
 SELECT session_id, side, CAST(MAX(q) AS BIGINT) AS peak_bytes, BOOL_OR(q > {LIMIT}) AS overflow,
-  MIN(CASE WHEN q > {LIMIT} THEN us END) AS overflow_us FROM queued WHERE kind = 1 GROUP BY 1, 2"""))
+  MIN(CASE WHEN q > {LIMIT} THEN us END) AS overflow_us FROM queued GROUP BY 1, 2"""))
 def q_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return capture.queue_pressure(events_with_taken(spark, sf_dir), LIMIT, ORDER, DAY_US)
+    return capture.queue_pressure(recipes.frame_events(spark, sf_dir), LIMIT, ORDER)
 
 
 @query("arrival_timeouts", sql=with_sql("frame_events", body=JUDGED + PLAN + """
@@ -89,7 +82,7 @@ SELECT session_id, side, index, expected_frames FROM judged2 WHERE index IS NOT
 def q_timeouts(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = recipes.frame_events(spark, sf_dir)
     plan = plan_of(events).withColumn("side", F.explode(F.array(F.lit("left"), F.lit("right"))))
-    return capture.arrival_timeouts(events, plan, 43_200_000, ORDER, DAY_US)
+    return capture.arrival_timeouts(events, plan, 43_200_000, ORDER)
 
 
 @query("pair_by_arrival", sql=with_sql("frame_events", body=JUDGED + """
@@ -97,24 +90,23 @@ SELECT l.session_id, l.nth AS pair_index, l.frame_number AS left_frame_number, r
   l.trigger_index AS left_trigger_index, r.trigger_index AS right_trigger_index
 FROM prev l JOIN prev r ON l.session_id = r.session_id AND l.nth = r.nth AND l.side = 'left' AND r.side = 'right'"""))
 def q_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = capture.pair_by_arrival(recipes.frame_events(spark, sf_dir), ORDER, DAY_US)
+    pairs = capture.pair_by_arrival(recipes.frame_events(spark, sf_dir), ORDER)
     return pairs.select("session_id", "pair_index", "left_frame_number", "right_frame_number",
                         "left_trigger_index", "right_trigger_index")
 
 
 FILES = """
 , files AS (SELECT session_id, side, 'frame_' || LPAD(CAST((frame_number + 6) % 4294967296 AS VARCHAR), 6, '0') || '.bmp'
-    AS file_name FROM frame_events WHERE n_bytes % 10 <> 3)
-, l AS (SELECT DISTINCT session_id, file_name FROM files WHERE side = 'left')
-, r AS (SELECT DISTINCT session_id, file_name FROM files WHERE side = 'right')
-, state AS (SELECT COALESCE(l.session_id, r.session_id) AS session_id, COALESCE(l.file_name, r.file_name) AS file_name,
-    CASE WHEN r.file_name IS NULL THEN 'left_only' WHEN l.file_name IS NULL THEN 'right_only' ELSE 'pair' END AS state
-  FROM l FULL JOIN r ON l.session_id = r.session_id AND l.file_name = r.file_name)"""
+    AS file_name, n_bytes % 10 <> 3 AS saved FROM frame_events)
+, state AS (SELECT session_id, file_name, CASE SUM(DISTINCT CASE WHEN NOT saved THEN 0 WHEN side = 'left' THEN 1 ELSE 2 END)
+    WHEN 1 THEN 'left_only' WHEN 2 THEN 'right_only' WHEN 3 THEN 'pair' ELSE 'unsaved' END AS state
+  FROM files GROUP BY 1, 2)"""
 
 
 def saved_state(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = recipes.frame_events(spark, sf_dir).filter("n_bytes % 10 <> 3").withColumn(
-        "file_name", F.format_string("frame_%06d.bmp", F.expr("(frame_number + 6) % 4294967296")))
+    files = recipes.frame_events(spark, sf_dir).select(
+        "session_id", "side", F.expr("n_bytes % 10 <> 3").alias("saved"),
+        F.format_string("frame_%06d.bmp", F.expr("(frame_number + 6) % 4294967296")).alias("file_name"))
     return capture.complete_pairs(files.filter("side = 'left'"), files.filter("side = 'right'"))
 
 
@@ -140,7 +132,7 @@ DELETED = JUDGED + """
 
 
 def deletion(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    pairs = capture.pair_by_arrival(recipes.frame_events(spark, sf_dir), ORDER, DAY_US).select(
+    pairs = capture.pair_by_arrival(recipes.frame_events(spark, sf_dir), ORDER).select(
         "session_id", "pair_index", "left_frame_number")
     return pairs, capture.delete_pairs(pairs, pairs.filter("pair_index % 7 = 3"))
 
@@ -168,7 +160,7 @@ SELECT session_id, MIN(attempt) AS stopped_at FROM n WHERE run >= 3 GROUP BY 1""
 def q_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = recipes.frame_events(spark, sf_dir)
     attempts = capture.ordered.row_number(
-        events, ["session_id"], ["arrival_us", "event_id"], "attempt", capture.time_slice("arrival_us", DAY_US))
+        events, ["session_id"], ["arrival_us", "event_id"], "attempt")
     attempts = attempts.select(
         "session_id", "attempt", F.expr("n_bytes % 3 <> 0 AND n_bytes % 10 <> 4").alias("saved"))
     return capture.failure_runs(attempts)
@@ -202,11 +194,11 @@ SELECT session_id, expected_frames, violation AS cause, COALESCE(l, 0) AS left_r
 FROM plan LEFT JOIN cause USING (session_id) LEFT JOIN got USING (session_id) LEFT JOIN sv USING (session_id)"""))
 def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = recipes.frame_events(spark, sf_dir)
-    pairs = capture.pair_by_arrival(events, ORDER, DAY_US)
+    pairs = capture.pair_by_arrival(events, ORDER)
     start = F.greatest("left_us", "right_us")
     saves = pairs.select("session_id", "pair_index", start.alias("save_start_ts"),
                          (start + F.col("left_n_bytes")).alias("save_end_ts"))
-    report = capture.capture_report(events, saves, plan_of(events), ORDER, None, DAY_US)
+    report = capture.capture_report(events, saves, plan_of(events), ORDER)
     return round_all(report, 3)
 
 

@@ -57,8 +57,7 @@ def frame_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("user_id") % 2 == 0, "left").otherwise("right").alias("side"),
         micros(events, "ts").alias("arrival_us"),
     )
-    ranked = ordered.row_number(
-        base, ["session_id", "side"], ["arrival_us", "event_id"], "k", F.expr("arrival_us div 86400000000"))
+    ranked = ordered.row_number(base, ["session_id", "side"], ["arrival_us", "event_id"], "k")
     return ranked.select(
         "session_id", "side", F.col("ts").alias("arrival_ts"), "arrival_us", "event_id",
         F.expr("(4294967290 + k + k div 29) % 4294967296").alias("frame_number"),

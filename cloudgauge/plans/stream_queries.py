@@ -49,13 +49,11 @@ def q_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("stream_queue", sql=with_sql("frame_events", body=QUEUED + f"""
 SELECT session_id, side, CAST(MAX(q) AS BIGINT) AS peak_bytes, BOOL_OR(q > {LIMIT}) AS overflow
-FROM queued WHERE kind = 1 GROUP BY 1, 2"""))
+FROM queued GROUP BY 1, 2"""))
 def q_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = recipes.frame_events(spark, sf_dir)
-    came = events.select("session_id", "side", "arrival_us", (F.col("event_id") * 2 + 1).alias("tie"), "n_bytes")
-    left = events.select("session_id", "side", (F.col("arrival_us") + 21_600_000_000).alias("arrival_us"),
-                         (F.col("event_id") * 2).alias("tie"), (-F.col("n_bytes")).alias("n_bytes"))
-    out = jobs.replay(came.unionByName(left), "arrival_us", lambda s: stateful.queue_monitor(s, LIMIT))
+    came = events.select("session_id", "side", "arrival_us", F.col("event_id").alias("tie"), "n_bytes")
+    out = jobs.replay(came, "arrival_us", lambda s: stateful.queue_monitor(s, LIMIT))
     return out.groupBy("session_id", "side").agg(
         F.max("peak_bytes").alias("peak_bytes"), F.bool_or("overflow").alias("overflow"))
 

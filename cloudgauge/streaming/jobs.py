@@ -43,19 +43,25 @@ def log_stream(
     logs: DataFrame, sinks: Sequence[Sink], on_error: Callable[[int, Exception], None] | None = None
 ) -> DataStreamWriter:
     """Give the log rows that are not Debug to every sink. A sink that fails is reported
-    with its index and does not keep the rows from the others."""
+    with its index and does not keep the rows from the others; without ``on_error`` the batch
+    fails once all sinks have been tried."""
 
     def batch(df: DataFrame, batch_id: int) -> None:
         rows = df.persist()
+        failed: list[Exception] = []
         try:
             for index, sink in enumerate(sinks):
                 try:
                     sink(rows, batch_id)
                 except Exception as error:  # noqa: BLE001 - one sink must not stop the others
-                    if on_error is not None:
+                    if on_error is None:
+                        failed.append(error)
+                    else:
                         on_error(index, error)
         finally:
             rows.unpersist()
+        if failed:
+            raise ExceptionGroup("log sinks failed", failed)
 
     return key_logs(logs).writeStream.foreachBatch(batch)
 

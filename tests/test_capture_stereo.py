@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloudgauge.functions import serialcodec, text
-from cloudgauge.operators import calib, capture, fleet, graph, lines, stereo
+from cloudgauge.operators import calib, capture, fleet, graph, lines, ordered, stereo
 from cloudgauge.streaming import jobs, stateful
 
 T0 = datetime.datetime(2026, 1, 1, tzinfo=datetime.timezone.utc)
@@ -93,6 +93,30 @@ def test_queue_bound(spark):
     assert capture.queue_pressure(rows.drop("taken_ts"), 700).collect()[0].peak_bytes == 4000
 
 
+def test_hot_side_is_cut_by_count(spark):
+    rows = spark.createDataFrame(frames(1, "left", 2000), EVENTS).withColumn("_us", F.unix_micros("arrival_ts"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # small partitions would be merged
+    try:
+        spread = ordered.ranges(rows, capture.SIDE, ["_us", "frame_number"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    per_range = [r["count"] for r in spread.groupBy("_range").count().collect()]
+    assert sum(per_range) == 2000 and len(per_range) > 1 and max(per_range) < 1200
+    steps = capture.queue_steps(rows.drop("_us"), ["frame_number"])
+    assert steps.agg(F.max("queued_bytes")).first()[0] == 2000 * 100
+
+
+def test_complete_pairs_judges_saved(spark):
+    files = "session_id long, file_name string, saved boolean"
+    left = spark.createDataFrame([(1, "a", True), (1, "b", True), (1, "c", False), (1, "c", True), (1, "d", None)], files)
+    right = spark.createDataFrame([(1, "a", True), (1, "b", False), (1, "c", True), (1, "e", True), (1, "d", False)], files)
+    found = {r.file_name: r.state for r in capture.complete_pairs(left, right).collect()}
+    assert found == {"a": "pair", "b": "left_only", "c": "pair", "d": "unsaved", "e": "right_only"}
+    plain = capture.complete_pairs(left.drop("saved"), right.drop("saved"))
+    assert {r.file_name: r.state for r in plain.collect()} == {
+        "a": "pair", "b": "pair", "c": "pair", "d": "pair", "e": "right_only"}
+
+
 def test_failure_runs(spark):
     rows = [(1, i, i % 3 == 0) for i in range(1, 20)] + [(2, i, i not in (4, 5, 6, 7)) for i in range(1, 10)] + [
         (3, i, False) for i in range(1, 5)]
@@ -186,6 +210,22 @@ def test_log_stream_keeps_other_sinks(spark, tmp_path):
     assert errors == [(0, "disk full")] and sum(seen) >= 2
 
 
+def test_log_stream_without_handler_fails(spark, tmp_path):
+    logs = spark.createDataFrame([("Info", "b")], "level string, text string")
+    logs.write.parquet(str(tmp_path / "in"))
+    done = []
+
+    def failing(df, batch):
+        raise RuntimeError("disk full")
+
+    query = jobs.log_stream(
+        spark.readStream.schema(logs.schema).parquet(str(tmp_path / "in")), [failing, lambda df, b: done.append(df.count())]
+    ).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    with pytest.raises(Exception, match="log sinks failed"):
+        query.awaitTermination()
+    assert done == [1]
+
+
 # -- stereo and lines ----------------------------------------------------------------
 
 RIG = {"k": [100, 0, 32, 0, 100, 24, 0, 0, 1], "d": [0] * 5, "r": [1, 0, 0, 0, 1, 0, 0, 0, 1], "t": [-60, 0, 0]}
