@@ -25,7 +25,7 @@ from cloudgauge.operators.cloud import filter_finite, stride_filter, upper_media
 from cloudgauge.operators.models import (
     MODEL_COLUMNS, VEC3, complete_models, residual, residual_stats, surface_terms,
 )
-from cloudgauge.session import cut_lineage, join_on, salted_join
+from cloudgauge.session import cut_lineage, join_on, release, salted_join
 
 # Fixed values of the fitting procedure.
 MINIMUM_POINTS = {"plane": 3, "sphere": 4, "cylinder": 6, "quadric": 6, "quartic": 15}
@@ -494,6 +494,7 @@ def _trim(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) ->
             F.when(new.isNotNull(), new[n]).otherwise(F.col(n)).alias(n) for n in (*MODEL_COLUMNS, "failure")]
         still = F.coalesce(new["_open"] & new["failure"].isNull(), F.lit(False))
         state = cut_lineage(merged.select(*by, *chosen, still.alias("_open")))
+        release(near)
     return state.drop("_open")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloudgauge.session import cut_lineage
+from cloudgauge.session import cut_lineage, release
 
 
 def connected_components(
@@ -24,23 +24,29 @@ def connected_components(
     keys = list(by)
     labels = cut_lineage(vertices.select(*keys, vertex).distinct().withColumn("label", F.col(vertex)))
     open_edges = edges.select(*keys, "src", "dst").filter("src <> dst")
+    before = None
     while True:
         def end(name: str) -> DataFrame:
             return labels.select(*keys, F.col(vertex).alias(name), F.col("label").alias(f"_{name}"))
 
         joined = open_edges.join(end("src"), [*keys, "src"]).join(end("dst"), [*keys, "dst"])
         crossing = cut_lineage(joined.filter("_src <> _dst").select(*keys, "src", "dst", "_src", "_dst"))
+        if before is not None:
+            release(before)
         if crossing.isEmpty():
+            release(crossing)
             return labels
         both = crossing.select(*keys, F.greatest("_src", "_dst").alias("_hi"), F.least("_src", "_dst").alias("_lo"))
         hooks = both.groupBy(*keys, F.col("_hi").alias("label")).agg(F.min("_lo").alias("_to"))
-        hooks = cut_lineage(hooks)
+        direct = hooks = cut_lineage(hooks)
         for _ in range(3):
             onward = hooks.select(*keys, F.col("label").alias("_to"), F.col("_to").alias("_next"))
             hooks = hooks.join(onward, [*keys, "_to"], "left").select(
                 *keys, "label", F.coalesce("_next", "_to").alias("_to"))
         moved = labels.join(hooks, [*keys, "label"], "left")
-        labels = cut_lineage(moved.select(*keys, vertex, F.coalesce("_to", "label").alias("label")))
+        relabelled = cut_lineage(moved.select(*keys, vertex, F.coalesce("_to", "label").alias("label")))
+        release(labels, direct)
+        labels, before = relabelled, crossing
         open_edges = crossing.select(*keys, "src", "dst")
 
 

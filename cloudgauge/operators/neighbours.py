@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudgauge.operators.cloud import filter_finite, upper_median
-from cloudgauge.session import cut_lineage, join_on, salted_join
+from cloudgauge.session import cut_lineage, join_on, release, salted_join
 
 LEAF = 32
 MAX_LEVEL = 52
@@ -61,7 +61,7 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
     size = F.when(F.col("_e") > 0, F.col("_e") * (1 + 1e-9)).otherwise(1.0)
     rows = salted_join(pos, span, by, spread=["id"])
     rows = rows.withColumns({f"_f{a}": (F.col(a) - F.col(f"_o{a}")) / size for a in "xyz"})
-    pending = cut_lineage(rows.drop("_ox", "_oy", "_oz", "_e").withColumn("unit", F.lit(None).cast("bigint")))
+    begin = pending = cut_lineage(rows.drop("_ox", "_oy", "_oz", "_e").withColumn("unit", F.lit(None).cast("bigint")))
     levels, leaves = [], []
     for level in range(MAX_LEVEL + 1):
         staged = pending.withColumn("node", _node(level))
@@ -79,6 +79,8 @@ def build_tree(pos: DataFrame, by: Sequence[str], reach: float | None = None) ->
         levels.append(cells.withColumn("parent", parent))
         placed = staged.drop("unit").join(cells.select(*by, "node", "leaf", "unit"), [*by, "node"])
         placed = cut_lineage(placed)
+        if level == 0:
+            release(begin)
         leaves.append(placed.filter("leaf").select(*by, "id", "m", "ids", "x", "y", "z", "node", "unit"))
         pending = placed.filter("NOT leaf").drop("node", "leaf")
         if pending.isEmpty():
@@ -163,7 +165,7 @@ def position_neighbours(
             (F.col("node.level") - s).alias("level"),
             *[F.floor(F.col("node")[f"c{a}"] / F.pow(F.lit(2.0), s)).cast("bigint").alias(f"c{a}") for a in "xyz"]))
         wanted = cut_lineage(asked.select(*keys, F.explode(ups).alias("node")).distinct())
-    pairs = _roots(nodes, keys)
+    pairs, before = _roots(nodes, keys), None
     while True:
         a, b = F.col("a"), F.col("b")
         pairs = pairs.withColumns({"_near": _gap(a, b, False), "_far": _gap(a, b, True), "_a": a["node"]})
@@ -174,6 +176,9 @@ def position_neighbours(
         pairs = pairs.withColumn("_bound", bound).filter(
             F.col("_bound").isNull() | (F.col("_near") <= F.col("_bound") * (1 + 1e-12)))
         pairs = cut_lineage(pairs.select(*keys, "a", "b", "_near"))
+        if before is not None:
+            release(before)
+        before = pairs
         if pairs.filter("NOT a.leaf OR NOT b.leaf").isEmpty():
             break
         pairs = _open_pairs(pairs.drop("_near"), nodes, keys, wanted)
@@ -267,7 +272,7 @@ def _close_leaves(
     """Leaf pairs that may hold points within ``reach``. With ``units``, pairs of one unit
     are dropped, and pairs of two units that are wholly within reach become edges."""
     keys = list(by)
-    pairs, edges = _roots(nodes, keys), None
+    pairs, edges, before = _roots(nodes, keys), None, None
     while True:
         a, b = F.col("a"), F.col("b")
         pairs = pairs.filter(_gap(a, b, False) <= reach * (1 + 1e-12))
@@ -280,6 +285,9 @@ def _close_leaves(
             pairs = pairs.filter("NOT _sure").drop("_sure")
         else:
             pairs = cut_lineage(pairs)
+            if before is not None:
+                release(before)
+            before = pairs
         if pairs.filter("NOT a.leaf OR NOT b.leaf").isEmpty():
             return pairs, edges
         pairs = _open_pairs(pairs, nodes, keys, None)

@@ -208,8 +208,7 @@ def epipolar_match(
     rays = rays.withColumns({"_phi": folded, "_len": F.sqrt(F.col("_p") ** 2 + F.col("_q") ** 2)}).drop("_p", "_q")
     # Position among the searched side, for both sides, in one ordered pass.
     placed = ordered.running_sum(
-        rays, by, ["_phi", "_drives", "obs_id"], {"_pos": F.when(F.col("_drives"), 0).otherwise(1)},
-        F.floor(F.col("_phi") * 4096))
+        rays, by, ["_phi", "_drives", "obs_id"], {"_pos": F.when(F.col("_drives"), 0).otherwise(1)})
     placed = cut_lineage(placed)
     found = placed.filter("NOT _drives").withColumn("_block", F.floor((F.col("_pos") - 1) / BLOCK))
     edges = found.groupBy(*by, "_block").agg(F.min("_phi").alias("_first"), F.max("_phi").alias("_last"))

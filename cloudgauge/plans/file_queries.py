@@ -14,7 +14,7 @@ from cloudgauge.plans.recipes import with_sql
 from cloudgauge.plans.registry import query
 from cloudgauge.plans.stereo_queries import LENS, calibrations, observations
 from cloudgauge.operators import stereo
-from cloudgauge.session import checkpoint_folder
+from cloudgauge.session import run_folder
 from cloudgauge.sources import sinks, station
 from cloudgauge.sources.binary_clouds import read_binary_cloud
 from cloudgauge.sources.text_clouds import read_ascii_cloud, read_xyz_text
@@ -24,7 +24,7 @@ POINTS = "SELECT cloud_id, point_id, ROUND(x, 9) AS x, ROUND(y, 9) AS y, ROUND(z
 
 def folder(spark: SparkSession) -> str:
     """A new folder on the shared mount of the checkpoint folder."""
-    base = checkpoint_folder(spark).removeprefix("file://").removeprefix("file:")
+    base = run_folder(spark).removeprefix("file://").removeprefix("file:")
     return f"{base}/files-{uuid.uuid4().hex}"
 
 

@@ -47,16 +47,45 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return location.getFileSystem(spark._jsc.hadoopConfiguration()), location
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the checkpoint folder. It is deleted when the application ends."""
+    folder = f"{checkpoint_folder(spark)}/run-{spark.sparkContext.applicationId}"
+    files, location = _file_system(spark, folder)
+    if not files.exists(location):
+        files.mkdirs(location)
+        files.deleteOnExit(location)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared checkpoint folder and read it back.
+    """Write ``df`` as a table in the run's shared folder and read it back.
 
     Iterations then neither recompute earlier rounds nor lose them with an executor, and
     the planner sees the real size of the result, so only small ones are broadcast.
+    ``release`` deletes a table that a loop has superseded.
     """
     spark = df.sparkSession
-    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_path = path
+    return out
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    files, location = _file_system(spark, path)
+    files.delete(location, True)
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete the tables behind results of ``cut_lineage`` that nothing reads any more."""
+    for frame in frames:
+        delete_path(frame.sparkSession, frame._written_path)
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:

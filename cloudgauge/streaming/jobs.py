@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame
@@ -12,7 +13,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from cloudgauge.functions import serialcodec
 from cloudgauge.operators import stereo
 from cloudgauge.operators.fleet import COMMAND_TIMEOUT_MS, frames_of, key_logs
-from cloudgauge.session import checkpoint_folder
+from cloudgauge.session import delete_path, run_folder
 
 Sink = Callable[[DataFrame, int], None]
 ROWS_PER_STORE = 500_000
@@ -122,10 +123,10 @@ def replay(
 
     The rows are written in ``slices`` time ranges of about equal size; the query runs to
     the end of each range and continues from its checkpoint with the next, so that no
-    micro-batch is larger than one range.
+    micro-batch is larger than one range. Rows without a time go into the first range.
     """
     spark = rows.sparkSession
-    base = f"{checkpoint_folder(spark)}/replay-{time.time_ns():x}"
+    base = f"{run_folder(spark)}/replay-{uuid.uuid4().hex}"
     found = rows.agg(
         F.percentile_approx(time_column, [i / slices for i in range(1, slices)], 10_000).alias("cuts"),
         F.count(F.lit(1)).alias("n")).first()
@@ -139,7 +140,8 @@ def replay(
         if lo is not None:
             part = part.filter(F.col(time_column) > lo)
         if hi is not None:
-            part = part.filter(F.col(time_column) <= hi)
+            early = F.col(time_column) <= hi
+            part = part.filter(early | F.col(time_column).isNull() if lo is None else early)
         part.write.mode("append").parquet(f"{base}/in")
         stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
         out = build(stream)
@@ -151,4 +153,6 @@ def replay(
         finally:
             spark.conf.set("spark.sql.shuffle.partitions", str(width))
         query.awaitTermination()
+    delete_path(spark, f"{base}/in")
+    delete_path(spark, f"{base}/state")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
