@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -96,20 +98,41 @@ def q_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
         total("listed").alias("n_listed"))
 
 
-def _lasso_sql() -> str:
+def _lasso_sql(polygon: list[tuple[int, int]] = LASSO) -> str:
     edges = []
-    for (ax, ay), (bx, by) in zip(LASSO, LASSO[1:] + LASSO[:1]):
+    for (ax, ay), (bx, by) in zip(polygon, polygon[1:] + polygon[:1]):
+        if ay == by:
+            continue
         (lx, ly), (hx, hy) = ((ax, ay), (bx, by)) if ay < by else ((bx, by), (ax, ay))
         edges.append(f"CASE WHEN py >= {ly} AND py < {hy} AND {lx} + CAST({hx - lx} AS DOUBLE) / {hy - ly} * (py - {ly})"
                      " <= px THEN 1 ELSE 0 END")
     return " + ".join(edges)
 
 
-@query("select_polygon", sql=with_sql("points", body=f"""
+PIXELS = f"""
 , clip AS (SELECT *, x * 0.04 - 1.0 AS cx, y * 0.02 - 1.0 AS cy, z * 0.1 - 0.5 AS cz, z * 0.05 + 1.0 AS w FROM {MARKED})
 , pix AS (SELECT *, CASE WHEN w > 1e-12 AND cz / w BETWEEN -1 AND 1 AND ABS(cx / w) <= 1 AND ABS(cy / w) <= 1 THEN
     CAST(TRUNC((cx / w + 1) * {WIDTH} / 2) AS INT) END AS px, CASE WHEN w > 1e-12 AND cz / w BETWEEN -1 AND 1
-    AND ABS(cx / w) <= 1 AND ABS(cy / w) <= 1 THEN CAST(TRUNC((1 - cy / w) * {HEIGHT} / 2) AS INT) END AS py FROM clip)
+    AND ABS(cx / w) <= 1 AND ABS(cy / w) <= 1 THEN CAST(TRUNC((1 - cy / w) * {HEIGHT} / 2) AS INT) END AS py FROM clip)"""
+RECTANGLE, OVAL = (520, 90, 130, 410), (90, 60, 640, 480)
+# Corners of the oval as whole pixels, cut towards zero.
+OVAL_CORNERS = [
+    (int(90 + 551 / 2 + 551 / 2 * math.cos(i * 2 * math.pi / 64)), int(60 + 421 / 2 + 421 / 2 * math.sin(i * 2 * math.pi / 64)))
+    for i in range(64)]
+
+
+@query("select_shapes", sql=with_sql("points", body=PIXELS + f"""
+SELECT cloud_id, point_id, COALESCE(px >= 130 AND px < 520 AND py >= 90 AND py < 410, FALSE) AS in_rectangle,
+  px IS NOT NULL AND ({_lasso_sql(OVAL_CORNERS)}) % 2 = 1 AS in_oval FROM pix"""))
+def q_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pts = recipes.points(spark, sf_dir)
+    shapes = {"in_rectangle": cloud.rect_polygon(*RECTANGLE), "in_oval": cloud.ellipse_polygon(*OVAL)}
+    for name, polygon in shapes.items():
+        pts = cloud.select_polygon(pts, VIEW, WIDTH, HEIGHT, polygon).withColumnRenamed("selected", name)
+    return pts.select("cloud_id", "point_id", *shapes)
+
+
+@query("select_polygon", sql=with_sql("points", body=PIXELS + f"""
 , hits AS (SELECT *, px IS NOT NULL AND ({_lasso_sql()}) % 2 = 1 AS hit FROM pix)
 SELECT cloud_id, CAST(SUM(CASE WHEN hit THEN 1 ELSE 0 END) AS BIGINT) AS n_replace,
   CAST(SUM(CASE WHEN hit OR selected THEN 1 ELSE 0 END) AS BIGINT) AS n_add,

@@ -51,6 +51,87 @@ def q_pcd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(read_binary_cloud(spark, path), 5)
 
 
+@query("ascii_pcd_round_trip", sql=with_sql("points", body=POINTS))
+def q_ascii_pcd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    sinks.export_clouds(recipes.points(spark, sf_dir), path, "pcd_ascii")
+    return round_all(read_ascii_cloud(spark, path))
+
+
+@query("binary_ply_round_trip", sql=with_sql("points", body=POINTS))
+def q_binary_ply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = folder(spark)
+    sinks.export_clouds(recipes.points(spark, sf_dir), path, "ply_binary")
+    return round_all(read_binary_cloud(spark, path))
+
+
+@query("publish_results", sql=with_sql("points", body="""
+, n AS (SELECT '/scans/part ' || cloud_id AS session_path, COUNT(*) AS n FROM points GROUP BY 1)
+SELECT session_path, n, 'point_cloud_20260102_030405_678' || CASE WHEN i = 1 THEN '' ELSE '_' || (i - 1) END AS name
+FROM (SELECT *, ROW_NUMBER() OVER (ORDER BY session_path) AS i FROM n) q"""))
+def q_publish(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cloud as the result of a session; all sessions have one time, so their names have to be told apart."""
+    path = folder(spark)
+    points = recipes.points(spark, sf_dir).withColumn("session_path", F.concat(F.lit("/scans/part "), "cloud_id"))
+    sessions = points.select("session_path").distinct().withColumn(
+        "created_ts", F.expr("timestamp'2026-01-02 03:04:05.678'"))
+    return sinks.publish_results(points, sessions, f"{path}/results", f"{path}/catalog")
+
+
+PACK = "p_partkey // 50 AS station, p_partkey, p_brand || CHR(10) || 'WAIT ' || p_size AS content"
+
+
+@query("command_packs", sql=f"""
+SELECT station, ROW_NUMBER() OVER (PARTITION BY station ORDER BY p_partkey) - 1 AS position,
+  'pack ' || p_partkey AS name, content FROM (SELECT {PACK} FROM part) p""")
+def q_packs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One JSON file per station of fifty parts, written and read again."""
+    path = folder(spark)
+    part = recipes.table(spark, sf_dir, "part").selectExpr(
+        "p_partkey div 50 AS station", "p_partkey", "concat('pack ', p_partkey) AS name",
+        "concat(p_brand, chr(10), 'WAIT ', p_size) AS content")
+    packs = part.groupBy("station").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "name", "content"))).alias("packs"))
+    packs.select("station", F.to_json(F.struct(F.lit("made from parts").alias("_note"), "packs")).alias("value")).write.partitionBy(
+        "station").text(path)
+    back = station.read_command_packs(spark, path)
+    return back.select(F.regexp_extract("file", r"station=(\d+)", 1).cast("bigint").alias("station"),
+                       F.col("position").cast("bigint").alias("position"), "name", "content")
+
+
+INI = """
+WITH p AS (SELECT p_partkey // 50 AS station, p_partkey, p_size, ROW_NUMBER() OVER (PARTITION BY p_partkey // 50
+    ORDER BY p_partkey) AS nth FROM part)"""
+
+
+@query("station_config", sql=INI + """
+, bad AS (SELECT station, MAX(nth) AS nth FROM p GROUP BY 1)
+SELECT station, 'part/size' || p_partkey AS key, CAST(p_size AS VARCHAR) AS value, 2 + 2 * nth AS line_no, NULL AS reason
+FROM p WHERE station % 3 = 0
+UNION ALL SELECT station, NULL, NULL, 2 + 2 * nth + 2, CASE station % 3 WHEN 1 THEN 'repeated key' ELSE 'not key=value' END
+FROM bad WHERE station % 3 <> 0""")
+def q_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One INI file per station; of three stations one repeats a key at its end and one ends without a value."""
+    path = folder(spark)
+    part = recipes.table(spark, sf_dir, "part").selectExpr("p_partkey div 50 AS station", "p_partkey AS k", "p_size")
+    lines = part.select("station", "k", F.explode(F.expr(
+        "array('; a part', concat('  size', k, ' = ', p_size, ' '))")).alias("value"))
+    ends = part.groupBy("station").agg(F.max("k").alias("m"))
+    tails = ends.selectExpr("station", "m + 1 AS k", "explode(CASE station % 3 WHEN 0 THEN array('; end') WHEN 1 THEN "
+                            "array('; again', concat('size', m, '=0')) ELSE array('; bare', 'size') END) AS value")
+    heads = ends.selectExpr("station", "-1L AS k", "explode(array('; settings', '[part]')) AS value")
+    rows = lines.unionByName(tails).unionByName(heads)
+    # The comment of a key stands before its line.
+    rows = rows.withColumn("_last", ~F.col("value").startswith(";")).repartition("station").sortWithinPartitions("station", "k", "_last")
+    rows.select("station", "value").write.partitionBy("station").option("extension", "ini").csv(
+        path, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
+        emptyValue="")
+    kv, errors = station.read_station_config(spark, path)
+    number = F.regexp_extract("file", r"station=(\d+)", 1).cast("bigint").alias("station")
+    none = F.lit(None).cast("string")
+    return kv.select(number, "key", "value", F.col("line_no").cast("bigint").alias("line_no"), none.alias("reason")).unionByName(
+        errors.select(number, none.alias("key"), none.alias("value"), "line_no", "reason"))
+
+
 @query("error_csv", sql=with_sql("points", body="""
 SELECT cloud_id, point_id + 1 AS index, ROUND(z, 9) AS z_mm, ROUND(z - 5, 9) AS signed_error_mm FROM points"""))
 def q_csv(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -172,6 +172,27 @@ def q_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
     return frames.filter("d IS NOT NULL").select("event_id", "d.opcode", "d.first", "d.second", "d.value")
 
 
+CODES = """CASE event_id % 8 WHEN 0 THEN 3 WHEN 1 THEN 11 WHEN 2 THEN 13 WHEN 3 THEN 15 WHEN 4 THEN 17 WHEN 5 THEN 23
+  WHEN 6 THEN 25 ELSE 29 END"""
+
+
+@query("serial_decode_all", sql=f"""
+WITH f AS (SELECT event_id, {CODES} AS opcode, user_id % 15 AS a, 1 + event_id % 200 AS b FROM events)
+SELECT event_id, opcode, a AS first, CASE WHEN opcode IN (11, 13, 17) THEN b END AS second, CAST(CASE opcode
+  WHEN 17 THEN a * b / 100.0 WHEN 11 THEN a * b WHEN 13 THEN a * b WHEN 29 THEN a / 10.0
+  WHEN 3 THEN CASE WHEN a = 0 THEN 0 ELSE 1 END ELSE a END AS DOUBLE) AS value FROM f""")
+def q_decode_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of every query opcode: pairs of numbers, and single ones."""
+    answers = recipes.table(spark, sf_dir, "events").selectExpr(
+        "event_id", f"{CODES} AS code", "user_id % 15 AS a", "1 + event_id % 200 AS b")
+    answers = answers.selectExpr(
+        "event_id", "concat('55AA01', lpad(hex(code), 2, '0'), lpad(hex(a), 2, '0'), '000000', CASE WHEN code IN (11, 13, 17) "
+        "THEN concat(lpad(hex(b), 2, '0'), '000000') ELSE '' END, "
+        "lpad(hex((256 + code + a + CASE WHEN code IN (11, 13, 17) THEN b ELSE 0 END) % 256), 2, '0')) AS hex")
+    return answers.select("event_id", serialcodec.decode(F.col("hex")).alias("d")).select(
+        "event_id", "d.opcode", "d.first", "d.second", "d.value")
+
+
 @query("hex_text", sql="""
 SELECT event_id, UPPER(CONCAT('55 AA ', LPAD(HEX(user_id % 256), 2, '0'))) AS shown FROM events""")
 def q_hex(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,6 +13,8 @@ from cloudgauge.plans.fleet_queries import ANSWERS, TIMEOUT_MS
 from cloudgauge.plans.cloud_queries import round_all
 from cloudgauge.plans.recipes import with_sql
 from cloudgauge.plans.registry import query
+from cloudgauge.plans.stereo_queries import TRIANGULATED, calibrations, observations
+from cloudgauge.session import cut_lineage, run_folder
 from cloudgauge.streaming import jobs, stateful
 
 DELAY = "1 second"
@@ -100,6 +104,41 @@ def q_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
         "session_id", "side", F.unix_micros("window_start").alias("start_us"), "frames")
 
 
+def as_stream(rows: DataFrame, **options: str) -> tuple[DataFrame, str]:
+    """Stored rows as a file stream, and a new folder for its outputs and checkpoints."""
+    spark = rows.sparkSession
+    written = cut_lineage(rows)
+    stream = spark.readStream.schema(written.schema).options(**options).parquet(written._written_path)
+    return stream, f"{run_folder(spark)}/stream-{uuid.uuid4().hex}"
+
+
+@query("stream_reconstruct", sql=with_sql("line_obs", body=TRIANGULATED + """
+SELECT frame_id, left_obs, right_obs, ROUND(x / z, 6) AS x_slope, ROUND(y / z, 6) AS y_slope, ROUND(1 / z, 9) AS nearness
+FROM points"""))
+def q_reconstruct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames reconstructed some files at a time; each file holds whole frames."""
+    stream, base = as_stream(observations(spark, sf_dir).repartition("frame_id"), maxFilesPerTrigger="64")
+    jobs.reconstruct_stream(stream, calibrations(spark), base, 2448, 2048, 0.01).option(
+        "checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    points = spark.read.parquet(f"{base}/points")
+    return points.select("frame_id", "left_obs", "right_obs", F.round(F.col("x") / F.col("z"), 6).alias("x_slope"),
+                         F.round(F.col("y") / F.col("z"), 6).alias("y_slope"), F.round(1 / F.col("z"), 9).alias("nearness"))
+
+
+@query("stream_logs", sql=with_sql("logs", body="""
+SELECT sink, event_id, level, module, text FROM logs, (VALUES ('file'), ('panel')) s(sink) WHERE level <> 'Debug'"""))
+def q_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every log row that is not Debug, given to two sinks."""
+    stream, base = as_stream(recipes.logs(spark, sf_dir))
+
+    def sink(name: str) -> jobs.Sink:
+        return lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/out/sink={name}/batch={batch}")
+
+    jobs.log_stream(stream, [sink("file"), sink("panel")]).option("checkpointLocation", f"{base}/state").trigger(
+        availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("sink", "event_id", "level", "module", "text")
+
+
 @query("stream_serial", sql=with_sql("serial_trace", body=ANSWERS + """
 SELECT r.port, q.ts_us, r.answered, r.response, r.wait_ms FROM r JOIN q USING (port, event_id)"""))
 def q_serial(spark: SparkSession, sf_dir: str) -> DataFrame:

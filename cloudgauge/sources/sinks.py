@@ -17,7 +17,8 @@ from cloudgauge.operators.cloud import filter_finite
 from cloudgauge.operators.fleet import unique_names
 from cloudgauge.session import cut_lineage
 
-FORMATS = ("ply", "pcd", "txt")
+#: Formats by name, with the file ending of each.
+FORMATS = {"ply": "ply", "ply_binary": "ply", "pcd": "pcd", "pcd_ascii": "pcd", "txt": "txt"}
 
 
 def write_xyz_text(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -44,12 +45,14 @@ def write_error_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> No
 
 
 def _header(fmt: str, n: int) -> bytes:
-    if fmt == "ply":
-        return (f"ply\nformat ascii 1.0\nelement vertex {n}\nproperty double x\nproperty double y\n"
+    if fmt in ("ply", "ply_binary"):
+        kind = "ascii" if fmt == "ply" else "binary_little_endian"
+        return (f"ply\nformat {kind} 1.0\nelement vertex {n}\nproperty double x\nproperty double y\n"
                 "property double z\nend_header\n").encode()
-    if fmt == "pcd":
-        return ("# .PCD v0.7 - Point Cloud Data file format\nVERSION 0.7\nFIELDS x y z\nSIZE 4 4 4\nTYPE F F F\n"
-                f"COUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA binary\n").encode()
+    if fmt in ("pcd", "pcd_ascii"):
+        size, kind = ("4 4 4", "binary") if fmt == "pcd" else ("8 8 8", "ascii")
+        return (f"# .PCD v0.7 - Point Cloud Data file format\nVERSION 0.7\nFIELDS x y z\nSIZE {size}\nTYPE F F F\n"
+                f"COUNT 1 1 1\nWIDTH {n}\nHEIGHT 1\nVIEWPOINT 0 0 0 1 0 0 0\nPOINTS {n}\nDATA {kind}\n").encode()
     return b""
 
 
@@ -57,6 +60,8 @@ def _body(fmt: str, frame: pd.DataFrame) -> bytes:
     xyz = frame[["x", "y", "z"]].to_numpy()
     if fmt == "pcd":
         return xyz.astype("<f4").tobytes()
+    if fmt == "ply_binary":
+        return xyz.astype("<f8").tobytes()
     return "".join(f"{x:.17g} {y:.17g} {z:.17g}\n" for x, y, z in xyz).encode()
 
 
@@ -90,7 +95,7 @@ def _assemble(target: str, fmt: str):
     def run(parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("part")
         cloud, n = parts["cloud_id"].iloc[0], int(parts["n"].sum())
-        final = os.path.join(target, f"{cloud}.{fmt}")
+        final = os.path.join(target, f"{cloud}.{FORMATS[fmt]}")
         temp = os.path.join(target, f".{uuid.uuid4().hex}.tmp")
         try:
             with open(temp, "wb") as out:
@@ -109,18 +114,18 @@ def _assemble(target: str, fmt: str):
 
 
 def export_clouds(df: DataFrame, folder: str, fmt: str) -> DataFrame:
-    """One file per cloud: ``ply`` (ASCII doubles, finite points), ``pcd`` (binary, 32-bit,
-    so digits are lost) or ``txt``. Returns ``(cloud_id, n, path)``.
+    """One file per cloud: ``ply`` (ASCII doubles, finite points), ``ply_binary`` (doubles, finite points), ``pcd``
+    (binary, 32-bit, so digits are lost), ``pcd_ascii`` or ``txt``. Returns ``(cloud_id, n, path)``.
 
     Slices of a cloud are written in parallel as parts; a part list, not the rows, goes to
     the task that joins the parts. Files appear under their name only when complete.
     """
     if fmt not in FORMATS:
-        raise ValueError(f"format must be one of {FORMATS}")
+        raise ValueError(f"format must be one of {tuple(FORMATS)}")
     os.makedirs(folder, exist_ok=True)
     staging = os.path.join(folder, f".parts-{uuid.uuid4().hex}")
     os.makedirs(staging)
-    rows = filter_finite(df) if fmt == "ply" else df
+    rows = filter_finite(df) if FORMATS[fmt] == "ply" else df
     rows = rows.select("cloud_id", ordered.point_slice().alias("part"), "point_id", "x", "y", "z")
     rows = rows.repartition("cloud_id", "part").sortWithinPartitions("cloud_id", "part", "point_id")
     try:
