@@ -133,13 +133,13 @@ def q_ini(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("error_csv", sql=with_sql("points", body="""
-SELECT cloud_id, point_id + 1 AS index, ROUND(z, 9) AS z_mm, ROUND(z - 5, 9) AS signed_error_mm FROM points"""))
+SELECT cloud_id, point_id + 1 AS index, ROUND(x, 9) AS x_mm, ROUND(y, 9) AS y_mm, ROUND(z, 9) AS z_mm, ROUND(z - 5, 9) AS signed_error_mm FROM points"""))
 def q_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     sinks.write_error_csv(models.signed_error(recipes.points(spark, sf_dir), recipes.models(spark, sf_dir)), path)
     schema = ("index bigint, x_mm double, y_mm double, z_mm double, signed_error_mm double, cloud_id string")
     back = spark.read.schema(schema).csv(path, header=True)
-    return round_all(back.select("cloud_id", "index", "z_mm", "signed_error_mm"))
+    return round_all(back.select("cloud_id", "index", "x_mm", "y_mm", "z_mm", "signed_error_mm"))
 
 
 @query("log_files", sql=with_sql("logs", body="""
@@ -151,18 +151,18 @@ def q_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("frame_audit_files", sql=with_sql("frame_events", body="""
-SELECT event_id AS index, frame_number AS left_frame_number, trigger_index AS left_trigger_count,
-  arrival_us AS left_host_timestamp FROM frame_events"""))
+SELECT event_id AS index, frame_number AS left_frame_number, frame_number + 1 AS right_frame_number,
+  trigger_index AS left_trigger_count, trigger_index + 2 AS right_trigger_count, arrival_us AS left_host_timestamp,
+  arrival_us + n_bytes AS right_host_timestamp FROM frame_events"""))
 def q_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = folder(spark)
     events = recipes.frame_events(spark, sf_dir)
     station.write_frame_audit(events.select(
         F.col("event_id").alias("index"), F.col("frame_number").alias("left_frame_number"),
-        F.col("frame_number").alias("right_frame_number"), F.col("trigger_index").alias("left_trigger_count"),
-        F.col("trigger_index").alias("right_trigger_count"), F.col("arrival_us").alias("left_host_timestamp"),
-        F.col("arrival_us").alias("right_host_timestamp")), path)
-    return station.read_frame_audit(spark, path).select(
-        "index", "left_frame_number", "left_trigger_count", "left_host_timestamp")
+        (F.col("frame_number") + 1).alias("right_frame_number"), F.col("trigger_index").alias("left_trigger_count"),
+        (F.col("trigger_index") + 2).alias("right_trigger_count"), F.col("arrival_us").alias("left_host_timestamp"),
+        (F.col("arrival_us") + F.col("n_bytes")).alias("right_host_timestamp")), path)
+    return station.read_frame_audit(spark, path).drop("file")
 
 
 @query("reconstruct_with_lens")

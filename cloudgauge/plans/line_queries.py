@@ -83,27 +83,88 @@ def q_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.middle_per_row(bright.select("frame_id", "range_id", "y", "x")).select("frame_id", "y", "x")
 
 
-@query("stripe_ranges")
+LABELS = """
+, label AS (WITH RECURSIVE reach AS (SELECT frame_id, y, x, y * 4294967296 + x AS label FROM opened
+   UNION SELECT r.frame_id, o.y, o.x, r.label FROM reach r JOIN opened o ON o.frame_id = r.frame_id
+   AND ABS(o.y - r.y) <= 1 AND ABS(o.x - r.x) <= 1)
+   SELECT frame_id, y, x, MIN(label) AS label FROM reach GROUP BY 1, 2, 3)"""
+# Per region: its box, what of the box is empty and cannot be left through empty neighbours, then outline and area.
+AREAS = """
+, box AS (SELECT frame_id, label, MIN(y) AS ly, MAX(y) AS hy, MIN(x) AS lx, MAX(x) AS hx FROM label GROUP BY 1, 2)
+, blank AS (SELECT b.frame_id, b.label, r.y, c.x, r.y IN (ly, hy) OR c.x IN (lx, hx) AS edge FROM box b
+    JOIN RANGE(8) r(y) ON r.y BETWEEN ly AND hy JOIN RANGE(8) c(x) ON c.x BETWEEN lx AND hx
+    ANTI JOIN label l ON l.frame_id = b.frame_id AND l.label = b.label AND l.y = r.y AND l.x = c.x)
+, outside AS (WITH RECURSIVE o AS (SELECT frame_id, label, y, x FROM blank WHERE edge
+    UNION SELECT n.frame_id, n.label, n.y, n.x FROM o JOIN blank n ON n.frame_id = o.frame_id AND n.label = o.label
+    AND ABS(n.y - o.y) + ABS(n.x - o.x) = 1) SELECT * FROM o)
+, filled AS (SELECT frame_id, label, y, x FROM label UNION ALL SELECT frame_id, label, y, x FROM blank b
+    ANTI JOIN outside o USING (frame_id, label, y, x))
+, enclosed AS (SELECT f.frame_id, f.label, f.y, f.x FROM filled f JOIN filled n ON n.frame_id = f.frame_id
+    AND n.label = f.label AND ABS(n.y - f.y) + ABS(n.x - f.x) = 1 GROUP BY 1, 2, 3, 4 HAVING COUNT(*) = 4)
+, counts AS (SELECT b.*, (SELECT COUNT(*) FROM filled f WHERE f.frame_id = b.frame_id AND f.label = b.label) AS n,
+    (SELECT COUNT(*) FROM enclosed e WHERE e.frame_id = b.frame_id AND e.label = b.label) AS i FROM box b)
+, sized AS (SELECT *, GREATEST(CAST(0 AS DOUBLE), n - CAST(n - i AS DOUBLE) / 2 - 1) AS area FROM counts)"""
+
+
+def ranges_sql(min_area: int, border: int) -> str:
+    """CTE ``ranges``: boxes of the large regions, grown and cut to the tile."""
+    x0, y0 = f"GREATEST(0, lx - {border})", f"GREATEST(0, ly - {border})"
+    return OPENED + LABELS + AREAS + f"""
+, ranges AS (SELECT frame_id, CAST(x0 AS INT) AS x0, CAST(y0 AS INT) AS y0, CAST(w AS INT) AS w, CAST(h AS INT) AS h, area,
+    ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY y0, x0, label) - 1 AS range_id
+  FROM (SELECT *, {x0} AS x0, {y0} AS y0, LEAST(8 - {x0}, hx - lx + 1 + 2 * {border}) AS w,
+    LEAST(8 - {y0}, hy - ly + 1 + 2 * {border}) AS h FROM sized WHERE area >= {min_area}) q)"""
+
+
+@query("stripe_ranges", sql=with_sql("pixels", body=ranges_sql(4, 1) + """
+SELECT frame_id, x0, y0, w, h, area, range_id FROM ranges"""))
 def q_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.stripe_ranges(opened(spark, sf_dir), SIDE, SIDE, 4.0, 1)
 
 
-@query("extract_centroid")
+@query("extract_centroid", sql=with_sql("pixels", body=ranges_sql(30, 2) + """
+, used AS (SELECT frame_id, x0, y0, w, h, range_id FROM ranges
+    UNION ALL SELECT DISTINCT frame_id, 0, 0, 8, 8, 0 FROM pixels p ANTI JOIN ranges r USING (frame_id))
+, sums AS (SELECT p.frame_id, range_id, p.y, SUM(CAST(gray AS DOUBLE)) AS total, SUM(CAST(gray AS DOUBLE) * p.x) AS wx
+  FROM pixels p JOIN opened o ON o.frame_id = p.frame_id AND o.y = p.y AND o.x = p.x
+  JOIN used r ON r.frame_id = p.frame_id AND p.x >= x0 AND p.x < x0 + w AND p.y >= y0 AND p.y < y0 + h
+  WHERE gray > 20 GROUP BY 1, 2, 3)
+SELECT frame_id, range_id, y, ROUND(wx / total, 9) AS u, CAST(y AS DOUBLE) AS v,
+  ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY range_id, y) - 1 AS obs_id FROM sums WHERE total >= 200"""))
 def q_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(lines.extract_centroid(recipes.pixels(spark, sf_dir), SIDE, SIDE, 60, 20))
 
 
-@query("extract_ridge")
+@query("extract_ridge", sql=with_sql("pixels", body=ranges_sql(4, 1) + """
+, k AS (SELECT o, EXP(-o * o / 2.0 / (4.0 / 3)) AS g0, o * EXP(-o * o / 2.0 / (4.0 / 3)) AS g1,
+    (o * o / (4.0 / 3) - 1) * EXP(-o * o / 2.0 / (4.0 / 3)) AS g2 FROM RANGE(-3, 4) t(o))
+, lit AS (SELECT p.*, range_id FROM pixels p JOIN ranges r ON r.frame_id = p.frame_id AND p.x >= x0 AND p.x < x0 + w
+    AND p.y >= y0 AND p.y < y0 + h WHERE gray > 0)
+, d AS (SELECT c.frame_id, c.range_id, c.y, c.x, SUM(n.gray * kx.g1 * ky.g0) / (2 * PI() * POW(4.0 / 3, 2)) AS dx,
+    SUM(n.gray * kx.g0 * ky.g1) / (2 * PI() * POW(4.0 / 3, 2)) AS dy,
+    SUM(n.gray * kx.g2 * ky.g0) / (2 * PI() * POW(4.0 / 3, 2)) AS a, SUM(n.gray * kx.g1 * ky.g1) / (2 * PI() * POW(4.0 / 3, 3)) AS b,
+    SUM(n.gray * kx.g0 * ky.g2) / (2 * PI() * POW(4.0 / 3, 2)) AS c
+  FROM lit c SEMI JOIN opened o ON o.frame_id = c.frame_id AND o.y = c.y AND o.x = c.x
+  JOIN lit n ON n.frame_id = c.frame_id AND n.range_id = c.range_id JOIN k kx ON kx.o = n.x - c.x JOIN k ky ON ky.o = n.y - c.y
+  WHERE c.gray > 40 GROUP BY 1, 2, 3, 4)
+, roots AS (SELECT *, SQRT((a - c) * (a - c) + 4 * b * b) AS root FROM d)
+, v AS (SELECT *, CASE WHEN ABS(a + c + root) < ABS(a + c - root) THEN -(c - a + root) ELSE 2 * b END AS vx,
+    CASE WHEN ABS(a + c + root) < ABS(a + c - root) THEN 2 * b ELSE c - a + root END AS vy FROM roots)
+, n AS (SELECT *, vx / SQRT(vx * vx + vy * vy) AS nx, vy / SQRT(vx * vx + vy * vy) AS ny FROM v WHERE SQRT(vx * vx + vy * vy) >= 1e-9)
+, s AS (SELECT *, a * nx * nx + 2 * b * nx * ny + c * ny * ny AS den FROM n)
+, t AS (SELECT *, -(dx * nx + dy * ny) / den * nx AS px, -(dx * nx + dy * ny) / den * ny AS py FROM s WHERE ABS(den) >= 1e-9)
+, hit AS (SELECT * FROM t WHERE ABS(px) <= 0.5 AND ABS(py) <= 0.5
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY frame_id, y, x ORDER BY range_id) = 1)
+, mid AS (SELECT * FROM hit QUALIFY ROW_NUMBER() OVER (PARTITION BY frame_id, range_id, y ORDER BY x) - 1
+    = COUNT(*) OVER (PARTITION BY frame_id, range_id, y) // 2)
+SELECT frame_id, range_id, y, x, ROUND(x + px, 9) AS u, ROUND(y + py, 9) AS v,
+  ROW_NUMBER() OVER (PARTITION BY frame_id ORDER BY range_id, y, x) - 1 AS obs_id FROM mid"""))
 def q_ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(lines.extract_ridge(
         recipes.pixels(spark, sf_dir), SIDE, SIDE, 60, 2.0, 40, min_area=4.0, border=1))
 
 
-@query("connected_components", sql=with_sql("pixels", body=OPENED + """
-, label AS (WITH RECURSIVE reach AS (SELECT frame_id, y, x, y * 4294967296 + x AS label FROM opened
-   UNION SELECT r.frame_id, o.y, o.x, r.label FROM reach r JOIN opened o ON o.frame_id = r.frame_id
-   AND ABS(o.y - r.y) <= 1 AND ABS(o.x - r.x) <= 1)
-   SELECT frame_id, y, x, MIN(label) AS label FROM reach GROUP BY 1, 2, 3)
+@query("connected_components", sql=with_sql("pixels", body=OPENED + LABELS + """
 SELECT frame_id, CAST(y AS INT) AS y, CAST(x AS INT) AS x, label FROM label"""))
 def q_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.pixel_components(opened(spark, sf_dir))
