@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from cloudgauge.session import checkpoint_folder
+from cloudgauge.session import run_folder
 
 #: Bytes of text that a Python function of this package holds at a time; one longer text is held alone.
 SLICE_BYTES = 2 << 20
@@ -24,12 +24,12 @@ class Scratch:
     """Tables of one job in the shared folder of ``spark.checkpoint.dir``.
 
     ``write`` cuts the lineage, so a lost executor costs no earlier stage; ``drop`` deletes
-    what later steps no longer read.
+    what later steps no longer read. The rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
-        self.root = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+        self.root = f"{run_folder(spark)}/{uuid.uuid4().hex}"
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
