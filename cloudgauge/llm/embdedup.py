@@ -2,10 +2,12 @@
 
 Vectors are assigned to the nearest ``OVERLAP`` of their label's centroids, so shards overlap. Each shard's
 graph is built by robust pruning; the adjacency lists of a vector in all its shards are united. Every
-vector is then a query in the shard of its nearest centroid: a greedy beam search from the shard's medoid (and
-from the query's own node) finds the neighbourhood, and while vectors within the range turn up, the search
-expands from each of them. Cosines in double precision verify every link. Equal vectors are one node with a
-count; links leave a task as counts and as one edge per vector, so groups of copies are never expanded to pairs.
+vector is then a query in its home, the shard of its nearest centroid: a greedy beam search from the shard's medoid
+(and from the query's own node) finds the neighbourhood, and while vectors within the range turn up, the search
+expands from each of them. Links between vectors of different homes are found without the graphs: a vector is compared
+with all vectors at home in each shard that bounds on the angles cannot exclude, so a border loses no pair. Cosines in
+double precision verify every link. Equal vectors are one node with a count; links leave a task as counts and as one
+edge per vector, so groups of copies are never expanded to pairs.
 """
 
 from __future__ import annotations
@@ -188,6 +190,40 @@ def roots_of(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> np.ndarray:
         label = new
 
 
+def reachable(
+    vectors: np.ndarray, home: np.ndarray, centres: np.ndarray, widest: np.ndarray, narrowest: np.ndarray, cosine: float
+) -> np.ndarray:
+    """For each vector and shard: may the shard be home to a vector with at least ``cosine``?
+
+    ``widest`` and ``narrowest`` are the least and the largest cosine between a shard's centroid and a vector at home in
+    it (NaN without one). Two bounds exclude a shard: the triangle inequality of the angles to its centroid, and the
+    distance to the plane between the vector's own centroid and the shard's, beyond which the shard's vectors lie.
+    """
+    slack = 1e-7  # far above the rounding of the angles
+    reach, chord = np.arccos(np.clip(cosine, -1, 1)), np.sqrt(max(0.0, 2 - 2 * cosine))
+    along = vectors @ centres.T
+    angle = np.arccos(np.clip(along, -1, 1))
+    near = angle <= np.arccos(np.clip(widest, -1, 1)) + reach + slack
+    near &= angle >= np.arccos(np.clip(narrowest, -1, 1)) - reach - slack
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[home]
+    return near & (along[np.arange(len(vectors)), home][:, None] - along <= chord * apart + slack)
+
+
+def summary(
+    ids: np.ndarray, q_ids: np.ndarray, a: np.ndarray, b: np.ndarray, copies: np.ndarray, q_copies: np.ndarray | None = None
+) -> pd.DataFrame:
+    """``node``, ``links``, ``root`` for the links (query a, node b) of a task; with ``q_copies`` the nodes get them too."""
+    every = np.unique(np.concatenate([ids, q_ids]))
+    at, q_at = np.searchsorted(every, ids), np.searchsorted(every, q_ids)
+    root = roots_of(q_at[a], at[b], every)
+    total = np.zeros(len(every), np.int64)
+    np.add.at(total, q_at[a], copies[b])
+    if q_copies is not None:
+        np.add.at(total, at[b], q_copies[a])
+    used = (total > 0) | (root != every)
+    return pd.DataFrame({"node": every[used], "links": total[used], "root": root[used]})
+
+
 def near_vectors(
     vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", cosine: float = COSINE
 ) -> DataFrame:
@@ -219,16 +255,17 @@ def near_vectors(
             for value, part in batch.groupby("label"):
                 centres = shared.value.get(value)
                 if centres is None:  # a label without sampled vectors is one shard
-                    order = np.zeros((len(part), 1), np.int64)
+                    order, along = np.zeros((len(part), 1), np.int64), np.ones((len(part), 1))
                 else:
-                    order = np.argsort(-(normalised(part["embedding"]) @ centres.T), axis=1, kind="stable")[:, :OVERLAP]
+                    along = normalised(part["embedding"]) @ centres.T
+                    order = np.argsort(-along, axis=1, kind="stable")[:, :OVERLAP]
                 yield pd.DataFrame({
                     "label": part["label"], "node": part["node"], "copies": part["copies"], "embedding": part["embedding"],
-                    "shards": [o.tolist() for o in order]})
+                    "shards": [o.tolist() for o in order], "along": along[np.arange(len(part)), order[:, 0]]})
 
     kind = vectors.schema[key].dataType.simpleString()
     assigned = scratch.write(classes.select("label", "node", "copies", "embedding").mapInPandas(
-        assign, f"label string, node {kind}, copies long, embedding array<double>, shards array<int>"))
+        assign, f"label string, node {kind}, copies long, embedding array<double>, shards array<int>, along double"))
     members = assigned.withColumn("shard", F.explode("shards"))
     sizes = members.groupBy("label", "shard").agg(F.count("*").alias("_members"))
     sizes = sizes.select("label", "shard", F.ceil(F.col("_members") / F.lit(BLOCK)).cast("int").alias("blocks"),
@@ -267,31 +304,18 @@ def near_vectors(
         own = place.reindex(q_ids).fillna(-1).to_numpy(np.int64)
         v, q = normalised(there["embedding"]), normalised(query["embedding"])
         a, b = range_search(v, lists, q, own, cosine)
-        other = ids[b] != q_ids[a]
-        a, b = a[other], b[other]
-        links = np.zeros(len(query), np.int64)
-        np.add.at(links, a, there["copies"].to_numpy()[b])
-        # A node that never meets this query in its own shard gets the link from here.
+        # Nodes at home elsewhere only lead on; their links are those of ``_across``.
         home = pdf["shard"].iloc[0]
-        homes = np.array([s[0] for s in there["shards"]])
-        meets = {h: np.array([h in s for s in query["shards"]]) for h in set(homes.tolist())}
-        missed = np.zeros(len(a), bool)
-        for h, own_shard in meets.items():
-            if h != home:
-                missed |= (homes[b] == h) & ~own_shard[a]
-        back = np.zeros(len(there), np.int64)
-        np.add.at(back, b[missed], query["copies"].to_numpy()[a[missed]])
-        every = np.unique(np.concatenate([ids, q_ids]))
-        pa_, pb_ = np.searchsorted(every, q_ids[a]), np.searchsorted(every, ids[b])
-        root = roots_of(pa_, pb_, every)
-        total = np.zeros(len(every), np.int64)
-        np.add.at(total, np.searchsorted(every, q_ids), links)
-        np.add.at(total, np.searchsorted(every, ids), back)
-        used = (total > 0) | (root != every)
-        return pd.DataFrame({"node": every[used], "links": total[used], "root": root[used]})
-
-    found = scratch.write(nodes.union(asks).groupBy("label", "shard", "block", "q_block").applyInPandas(
-        search, f"node {kind}, links long, root {kind}"))
+        own_home = np.array([s[0] == home for s in there["shards"]])
+        other = own_home[b] & (ids[b] != q_ids[a])
+        a, b = a[other], b[other]
+        return summary(ids, q_ids, a, b, there["copies"].to_numpy())
+
+    found = nodes.union(asks).groupBy("label", "shard", "block", "q_block").applyInPandas(
+        search, f"node {kind}, links long, root {kind}")
+    if any(len(centres) > 1 for centres in shared.value.values()):
+        found = found.union(_across(assigned, shared.value, cosine))
+    found = scratch.write(found)
     groups = components(found.select(F.col("node").alias("src"), F.col("root").alias("dst")), scratch)
     summed = found.groupBy("node").agg(F.sum("links").alias("links"))
     named = classes.join(summed, "node", "left").join(groups.withColumnRenamed("id", "node"), "node", "left").select(
@@ -304,6 +328,59 @@ def near_vectors(
         F.col("id").alias(key), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def _across(assigned: DataFrame, centres: dict[str, np.ndarray], cosine: float) -> DataFrame:
+    """``node``, ``links``, ``root`` of the links between vectors of different homes, all of them.
+
+    A vector asks the shards after its home that ``reachable`` leaves; a link counts for both of its ends.
+    """
+    spark, kind = assigned.sparkSession, assigned.schema["node"].dataType.simpleString()
+    homes = assigned.withColumn("shard", F.col("shards")[0])
+    bounds = {label: np.full((2, len(c)), np.nan) for label, c in centres.items()}
+    sampled = spark.createDataFrame([(label,) for label in bounds], "label string")
+    widths = homes.join(F.broadcast(sampled), "label").groupBy("label", "shard").agg(F.min("along"), F.max("along"))
+    for label, shard, least, most in widths.collect():  # one row per centroid
+        bounds[label][:, shard] = least, most
+    shared = spark.sparkContext.broadcast({x: (c, bounds[x]) for x, c in centres.items() if len(c) > 1})
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for value, part in batch.groupby("label"):
+                if value in shared.value:
+                    centroid, (widest, narrowest) = shared.value[value]
+                    home = part["shard"].to_numpy()
+                    near = reachable(normalised(part["embedding"]), home, centroid, widest, narrowest, cosine)
+                    near &= np.arange(len(centroid)) > home[:, None]
+                    row, shard = np.nonzero(near)
+                    yield part.iloc[row].assign(shard=shard)
+
+    columns = ["label", "shard", "node", "copies", "embedding"]
+    asks = homes.select(*columns).mapInPandas(
+        ask, f"label string, shard int, node {kind}, copies long, embedding array<double>")
+    asked = asks.groupBy("label", "shard").agg(F.ceil(F.count("*") / F.lit(ASK_BLOCK)).cast("int").alias("ask_blocks"))
+    sizes = homes.groupBy("label", "shard").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks")).join(
+        asked, ["label", "shard"])
+
+    def dealt(rows: DataFrame, asks: bool, own: str, other: str, blocks: str, other_blocks: str) -> DataFrame:
+        return rows.select(*columns).join(sizes, ["label", "shard"]).withColumn(
+            own, F.pmod(F.xxhash64("node"), F.col(blocks)).cast("int")).withColumn(
+            other, F.explode(F.sequence(F.lit(0), F.col(other_blocks) - 1))).select(
+            "label", "shard", "block", "q_block", F.lit(asks).alias("asks"), "node", "copies", "embedding")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        there, query = pdf[~pdf["asks"]], pdf[pdf["asks"]]
+        if not len(there) or not len(query):
+            return pd.DataFrame({"node": [], "links": [], "root": []})
+        v, q = normalised(there["embedding"]), normalised(query["embedding"])
+        met = [np.nonzero(q[at : at + 256] @ v.T >= cosine) for at in range(0, len(q), 256)]
+        a = np.concatenate([r + 256 * i for i, (r, _) in enumerate(met)])
+        b = np.concatenate([n for _, n in met])
+        return summary(there["node"].to_numpy(), query["node"].to_numpy(), a, b, there["copies"].to_numpy(), query["copies"].to_numpy())
+
+    both = dealt(homes, False, "block", "q_block", "blocks", "ask_blocks").union(
+        dealt(asks, True, "q_block", "block", "ask_blocks", "blocks"))
+    return both.groupBy("label", "shard", "block", "q_block").applyInPandas(compare, f"node {kind}, links long, root {kind}")
+
+
 def audit_recall(
     vectors: DataFrame, found: DataFrame, queries: str, key: str = "vec_id", vector: str = "embedding", label: str = "label",
     cosine: float = COSINE,

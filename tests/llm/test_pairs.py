@@ -218,3 +218,20 @@ def test_pipeline_stages(spark, tmp_path):
     leaks = {d for d, _ in brute_leaks(kept, items)}
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert rows == {d: library.encode(t, add_special_tokens=False).ids for d, t in kept if d not in leaks}
+
+
+def test_neighbourhood_over_many_shards(spark, monkeypatch):
+    """Links between vectors whose nearest centroids are not among each other's two are found as well."""
+    rng = np.random.default_rng(5)
+    monkeypatch.setattr(embdedup, "SHARD", 50)
+    centre, far = rng.normal(size=(2, 16))
+    dense = centre + rng.normal(size=(600, 16)) * 0.26
+    mixed = np.concatenate([rng.normal(size=(150, 16)), far + rng.normal(size=(150, 16)) * 0.2])
+    rows = [(i, v.tolist(), 1 if i < 600 else 2) for i, v in enumerate(np.concatenate([dense, mixed]))]
+    rows += [(1000 + i, rows[i][1], 1) for i in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(4)
+    unit = embdedup.normalised(np.array([v for _, v, _ in rows]))
+    labels = np.array([label for _, _, label in rows])
+    close = (unit @ unit.T >= 0.93) & (labels[:, None] == labels) & ~np.eye(len(rows), dtype=bool)
+    got = {r["vec_id"]: r["n_links"] for r in embdedup.near_vectors(df).collect()}
+    assert [got[i] for i, _, _ in rows] == close.sum(axis=1).tolist()
