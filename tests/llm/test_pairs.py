@@ -235,3 +235,20 @@ def test_neighbourhood_over_many_shards(spark, monkeypatch):
     close = (unit @ unit.T >= 0.93) & (labels[:, None] == labels) & ~np.eye(len(rows), dtype=bool)
     got = {r["vec_id"]: r["n_links"] for r in embdedup.near_vectors(df).collect()}
     assert [got[i] for i, _, _ in rows] == close.sum(axis=1).tolist()
+
+
+def test_audit_of_a_neighbourhood_over_six_shards(spark, monkeypatch):
+    used = {}
+    fit = embdedup.centroids
+    monkeypatch.setattr(embdedup, "centroids", lambda *a: used.update(fit(*a)) or used)
+    monkeypatch.setattr(embdedup, "SHARD", 40)
+    rng = np.random.default_rng(8)
+    vectors = rng.normal(size=12) + rng.normal(size=(500, 12)) * 0.25
+    df = spark.createDataFrame([(i, v.tolist(), i % 5 == 0) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>, other boolean")
+    df = df.select("vec_id", "embedding", F.when(F.col("other"), 2).otherwise(1).alias("label")).repartition(4)
+    got = embdedup.near_vectors(df)
+    unit = embdedup.normalised(vectors[np.arange(500) % 5 > 0])
+    homes = (unit @ used["1:12"].T).argmax(axis=1)
+    assert max(len(set(homes[near])) for near in unit @ unit.T >= 0.93) >= 6
+    audit = embdedup.audit_recall(df, got, "vec_id % 2 = 0").first()
+    assert audit["wanted"] > 1000 and audit["found"] == audit["wanted"]
