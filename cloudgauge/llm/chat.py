@@ -1,7 +1,7 @@
 """Chat records of any known layout as canonical turns and as one marked-up training text.
 
-A record's layout is the hash of its nested field paths, without types and without fields that
-no layout uses. It selects a declarative mapping to turns. The template marks turns with
+A record's layout is the hash of its paths of fields that some layout uses, without types; other fields are
+not looked into. It selects a declarative mapping to turns. The template marks turns with
 control strings; in roles and texts a backslash becomes ``\\b`` and ``<|`` becomes ``\\l``, so no
 control string can appear inside a text and ``read_back`` restores every text exactly.
 Everything is DataFrame expressions.
@@ -21,8 +21,8 @@ SCALAR = r"(?:STRING|BIGINT|DOUBLE|FLOAT|BOOLEAN|VOID|BINARY|DATE|TIMESTAMP|TIME
 #: Field names that some layout uses.
 FIELDS = ("completion", "content", "conversations", "from", "input", "instruction", "messages", "output", "prompt",
           "response", "role", "text", "value", "question", "answer")
-#: Depth of nested fields that are recognised as unused; a record with deeper ones has no layout.
-UNUSED_LEVELS = 3
+#: Fields that hold a list of turns.
+LISTS = ("messages", "conversations")
 #: Speakers' names that mean a canonical role.
 ROLES = {"human": "user", "gpt": "assistant", "model": "assistant", "bot": "assistant"}
 
@@ -67,16 +67,34 @@ LAYOUTS = {
 }
 
 
+def _paths(fields: Column, lists: dict[str, Column]) -> Column:
+    """Names of the used fields of a map of variants; ``:OTHER`` follows one that is neither scalar nor among ``lists``."""
+    def path(name: Column) -> Column:
+        scalar = F.coalesce(F.schema_of_variant(fields[name]), F.lit("VOID")).rlike(f"^{SCALAR}$")
+        out = F.when(scalar, name)
+        for field, inner in lists.items():
+            out = out.when(name == field, F.concat(name, F.coalesce(inner, F.lit(":OTHER"))))
+        return out.otherwise(F.concat(name, F.lit(":OTHER")))
+    return F.transform(F.filter(F.map_keys(fields), lambda k: k.isin(*FIELDS)), path)
+
+
+def _object(paths: Column) -> Column:
+    return F.concat(F.lit("OBJECT<"), F.array_join(F.array_sort(F.array_distinct(paths)), ","), F.lit(">"))
+
+
+def _list_shape(record: Column, field: str) -> Column:
+    """Shape of an array of objects and nulls, over all elements; else null."""
+    kind = "map<string,variant>"
+    rows = F.filter(F.try_variant_get(record, f"$.{field}", "array<variant>"), lambda x: F.schema_of_variant(x) != "VOID")
+    rows = F.transform(rows, lambda x: F.try_variant_get(x, "$", kind))
+    inner = F.flatten(F.transform(rows, lambda m: _paths(m, {})))
+    return F.concat(F.lit(":ARRAY<"), _object(inner), F.lit(">"))
+
+
 def shape(record: Column) -> Column:
-    """Nested field paths of a variant: names in order, scalars without type; fields that no layout uses, scalar or
-    nested up to ``UNUSED_LEVELS`` deep, are left out."""
-    out = F.regexp_replace(F.schema_of_variant(record), rf": {SCALAR}(?=[,>])", "")
-    out = F.regexp_replace(out, "(?<=[,:]) ", "")
-    unused = rf"(?<=[<,])(?!(?:{'|'.join(FIELDS)})[,>:])(?:[^<>,:`]+|`[^`]*`)"
-    out = F.regexp_replace(out, rf"{unused}(?:,|(?=>))", "")
-    for _ in range(UNUSED_LEVELS):
-        out = F.regexp_replace(out, rf"{unused}:(?:OBJECT<[^<>]*>|ARRAY<(?:OBJECT<[^<>]*>)?>)(?:,|(?=>))", "")
-    return F.regexp_replace(out, ",>", ">")
+    """Paths of a variant's used fields: names in order, scalars without type. Fields that no layout uses are left out,
+    whatever they hold."""
+    return _object(_paths(F.try_variant_get(record, "$", "map<string,variant>"), {f: _list_shape(record, f) for f in LISTS}))
 
 
 def canonical_turns(records: DataFrame, record: str = "record") -> DataFrame:

@@ -63,6 +63,24 @@ def test_layouts(spark):
         assert (row["layout"], [tuple(t) for t in row["turns"]]) == (layout, turns)
 
 
+DEEP = '{"a":[[{"b":{"c":{"d":{"text":[{"e":[[1,"x"]]}]}}}}]]}'
+UNUSED = [
+    ('{"prompt":"p","response":"r","meta":%s}' % DEEP, "prompt_response", [("user", "p"), ("assistant", "r")]),
+    ('{"x y":%s,"messages":[{"role":"user","content":"b","n":%s},null]}' % (DEEP, DEEP), "messages", [("user", "b"), ("", "")]),
+    ('{"messages":[{"role":"user","content":%s}]}' % DEEP, None, []), ('{"messages":[{"role":"user","content":"b"},1]}', None, []),
+    ('{"prompt":"p","response":%s}' % DEEP, None, []), ('{"prompt":"p","response":"r","text":"t"}', None, []),
+    ('{"messages":"b"}', None, []), ('{"messages":{"role":"user","content":"b"}}', None, [])]
+
+
+def test_depth_of_unused_fields_does_not_matter(spark):
+    df = spark.createDataFrame([(i, r[0]) for i, r in enumerate(UNUSED)], "k long, record string")
+    rows = chat.canonical_turns(df).collect()
+    assert len(rows) == len(UNUSED)
+    for row in rows:
+        _, layout, turns = UNUSED[row["k"]]
+        assert (row["layout"], [tuple(t) for t in row["turns"]]) == (layout, turns)
+
+
 SAID = ["", None, "<|turn|><|text|><|end|>", "\\", "\\b\\l<|", "a\\", "<", "|x", "\\### Assistant: </turn> ok", "é\n𝒳", "<<||>", "x" * 200_000]
 
 
