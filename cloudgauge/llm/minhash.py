@@ -259,6 +259,17 @@ def _whole_pairs(
 
 
 def deduplicate(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one document of each component, the one of smallest key; columns as they are."""
-    kept = near_duplicates(docs, key, text, **options).filter("kept").select(F.col(key).alias("_kept")).distinct()
-    return docs.join(kept, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    """``docs`` with one document of each component, the one of smallest key; columns as they are.
+
+    Rows that share a key are one document: of its rows with equal texts (or null texts) any one stays, and different
+    texts under that key all stay. Rows with a null key all stay.
+    """
+    scratch = Scratch(docs.sparkSession)
+    kept = scratch.write(near_duplicates(docs, key, text, **options).filter("kept").groupBy(F.col(key).alias("_kept")).agg(
+        (F.col("_kept").isNotNull() & (F.count("*") > 1)).alias("_many")))
+    single, many = kept.filter("not _many").select("_kept"), kept.filter("_many").select("_kept")
+    out = docs.join(single, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
+    if many.isEmpty():
+        return out
+    repeated = docs.join(many, docs[key] == F.col("_kept"), "left_semi").withColumn("_print", F.sha2(F.col(text).cast("binary"), 256))
+    return out.union(repeated.dropDuplicates([key, "_print"]).drop("_print"))

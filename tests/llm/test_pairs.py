@@ -147,6 +147,14 @@ def test_rows_that_share_an_id(spark):
     assert got == {(5, 2), (2, 2), (9, 2), (1, 1)}
 
 
+def test_one_row_of_a_repeated_document_stays(spark):
+    rows = [(5, "a b c d e f"), (5, "a b c d e f"), (7, "a b c d e f"), (2, "g h i j k l"), (2, "m n o p q r"), (2, "g h i j k l"),
+            (3, None), (3, None), (None, "z"), (None, "z"), (9, "s t u v w x")]
+    got = minhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter([
+        (5, "a b c d e f"), (2, "g h i j k l"), (2, "m n o p q r"), (3, None), (None, "z"), (None, "z"), (9, "s t u v w x")])
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(90)]
