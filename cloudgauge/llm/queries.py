@@ -8,7 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.llm import bpe, chat, decontam, embdedup, html, langid, license, minhash, tokencount, warc
+from cloudgauge.llm import (
+    bpe, chat, decontam, embdedup, html, langid, license, minhash, packing, search, tokencount, trie, warc,
+)
 from cloudgauge.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -219,3 +221,92 @@ SELECT page_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN response
         || ';last-modified=' || rdated END AS headers,
     CASE WHEN outcome = 'resolved' THEN 'md5:' || digest END AS payload_digest
 FROM judged"""
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pieces = packing.token_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=1)
+    return packing.pack(pieces, capacity=4096).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
+#: Turns that the trie query takes from another conversation at most.
+LONGEST_HEAD = 8
+
+
+@query
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(
+        table(spark, sf_dir, "conversations"), head=lambda c: F.crc32(c.cast("string").cast("binary")) % (LONGEST_HEAD + 1),
+        base=lambda c: c - c % 5, longest=LONGEST_HEAD)
+
+
+ORACLE["op12_conversation_trie"] = f"""
+WITH RECURSIVE codes AS (
+    SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda c, x: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) ORDER BY n) AS t
+    FROM (SELECT CAST(range AS BIGINT) AS n FROM range(256))),
+said AS (
+    SELECT conv_id AS c, list({{'role': COALESCE(role, ''), 'text': COALESCE(text, '')}}
+        ORDER BY turn NULLS FIRST, COALESCE(role, ''), COALESCE(text, '')) AS w
+    FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+heads AS (
+    SELECT c, w, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(c AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+        lambda s, b: xor(s // 256, t[xor(s, b) % 256 + 1])), 4294967295) % {LONGEST_HEAD + 1} AS h
+    FROM said, codes),
+rebuilt AS (
+    SELECT a.c, list_concat(COALESCE(b.w[1:a.h], []), a.w[a.h + 1:]) AS r
+    FROM heads a LEFT JOIN said b ON b.c = a.c - a.c % 5),
+prefixes AS (
+    SELECT c, len(r) AS n, d, sha256(CAST(to_json(r[1:d]) AS VARCHAR)) AS k,
+        CASE WHEN d > 0 THEN strlen(r[d].text) ELSE 0 END AS bytes
+    FROM (SELECT c, r, unnest(range(0, len(r) + 1)) AS d FROM rebuilt)),
+nodes AS (
+    SELECT d, k, MIN(c) AS c, COUNT(*) AS n_convs, MAX(bytes) AS bytes,
+        sha256(COALESCE(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (n = d), '')) AS ends_sha256
+    FROM prefixes GROUP BY d, k),
+linked AS (
+    SELECT v.*, u.k AS parent_k, u.c AS parent_c FROM nodes v
+    LEFT JOIN prefixes p ON p.c = v.c AND p.d = v.d - 1 LEFT JOIN nodes u ON u.d = p.d AND u.k = p.k),
+children AS (SELECT d - 1 AS d, parent_k AS k, COUNT(*) AS n FROM linked WHERE d > 0 GROUP BY ALL),
+own AS (
+    SELECT v.*, COALESCE(w.n, 0) AS n_children, (v.n_convs - 1) * v.bytes AS saved
+    FROM linked v LEFT JOIN children w ON w.d = v.d AND w.k = v.k),
+below AS (
+    SELECT p.d, p.k, COUNT(*) FILTER (v.n_children = 0) AS n_leaves, CAST(SUM(v.saved) AS BIGINT) AS saved_tokens
+    FROM own v JOIN prefixes p ON p.c = v.c AND p.d <= v.d GROUP BY p.d, p.k)
+SELECT v.c AS conv_id, v.d AS depth, v.parent_c AS parent_conv_id, v.n_convs, v.n_children, b.n_leaves, b.saved_tokens, v.ends_sha256
+FROM own v JOIN below b ON b.d = v.d AND b.k = v.k"""
+
+
+@query
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+ORACLE["op13_lexical_search"] = r"""
+WITH terms AS (
+    SELECT rowid_, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS rowid_, * FROM documents)),
+sizes AS (SELECT rowid_, COUNT(*) AS n FROM terms GROUP BY rowid_),
+whole AS (SELECT COUNT(*) AS docs, CAST(SUM(n) AS BIGINT) AS total FROM sizes),
+asked AS (
+    SELECT DISTINCT item_id, text, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark),
+counts AS (
+    SELECT rowid_, doc_id, term, COUNT(*) AS tf FROM terms WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+    SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w
+    FROM counts, whole GROUP BY term, docs),
+scores AS (
+    SELECT a.item_id, a.text, c.rowid_, c.doc_id,
+        CAST(SUM(w * ((1000000000 * tf) // (1000 * tf + 20 * (100 - 50 + (50 * n * docs) // total)))) AS BIGINT) AS score
+    FROM asked a JOIN counts c USING (term) JOIN weights USING (term) JOIN sizes s ON s.rowid_ = c.rowid_, whole
+    GROUP BY ALL),
+ranked AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS FIRST) AS INTEGER) AS rank, doc_id, score
+    FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 50"""
