@@ -2,8 +2,8 @@
 
 All sums (centroids, covariances, normal equations) are grouped aggregates; the closing
 3x3 eigen problem or the at most 15x15 solve of an already aggregated row runs in a pandas
-UDF. Every step uses all finite points of a cloud: candidates are scored by exact medians
-from digit counts of slices of the cloud, Gauss-Newton sums its normal equations over all
+UDF. Every step uses all finite points of a cloud: candidates are compared by exact medians, found digit by digit
+from bounded counters of slices of the cloud, Gauss-Newton sums its normal equations over all
 open clouds in one grouped aggregate per step. Each least-squares pass first centres
 its points, so large coordinates do not cost precision. Groups whose points cannot
 determine a shape get a ``failure`` text instead of failing the job.
@@ -15,23 +15,29 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cloudgauge.functions.vec import Vec, cross, dot, fields, pack, scale, sub, vec
 from cloudgauge.operators import ordered
-from cloudgauge.operators.cloud import filter_finite, stride_filter, upper_median
+from cloudgauge.operators.cloud import filter_finite, stride_filter
 from cloudgauge.operators.models import (
     MODEL_COLUMNS, VEC3, complete_models, residual, residual_stats, surface_terms,
 )
+from cloudgauge.operators.selection import upper_medians
 from cloudgauge.session import cut_lineage, join_on, release, salted_join
 
 # Fixed values of the fitting procedure.
 MINIMUM_POINTS = {"plane": 3, "sphere": 4, "cylinder": 6, "quadric": 6, "quartic": 15}
 CANDIDATES = 120
 #: Points of a cloud that one task scores at a time.
-SCORE_SLICE = 50_000
+SCORE_SLICE = 16_384
+#: Shift and width of the digits of a residual's bits, from the top; the sign is always 0.
+DIGITS = ((51, 12), (39, 12), (27, 12), (15, 12), (3, 12), (0, 3))
+#: Points of a cloud up to which one task takes all refinement steps; larger clouds are summed by all tasks.
+TASK_POINTS = 200_000
 DEGENERATE_EIGENVALUE = 1e-12
 TRIM_ROUNDS = 3
 TRIM_FACTOR = 3.0
@@ -281,62 +287,87 @@ def _candidate_subsets(points: DataFrame, kind: str, by: Sequence[str], seed: in
     return join_on(picks.select(*by, "_i", "_cand"), points.select(*by, "_i", "x", "y", "z"), [*by, "_i"])
 
 
-def _digit_counts(points: DataFrame, pools: DataFrame, by: Sequence[str], places: int) -> DataFrame:
-    """Per cloud and candidate how many absolute residuals have each digit, 24 bits of the number's own.
+def _slices(points: DataFrame, by: Sequence[str]) -> DataFrame:
+    """A written row per ``SCORE_SLICE`` points of a cloud with their coordinates in one array."""
+    rows = points.withColumn("_part", F.floor(F.col("_i") / SCORE_SLICE))
+    return cut_lineage(rows.groupBy(*by, "_part").agg(F.collect_list(F.struct("x", "y", "z")).alias("_xyz"), F.first("_n").alias("_n")))
 
-    A pool row holds a cloud's candidates as flat groups of 7 (centre, normal, radius; a radius below
-    zero marks a plane) and the leading digits that count, or NULL for all. The order of the bits is the
-    order of the numbers. A task sees ``SCORE_SLICE`` points of one cloud.
+
+def _digit_counts(parts: DataFrame, pools: DataFrame, by: Sequence[str], shift: int, width: int) -> DataFrame:
+    """Per cloud and open candidate how many absolute residuals have each digit: ``width`` bits above ``shift`` of the
+    number's own bits, whose order is the order of the numbers.
+
+    A pool row holds the open candidates ``_cands``, their shapes ``_params`` as flat groups of 7 (centre, normal, radius; a
+    radius below zero marks a plane) and ``_lead``, the bits above the digit that count, or NULL for all. A slice
+    gives at most ``2 ** width`` counters per candidate, whatever its points.
     """
     keys = [*by, "_part"]
-    rows = points.select(*by, F.floor(F.col("_i") / SCORE_SLICE).alias("_part"), "x", "y", "z")
-    parts = join_on(rows.select(*keys).distinct(), pools.select(*by, "_params", "_lead"), by)
-    schema = T.StructType([*[points.schema[k] for k in by], T.StructField("_cand", T.IntegerType()),
+    schema = T.StructType([*[parts.schema[k] for k in keys], T.StructField("_cand", T.IntegerType()),
                            T.StructField("_digit", T.LongType()), T.StructField("_count", T.LongType())])
 
-    def count(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        pts = left[["x", "y", "z"]].to_numpy(float)
-        lead = right["_lead"].iloc[0] if len(right) else None
-        for index, c in enumerate(np.asarray(right["_params"].iloc[0], float).reshape(-1, 7) if len(right) and len(left) else []):
+    def count(table: pa.Table) -> pa.Table:
+        cands, digits, counts = [], [], []
+        flat = table.column("_xyz").combine_chunks().flatten()
+        pts = np.column_stack([flat.field(a).to_numpy(zero_copy_only=False) for a in "xyz"])
+        row = table.select(["_params", "_cands", "_lead"]).slice(0, 1).to_pylist()[0]
+        for n, c in enumerate(np.asarray(row["_params"], float).reshape(-1, 7)):
             delta = pts - c[:3]
             e = np.abs(delta @ c[3:6]) if c[6] < 0 else np.abs(np.sqrt((delta * delta).sum(axis=1)) - c[6])
             bits = e.view(np.int64)
-            if lead is not None:
-                bits = bits[bits >> places + 24 == lead[index]]
-            digit, n = np.unique(bits >> places & 0xFFFFFF, return_counts=True)
-            out.append(pd.DataFrame({"_cand": index, "_digit": digit, "_count": n}))
-        found = pd.concat(out) if out else pd.DataFrame({"_cand": [], "_digit": [], "_count": []})
-        for name, value in zip(by, key):
-            found[name] = value
-        return found[schema.names]
-
-    parts = parts.select(*[F.col(k).alias(f"_own_{k}") for k in keys], "_params", "_lead")
-    counts = rows.groupBy(*keys).cogroup(parts.groupBy(*[f"_own_{k}" for k in keys])).applyInPandas(count, schema)
+            if row["_lead"] is not None:
+                bits = bits[bits >> shift + width == row["_lead"][n]]
+            found = np.bincount(bits >> shift & (1 << width) - 1, minlength=1)
+            held = np.flatnonzero(found)
+            cands.append(np.full(len(held), row["_cands"][n]))
+            digits.append(held)
+            counts.append(found[held])
+        cands = np.concatenate(cands).astype(np.int32)
+        first = pa.array(np.zeros(len(cands), np.int64))
+        return pa.Table.from_arrays(
+            [*[table.column(k).combine_chunks().take(first) for k in keys], pa.array(cands), pa.array(np.concatenate(digits)),
+             pa.array(np.concatenate(counts))], names=schema.names)
+
+    rows = join_on(parts.select(*keys, "_xyz"), pools.select(*by, "_cands", "_params", "_lead"), by)
+    # Slices are few bytes and much work: a fixed number of partitions is not merged into fewer tasks.
+    dealt = rows.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    counts = dealt.groupBy(*keys).applyInArrow(count, schema)
     return counts.groupBy(*by, "_cand", "_digit").agg(F.sum("_count").alias("_count"))
 
 
-def _median_digit(counts: DataFrame, by: Sequence[str], rank: Column) -> DataFrame:
-    """The digit of the value at 0-based ``rank``, and the rank that is left inside it."""
-    upto = Window.partitionBy(*by, "_cand").orderBy("_digit").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = counts.withColumn("_upto", F.sum("_count").over(upto)).withColumn("_rank", rank)
-    hit = run.filter((F.col("_upto") > F.col("_rank")) & (F.col("_upto") - F.col("_count") <= F.col("_rank")))
-    return hit.select(*by, "_cand", "_digit", (F.col("_rank") - F.col("_upto") + F.col("_count")).alias("_left"))
-
-
 def best_candidates(points: DataFrame, pools: DataFrame, by: Sequence[str]) -> DataFrame:
     """``by``, ``_best``: index of the candidate with the smallest upper median of absolute residuals over all
-    points, the earlier one in a tie. Medians are compared by their leading 48 bits."""
-    totals = points.groupBy(*by).agg(F.first("_n").alias("_n"))
-    first = join_on(_digit_counts(points, pools.withColumn("_lead", F.lit(None).cast("array<bigint>")), by, 40), totals, by)
-    high = cut_lineage(_median_digit(first, by, F.expr("_n div 2")))
-    lead = high.groupBy(*by).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("_cand", "_digit"))), lambda d: d["_digit"]).alias("_lead"))
-    second = _digit_counts(points, join_on(pools, lead, by), by, 16)
-    ranks = high.select(*by, "_cand", F.col("_digit").alias("_high"), "_left")
-    low = _median_digit(join_on(second, ranks.drop("_high"), [*by, "_cand"]), by, F.col("_left"))
-    scores = join_on(low.select(*by, "_cand", "_digit"), ranks.select(*by, "_cand", "_high"), [*by, "_cand"])
-    return scores.groupBy(*by).agg(F.min_by("_cand", F.struct("_high", "_digit", "_cand")).alias("_best"))
+    points, the earlier one in a tie.
+
+    Medians are found digit by digit, for all candidates of all clouds together. After each digit only candidates stay
+    open whose median has the smallest one so far: the lower bound of any other already exceeds their upper bound.
+    """
+    parts = _slices(points, by)
+    totals = parts.groupBy(*by).agg(F.first("_n").alias("_n"))
+    shapes = F.transform(F.sequence(F.lit(0), F.expr("cast(size(_params) div 7 as int)") - 1), lambda i: F.struct(
+        i.alias("c"), F.slice("_params", i * 7 + 1, 7).alias("p"), F.lit(None).cast("long").alias("lead"), F.col("_n").alias("n")))
+    state = join_on(pools.filter(F.size("_params") > 0), totals, by).select(
+        *by, F.transform(shapes, lambda c: F.struct(c["c"], c["p"], c["lead"], F.shiftright(c["n"], 1).alias("rank"))).alias("_open"))
+    state = cut_lineage(state)
+    for at, (shift, width) in enumerate(DIGITS):
+        pool = state.select(
+            *by, F.transform("_open", lambda c: c["c"]).alias("_cands"), F.flatten(F.transform("_open", lambda c: c["p"])).alias("_params"),
+            F.lit(None).cast("array<bigint>").alias("_lead") if at == 0 else F.transform("_open", lambda c: c["lead"]).alias("_lead"))
+        known = state.select(*by, F.explode("_open").alias("_c")).select(*by, F.col("_c.c").alias("_cand"), "_c")
+        counts = join_on(_digit_counts(parts, pool, by, shift, width), known, [*by, "_cand"])
+        upto = F.sum("_count").over(Window.partitionBy(*by, "_cand").orderBy("_digit").rowsBetween(Window.unboundedPreceding, 0))
+        run = counts.withColumn("_upto", upto)
+        rank = F.col("_c.rank")
+        hit = run.filter((F.col("_upto") > rank) & (F.col("_upto") - F.col("_count") <= rank))
+        lead = F.shiftleft(F.coalesce(F.col("_c.lead"), F.lit(0).cast("long")), width) + F.col("_digit")
+        left = hit.select(*by, "_digit", F.struct(
+            F.col("_c.c").alias("c"), F.col("_c.p").alias("p"), lead.alias("lead"), (rank - F.col("_upto") + F.col("_count")).alias("rank")).alias("_c"))
+        least = left.withColumn("_least", F.min("_digit").over(Window.partitionBy(*by))).filter("_digit = _least")
+        before, state = state, cut_lineage(least.groupBy(*by).agg(F.array_sort(F.collect_list("_c")).alias("_open")))
+        release(before)
+        if not state.filter(F.size("_open") > 1).limit(1).count():
+            break
+    release(parts)
+    return state.select(*by, F.get("_open", F.lit(0))["c"].alias("_best"))
 
 
 def _robust_start(points: DataFrame, first: DataFrame, kind: str, by: Sequence[str], seed: int) -> DataFrame:
@@ -412,9 +443,55 @@ def take_step(matrix: pd.Series, right: pd.Series, start: pd.Series, kind: pd.Se
     return pd.DataFrame(rows, columns=STEPPED.names)
 
 
+def _sums(pts: np.ndarray, c: np.ndarray, d: np.ndarray, r: float, kind: str) -> tuple[np.ndarray | None, np.ndarray | None]:
+    """Normal equations of one step, as the grouped aggregate of ``refine`` sums them."""
+    delta = pts - c
+    t = delta @ d if kind == "cylinder" else np.zeros(len(pts))
+    radial = delta - np.outer(t, d) if kind == "cylinder" else delta
+    size = np.sqrt((radial * radial).sum(axis=1))
+    held = size >= 1e-12
+    if not held.any():
+        return None, None
+    normal, t, size = radial[held] / size[held, None], t[held], size[held]
+    if kind == "sphere":
+        terms = np.column_stack([-normal, -np.ones(len(size))])
+    else:
+        nu, nv = (normal @ x for x in _frame(d))
+        terms = np.column_stack([-nu, -nv, -t * nu, -t * nv, -np.ones(len(size))])
+    matrix = terms.T @ terms
+    return matrix[np.triu_indices(len(matrix))], terms.T @ (r - size)
+
+
+def _refine_small(points: DataFrame, moving: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
+    """All steps of clouds that fit into one task, in one job. The steps are those of ``refine``."""
+    schema = moving.select(*by, "center", "direction", "radius", "state").schema
+    keys = [f"_own_{k}" for k in by]
+
+    def run(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        if not len(left) or not len(right):
+            return pd.DataFrame({n: [] for n in schema.names})
+        pts, row = left[["x", "y", "z"]].to_numpy(float), right.iloc[0]
+        c, d, r, state = dict(row["center"]), dict(row["direction"]), row["radius"], row["state"]
+        for _ in range(REFINE_STEPS):
+            if state != "open":
+                break
+            at = [*(c[a] for a in "xyz"), *(d[a] for a in "xyz"), r]
+            c, d, _, _, r, state = _step(*_sums(pts, np.array(at[:3]), np.array(at[3:6]), r, kind), at, kind)
+        out = pd.DataFrame({"center": [c], "direction": [d], "radius": [r], "state": [state]})
+        for name, value in zip(by, key):
+            out[name] = value
+        return out[schema.names]
+
+    left = points.select(*by, "x", "y", "z")
+    right = moving.select(*[F.col(k).alias(f"_own_{k}") for k in by], "center", "direction", "radius", "state")
+    return left.groupBy(*by).cogroup(right.groupBy(*keys)).applyInPandas(run, schema)
+
+
 def refine(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -> DataFrame:
-    """Gauss-Newton on the geometric distance over all ``points``: per step one grouped aggregate of the normal
-    equations of every cloud that still moves, at most ``REFINE_STEPS`` of them."""
+    """Gauss-Newton on the geometric distance over all ``points``, at most ``REFINE_STEPS`` steps.
+
+    Clouds of at most ``TASK_POINTS`` points take all steps in one task each; for larger ones each step is one grouped
+    aggregate of the normal equations of every cloud that still moves. Both take the same steps."""
     if kind not in ("sphere", "cylinder"):
         return models
 
@@ -423,9 +500,14 @@ def refine(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -
 
     none = F.lit(None).cast("array<double>")
     first = models.filter("failure IS NULL").select(*by, take_step(none, none, start(), F.lit(kind)).alias("_f"))
-    moving = cut_lineage(first.select(*by, "_f.*"))
-    ended = None
-    for _ in range(REFINE_STEPS):
+    sizes = points.groupBy(*by).agg(F.count(F.lit(1)).alias("_size"))
+    both = cut_lineage(join_on(first.select(*by, "_f.*"), sizes, by))
+    small = both.filter(F.col("_size") <= TASK_POINTS)
+    near = join_on(points.select(*by, "x", "y", "z"), small.select(*by), by)
+    ended = cut_lineage(_refine_small(near, small, kind, by))
+    moving = both.filter(F.col("_size") > TASK_POINTS).drop("_size")
+    shape = ("center", "direction", "radius", "state")
+    for _ in range(0 if moving.isEmpty() else REFINE_STEPS):
         at = _attach(points.select(*by, "x", "y", "z"), moving.select(*by, F.struct("center", "direction", "u", "v", "radius").alias("_g")), by)
         g = F.col("_g")
         delta = sub(vec("x", "y", "z"), fields(g["center"]))
@@ -446,13 +528,13 @@ def refine(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) -
         sums = rows.groupBy(*by).agg(*_normal_sums([F.col(f"_j{i}") for i in range(len(terms))], F.col("_e")))
         stepped = join_on(moving, sums, by, "left").select(
             *by, take_step("_m", "_b", start(), F.lit(kind)).alias("_f"))
-        stepped = cut_lineage(stepped.select(*by, "_f.*"))
-        closed = stepped.filter("state <> 'open'")
-        ended = closed if ended is None else ended.unionByName(closed)
+        seen = Observation()
+        stepped = cut_lineage(stepped.select(*by, "_f.*").observe(seen, F.count_if(F.col("state") == "open").alias("open")))
+        ended = ended.unionByName(stepped.filter("state <> 'open'").select(*by, *shape))
         moving = stepped.filter("state = 'open'")
-        if moving.isEmpty():
+        if not seen.get["open"]:
             break
-    steps = ended.unionByName(moving).select(*by, F.struct("center", "direction", "radius", "state").alias("_f"))
+    steps = ended.unionByName(moving.select(*by, *shape)).select(*by, F.struct(*shape).alias("_f"))
     out = join_on(models, steps, by, "left")
     f = F.col("_f")
     return out.withColumns({
@@ -473,8 +555,9 @@ def _trim(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) ->
             break
         packed = complete_models(active).select(*by, F.struct(*MODEL_COLUMNS).alias("_model"))
         rows = _attach(points.select(*by, "x", "y", "z"), packed, by)
-        rows = rows.select(*by, "x", "y", "z", F.abs(residual(vec("x", "y", "z"), F.col("_model"))).alias("_e"))
-        limits = rows.groupBy(*by).agg(upper_median("_e").alias("_median"), F.count(F.lit(1)).alias("_all"))
+        rows = cut_lineage(rows.select(*by, "x", "y", "z", F.abs(residual(vec("x", "y", "z"), F.col("_model"))).alias("_e")))
+        sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
+        limits = join_on(upper_medians(rows, by, "_e", "_median"), sizes, by)
         near = _attach(rows, limits, by).filter(
             F.col("_e") <= F.greatest(F.lit(TRIM_FLOOR), F.col("_median") * TRIM_FACTOR))
         counts = near.groupBy(*by).agg(F.count(F.lit(1)).alias("_in"))
@@ -494,7 +577,7 @@ def _trim(points: DataFrame, models: DataFrame, kind: str, by: Sequence[str]) ->
             F.when(new.isNotNull(), new[n]).otherwise(F.col(n)).alias(n) for n in (*MODEL_COLUMNS, "failure")]
         still = F.coalesce(new["_open"] & new["failure"].isNull(), F.lit(False))
         state = cut_lineage(merged.select(*by, *chosen, still.alias("_open")))
-        release(near)
+        release(near, rows)
     return state.drop("_open")
 
 
@@ -541,7 +624,7 @@ def fit_double_sphere(
     placed = salted_join(pts, axes, keys, spread=["x", "y", "z"])
     along = dot(sub(vec("x", "y", "z"), fields("center")), fields("axis2"))
     placed = cut_lineage(placed.withColumn("_t", along).drop("center", "axis2"))
-    middle = placed.groupBy(*keys).agg(upper_median("_t").alias("_middle"))
+    middle = upper_medians(placed, keys, "_t", "_middle")
     sides = salted_join(placed, middle, keys, spread=["x", "y", "z"]).drop("_n")
     first = sides.filter(F.col("_t") <= F.col("_middle")).select(*df.columns)
     second = sides.filter(F.col("_t") > F.col("_middle")).select(*df.columns)

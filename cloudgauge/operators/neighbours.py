@@ -17,7 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudgauge.operators.cloud import filter_finite, upper_median
+from cloudgauge.operators.cloud import filter_finite
+from cloudgauge.operators.selection import upper_medians
 from cloudgauge.session import cut_lineage, join_on, release, salted_join
 
 LEAF = 32
@@ -258,8 +259,8 @@ def estimate_spacing(df: DataFrame, by: Sequence[str] = ("cloud_id",)) -> DataFr
     clouds = pts.select(*keys).distinct()
     # A position with copies has a nearest other point at distance 0; the others stand for one point each.
     lists = position_neighbours(pts, 1, keys)
-    values = lists.select(*keys, F.try_element_at("d", F.lit(2)).alias("_d")).filter("_d > 0")
-    medians = values.groupBy(*keys).agg(upper_median("_d").alias("spacing"))
+    values = cut_lineage(lists.select(*keys, F.try_element_at("d", F.lit(2)).alias("_d")).filter("_d > 0"))
+    medians = upper_medians(values, keys, "_d", "spacing")
     return join_on(clouds, medians, keys, "left").na.fill(0.0, ["spacing"])
 
 

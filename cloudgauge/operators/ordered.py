@@ -122,17 +122,19 @@ def following(
     df: DataFrame, by: Sequence[str], order: Sequence[str], value: Column, out: str, slice_by: Column | None = None
 ) -> DataFrame:
     """The next non-NULL ``value`` among the later rows of the group: a forward as-of join
-    of a group with itself."""
+    of a group with itself. A descending scan carries the value, so each row is visited once; a frame to
+    the group's end would be evaluated anew for every row."""
     sliced = with_slice(df.withColumn("_value", value), by, order, slice_by)
-    inside = Window.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    across = Window.partitionBy(*by).orderBy("_slice").rowsBetween(1, Window.unboundedFollowing)
+    earlier = (Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*by, "_slice").orderBy(*[F.desc(c) for c in order]).rowsBetween(*earlier)
+    across = Window.partitionBy(*by).orderBy(F.desc("_slice")).rowsBetween(*earlier)
     heads = (
         sliced.groupBy(*by, "_slice")
         .agg(F.min_by("_value", F.when(F.col("_value").isNotNull(), F.struct(*order))).alias("_head"))
-        .withColumn("_later", F.first("_head", ignorenulls=True).over(across))
+        .withColumn("_later", F.last("_head", ignorenulls=True).over(across))
         .drop("_head")
     )
-    near = sliced.withColumn("_near", F.first("_value", ignorenulls=True).over(inside))
+    near = sliced.withColumn("_near", F.last("_value", ignorenulls=True).over(inside))
     return (
         join_on(near, heads, [*by, "_slice"])
         .withColumn(out, F.coalesce("_near", "_later"))

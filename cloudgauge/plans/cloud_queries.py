@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloudgauge.operators import cloud
+from cloudgauge.operators import cloud, selection
 from cloudgauge.plans import recipes
 from cloudgauge.plans.recipes import with_sql
 from cloudgauge.plans.registry import query
@@ -34,6 +34,9 @@ def marked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts.withColumn("selected", F.expr("point_id % 5 = 2 AND cast(cloud_id as bigint) % 3 <> 0"))
 
 
+#: As ``MARKED``, and whether the cloud has the point that marks it.
+MARKED_CLOUDS = ("(SELECT *, (point_id % 5 = 2 AND CAST(cloud_id AS BIGINT) % 3 <> 0) AS selected, "
+                 "BOOL_OR(point_id = 2) OVER (PARTITION BY cloud_id) AS has_two FROM points)")
 MARKED = "(SELECT *, (point_id % 5 = 2 AND CAST(cloud_id AS BIGINT) % 3 <> 0) AS selected FROM points)"
 FLAT = """SELECT CAST(l_suppkey AS VARCHAR) AS cloud_id, l_quantity AS x, l_extendedprice / 1000 AS y,
   l_discount * 100 AS z FROM lineitem"""
@@ -147,9 +150,9 @@ def q_polygon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("edit_delete_selected", sql=with_sql("points", body=f"""
-SELECT cloud_id || '_edit' AS cloud_id, point_id, x, ROUND(y, 9) AS y, ROUND(z, 9) AS z FROM {MARKED}
+SELECT cloud_id || '_edit' AS cloud_id, point_id, x, ROUND(y, 9) AS y, ROUND(z, 9) AS z FROM {MARKED_CLOUDS}
 WHERE NOT selected AND CAST(cloud_id AS BIGINT) % 3 <> 0
-  AND cloud_id IN (SELECT cloud_id FROM points WHERE point_id = 2)"""))
+  AND has_two"""))
 def q_edit_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(cloud.edit_selection(marked(spark, sf_dir), "delete"))
 
@@ -161,8 +164,8 @@ def q_edit_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("working_set", sql=with_sql("points", body=f"""
-SELECT cloud_id, point_id, x, ROUND(y, 9) AS y, ROUND(z, 9) AS z, selected FROM {MARKED}
-WHERE selected OR CAST(cloud_id AS BIGINT) % 3 = 0 OR cloud_id NOT IN (SELECT cloud_id FROM points WHERE point_id = 2)"""))
+SELECT cloud_id, point_id, x, ROUND(y, 9) AS y, ROUND(z, 9) AS z, selected FROM {MARKED_CLOUDS}
+WHERE selected OR CAST(cloud_id AS BIGINT) % 3 = 0 OR NOT has_two"""))
 def q_working_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(cloud.working_set(marked(spark, sf_dir)))
 
@@ -211,7 +214,7 @@ WITH points AS ({FLAT}), r AS (SELECT cloud_id, y, ROW_NUMBER() OVER (PARTITION
 SELECT cloud_id, ROUND(MAX(y), 9) AS median_y FROM r WHERE i = n // 2 GROUP BY cloud_id""")
 def q_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = recipes.raw_points(spark, sf_dir)
-    return round_all(pts.groupBy("cloud_id").agg(cloud.upper_median("y").alias("median_y")))
+    return round_all(selection.upper_medians(pts, ["cloud_id"], "y", "median_y"))
 
 
 @query("error_histogram", sql=f"""

@@ -47,8 +47,8 @@ def q_pair_warnings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("unique_names", sql="""
 WITH asks AS (SELECT 'point_cloud_' || CAST(o_custkey % 400 AS VARCHAR) AS base, o_orderkey AS request,
    ROW_NUMBER() OVER (PARTITION BY o_custkey % 400 ORDER BY o_orderkey) - 1 AS i FROM orders),
-cat AS (SELECT DISTINCT 'point_cloud_' || CAST(c_custkey % 400 AS VARCHAR) AS base, c_custkey % 5 AS t FROM customer
-   WHERE c_custkey % 3 = 0),
+cat AS (SELECT DISTINCT CASE WHEN c_custkey % 3 = 0 THEN 'point_cloud_' ELSE 'old_cloud_' END || CAST(c_custkey % 400 AS VARCHAR) AS base,
+   c_custkey % 5 AS t FROM customer),
 tk AS (SELECT base, t - ROW_NUMBER() OVER (PARTITION BY base ORDER BY t) + 1 AS v FROM cat),
 n AS (SELECT a.base, a.request, a.i, a.i + COUNT(tk.v) AS k FROM asks a LEFT JOIN tk ON tk.base = a.base AND tk.v <= a.i
    GROUP BY 1, 2, 3)
@@ -58,9 +58,10 @@ def q_names(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("point_cloud_"), (F.col("o_custkey") % 400).cast("string")).alias("base"),
         F.col("o_orderkey").alias("request"))
     base, number = F.expr("cast(c_custkey % 400 as string)"), F.expr("c_custkey % 5")
-    catalog = recipes.table(spark, sf_dir, "customer").filter("c_custkey % 3 = 0").select(
-        F.when(number == 0, F.concat(F.lit("point_cloud_"), base)).otherwise(
-            F.concat(F.lit("point_cloud_"), base, F.lit("_"), number.cast("string"))).alias("name"))
+    # Two thirds of the catalogue have names that nothing asks for.
+    named = F.concat(F.expr("CASE WHEN c_custkey % 3 = 0 THEN 'point_cloud_' ELSE 'old_cloud_' END"), base)
+    catalog = recipes.table(spark, sf_dir, "customer").select(
+        F.when(number == 0, named).otherwise(F.concat(named, F.lit("_"), number.cast("string"))).alias("name"))
     return fleet.unique_names(asks, catalog)
 
 
@@ -82,7 +83,7 @@ def q_session_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("link_results", sql="""
-WITH s AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d_%H%M%S_') || '007' AS k FROM orders WHERE o_custkey % 2 = 0)
+WITH s AS (SELECT DISTINCT strftime(o_orderdate, '%Y%m%d_%H%M%S_') || CASE WHEN o_custkey % 2 = 0 THEN '007' ELSE '008' END AS k FROM orders)
 SELECT o_orderkey, strftime(o_orderdate, '%Y%m%d_%H%M%S_') || '007' AS session_key,
   CASE WHEN s.k IS NOT NULL THEN '/cap/' || s.k END AS session_path
 FROM orders LEFT JOIN s ON s.k = strftime(o_orderdate, '%Y%m%d_%H%M%S_') || '007'""")
@@ -90,8 +91,10 @@ def q_link(spark: SparkSession, sf_dir: str) -> DataFrame:
     orders = recipes.table(spark, sf_dir, "orders")
     name = F.concat(F.date_format("o_orderdate", "yyyyMMdd_HHmmss_"), F.lit("007"))
     results = orders.select("o_orderkey", name.alias("source_path"), F.col("o_orderdate").alias("created_ts"))
-    sessions = orders.filter("o_custkey % 2 = 0").select(
-        F.concat(F.lit("/cap/"), name).alias("path"), F.col("o_orderdate").alias("created_ts")).distinct()
+    # The session of an odd customer's order has a key that no result has.
+    session = F.concat(F.date_format("o_orderdate", "yyyyMMdd_HHmmss_"), F.expr("CASE WHEN o_custkey % 2 = 0 THEN '007' ELSE '008' END"))
+    sessions = orders.select(
+        F.concat(F.lit("/cap/"), session).alias("path"), F.col("o_orderdate").alias("created_ts")).distinct()
     return fleet.link_results(results, sessions).select("o_orderkey", "session_key", "session_path")
 
 

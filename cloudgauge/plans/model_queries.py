@@ -181,6 +181,78 @@ def q_double(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(models.sphere_distance(first, second), 6)
 
 
+# Shapes of known parameters over the keys of all order lines: one row is a point of a shape, one in seven (or 23) is an
+# outlier that stands SHIFT off it. Twins state the parameters and the residuals of the outliers, to four decimals.
+TRUTH_CLOUDS, SHIFT = 6, 2.0
+KEY = "(l_orderkey * 8 + l_linenumber)"
+SPOTS = f"""SELECT CAST({KEY} % {TRUTH_CLOUDS} AS STRING) AS cloud_id, CAST({KEY} % {TRUTH_CLOUDS} AS DOUBLE) AS c, {KEY} AS point_id,
+  CAST({KEY} * 7919 % 10007 AS DOUBLE) / 10007 AS u, CAST({KEY} * 104729 % 10009 AS DOUBLE) / 10009 AS v,
+  CASE WHEN {KEY} * 31 % 101 < 12 THEN CAST({SHIFT} AS DOUBLE) ELSE 0 END AS often, CASE WHEN {KEY} * 31 % 101 < 4 THEN CAST({SHIFT} AS DOUBLE) ELSE 0 END AS seldom
+  FROM lineitem"""
+SPHERE = ("{r} * SQRT(1 - (2 * v - 1) * (2 * v - 1)) * COS(2 * PI() * u)",
+          "{r} * SQRT(1 - (2 * v - 1) * (2 * v - 1)) * SIN(2 * PI() * u)", "{r} * (2 * v - 1)")
+BALL = tuple(a.format(r="(2 + c / 2 + often)") for a in SPHERE)
+TUBE = ("(2 + c / 4 + seldom)", "COS(2 * PI() * u)", "SIN(2 * PI() * u)")
+SURFACES = {"quadric": "0.03 * x * x + 0.01 * y * y", "quartic": "0.03 * x * x + 0.004 * x * x * y * y - 0.002 * y * y * y * y"}
+TRUTH = {
+    "plane": f"""SELECT cloud_id, point_id, (10 + c + often) * 0.6 + (20 * u - 10) * 0.8 AS x, 20 * v - 10 AS y,
+  (10 + c + often) * 0.8 - (20 * u - 10) * 0.6 AS z, often AS off FROM ({SPOTS}) AS s""",
+    "sphere": f"""SELECT cloud_id, point_id, 10 * c + 0.5 + {BALL[0]} AS x, -3 + {BALL[1]} AS y, 7 + {BALL[2]} AS z, often AS off FROM ({SPOTS}) AS s""",
+    "cylinder": f"""SELECT cloud_id, point_id, c + {TUBE[0]} * {TUBE[1]} AS x, (40 * v - 20) * 0.6 + {TUBE[0]} * {TUBE[2]} * 0.8 AS y,
+  (40 * v - 20) * 0.8 - {TUBE[0]} * {TUBE[2]} * 0.6 AS z, seldom AS off FROM ({SPOTS}) AS s""",
+} | {
+    # Mirrored in both axes, so that the normal of the points is the z axis.
+    kind: f"""SELECT cloud_id, point_id, x, y, {height} + seldom + c AS z, seldom AS off FROM (
+  SELECT cloud_id, c, seldom, point_id * 4 + (i + 1) + (j + 1) // 2 AS point_id, i * (0.1 + 4 * u) AS x, j * (0.1 + 3 * v) AS y
+  FROM ({SPOTS}) AS s, (SELECT * FROM (VALUES (1), (-1)) AS a(i)) AS ai, (SELECT * FROM (VALUES (1), (-1)) AS b(j)) AS bj) AS m"""
+    for kind, height in SURFACES.items()}
+#: What each twin states of a model besides its residuals: columns of the query and their true values.
+STATED = {
+    "plane": {"direction.x": "0.6", "direction.y": "0.0", "direction.z": "0.8", "offset": "-10 - CAST(cloud_id AS DOUBLE)"},
+    "sphere": {"center.x": "10 * CAST(cloud_id AS DOUBLE) + 0.5", "center.y": "-3.0", "center.z": "7.0", "radius": "2 + CAST(cloud_id AS DOUBLE) / 2"},
+    "cylinder": {"direction.x": "0.0", "direction.y": "0.6", "direction.z": "0.8", "radius": "2 + CAST(cloud_id AS DOUBLE) / 4", "center.x": "CAST(cloud_id AS DOUBLE)"},
+    "quadric": {"direction.x": "0.0", "direction.z": "1.0"}, "quartic": {"direction.x": "0.0", "direction.z": "1.0"},
+}
+
+
+def truth_points(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """The same rows as the twin's, from the same text; whole division is written differently."""
+    sql = TRUTH[kind].replace("//", "div").replace("FROM lineitem", "FROM {lines}")
+    return spark.sql(sql, lines=recipes.table(spark, sf_dir, "lineitem")).drop("off")
+
+
+def truth_sql(kind: str) -> str:
+    stated = ", ".join(f"ROUND(CAST({value} AS DOUBLE), 4) AS {name.replace('.', '_')}" for name, value in STATED[kind].items())
+    return f"""SELECT cloud_id, '{kind}' AS kind, COUNT(*) AS n, ROUND(AVG(off), 4) AS me, ROUND(SQRT(AVG(off * off)), 4) AS rmse,
+  ROUND(MAX(off), 4) AS max_abs, {stated} FROM ({TRUTH[kind]}) AS p GROUP BY cloud_id"""
+
+
+def true_fit(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    found = fit.fit(truth_points(spark, sf_dir, kind), kind)
+    stated = [(F.round(name, 4) + 0.0).alias(name.replace(".", "_")) for name in STATED[kind]]
+    return found.filter("failure IS NULL").select(
+        "cloud_id", "kind", "n", *[(F.round(n, 4) + 0.0).alias(n) for n in ("me", "rmse", "max_abs")], *stated)
+
+
+for _kind in fit.MINIMUM_POINTS:
+    query(f"fit_known_{_kind}", sql=truth_sql(_kind))(lambda spark, sf_dir, kind=_kind: true_fit(spark, sf_dir, kind))
+
+PAIR = tuple(a.format(r="CASE WHEN point_id % 5 < 2 THEN 2 + c / 8 ELSE 3 + c / 8 END") for a in SPHERE)
+TWO_BALLS = f"""SELECT cloud_id, point_id, CASE WHEN point_id % 5 < 2 THEN -8 - c ELSE 8 END + {PAIR[0]} AS x, {PAIR[1]} AS y,
+  CASE WHEN point_id % 5 < 2 THEN 0 ELSE 6 END + {PAIR[2]} AS z FROM ({SPOTS}) AS s"""
+
+
+@query("fit_known_double_sphere", sql=f"""
+SELECT cloud_id, ROUND(SQRT((16 + CAST(cloud_id AS DOUBLE)) * (16 + CAST(cloud_id AS DOUBLE)) + 36), 4) AS distance,
+  COUNT(*) AS n FROM ({TWO_BALLS}) AS p GROUP BY cloud_id""")
+def q_known_double(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = spark.sql(TWO_BALLS.replace("FROM lineitem", "FROM {lines}"), lines=recipes.table(spark, sf_dir, "lineitem"))
+    first, second = fit.fit_double_sphere(points)
+    both = models.sphere_distance(first, second).select("cloud_id", F.round("distance", 4).alias("distance"))
+    sizes = first.select("cloud_id", "n").unionByName(second.select("cloud_id", "n")).groupBy("cloud_id").agg(F.sum("n").alias("n"))
+    return both.join(sizes, "cloud_id")
+
+
 GAPS = """
 , pairs AS (SELECT a.cloud_id, a.point_id, b.point_id AS other, SQRT((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)
    + (a.z - b.z) * (a.z - b.z)) AS d FROM points a JOIN points b ON a.cloud_id = b.cloud_id AND a.point_id <> b.point_id)

@@ -75,6 +75,21 @@ def test_cylinders(clouds):
         assert abs(got[name].axis_max - got[name].axis_min - height) < 1e-6
 
 
+@pytest.mark.parametrize("kind", ["sphere", "cylinder"])
+def test_steps_in_one_task_equal_summed_steps(clouds, monkeypatch, kind):
+    rng = np.random.default_rng(6)
+    pts = (sphere(FAR, 2) if kind == "sphere" else cylinder(9)) + rng.normal(size=(264 if kind == "sphere" else 540, 3)) * 0.2
+    df = fit.numbered(clouds(a=pts, b=pts[::2] * 1.5), ["cloud_id"])
+    start = fit.least_squares(df, kind, ["cloud_id"])
+    alone = by_cloud(fit.refine(df, start, kind, ["cloud_id"]))
+    monkeypatch.setattr(fit, "TASK_POINTS", 300)
+    monkeypatch.setattr(fit, "REFINE_STEPS", 25)
+    summed = by_cloud(fit.refine(df, start, kind, ["cloud_id"]))
+    for name in "ab":
+        assert abs(alone[name].radius - summed[name].radius) < 1e-7
+        assert np.allclose(list(alone[name].direction), list(summed[name].direction), atol=1e-7)
+
+
 def test_surfaces(clouds):
     u, v = (a.ravel() for a in np.meshgrid(np.arange(-1, 1.01, 0.1), np.arange(-1, 1.01, 0.1)))
     df = clouds(q=np.column_stack([u, v, 0.03 * u * u + 0.02 * v * v + 0.01 * u**4]))
