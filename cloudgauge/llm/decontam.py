@@ -1,7 +1,9 @@
 """Benchmark passages inside documents: SimHash of item-sized windows.
 
-A window that resembles an item shares at least one of its shingles, so windows are taken where a
-shared run of shingles begins, aligned with the item and as long as the item. Each window's
+A window is as long as the item and may reach beyond the text's ends. Moved to its first shared shingle it keeps all
+that it shares, so every window that begins with one is tried, and every one that starts before the text and ends with
+one, provided that enough of its shingles are the item's; of windows that only turn round in a repeating text the first. The
+order of an item's parts plays no role. Each window's
 64-bit SimHash is looked up in a multi-index: eight blocks of eight bits, items listed under
 every value within two bits of theirs, so that all items of that length within ``RADIUS`` bits
 are met; for a pair at similarity 0.8 a greater distance has a chance below 1e-5. The exact
@@ -111,16 +113,26 @@ def find_leaks(
 
 def _hits(hashed: DataFrame, items: DataFrame, k: int, threshold: float) -> DataFrame:
     """Verified windows of one pass: its items fit into a broadcast."""
-    at = items.select("_n", F.posexplode("_shingles").alias("_at", "_shingle"), F.col("_shingles").alias("_all"))
-    at = at.select(
-        "_n", "_at", "_shingle", F.when(F.col("_at") > 0, F.get("_all", F.col("_at") - 1)).alias("_before")).distinct()
+    at = items.select("_n", F.explode(F.array_distinct("_shingles")).alias("_shingle"), F.col("_shingles").alias("_all"))
     # posexplode_outer: a plain one makes the planner test the array's size first, which would compute it twice
-    runs = hashed.select("_key", "_hash", "_h", F.posexplode_outer("_h").alias("_pos", "_shingle"))
-    runs = runs.join(F.broadcast(at), "_shingle").filter(
-        (F.col("_pos") == 0) | F.col("_before").isNull() | (F.get("_h", F.col("_pos") - 1) != F.col("_before")))
-    start = F.col("_pos") - F.col("_at")
-    windows = runs.select("_key", "_hash", "_n", F.greatest(start, F.lit(0)).alias("_start"), F.slice(
-        "_h", F.greatest(start, F.lit(0)) + 1, F.col("_n") - F.lit(k - 1) + F.least(start, F.lit(0))).alias("_window"))
+    runs = hashed.select("_key", "_hash", "_h", F.posexplode_outer("_h").alias("_pos", "_shingle")).join(F.broadcast(at), "_shingle")
+    full, pos, last = F.col("_n") - F.lit(k - 1), F.col("_pos"), F.size("_h")
+    # A window begins here, or is what lies before the text's start and ends here. The text's array stays inside this
+    # projection: a row that carried it along would be copied for every place.
+    size, dropped = F.least(full, last - pos), F.get("_h", pos - 1)
+    turned = (pos > 0) & (pos + full <= last) & (dropped == F.get("_h", pos + full - 1)) & F.array_contains("_all", dropped)
+    begins = (size >= threshold * full - 1e-9) & ~F.coalesce(turned, F.lit(False))
+    ends = (pos + 1 < full) & (pos + 1 >= threshold * full - 1e-9)
+    cut = runs.filter(begins | ends).select(
+        "_key", "_hash", "_n", "_all", pos.alias("_start"), F.when(begins, F.slice("_h", pos + 1, size)).alias("_ahead"),
+        F.when(ends, F.slice("_h", 1, pos + 1)).alias("_behind"))
+    windows = cut.select("_key", "_hash", "_n", "_all", F.explode(F.array(
+        F.struct("_start", F.col("_ahead").alias("_window")),
+        F.struct(F.lit(0).alias("_start"), F.col("_behind").alias("_window")))).alias("_w"))
+    windows = windows.select("_key", "_hash", "_n", "_all", "_w.*").filter("_window is not null")
+    # Similarity t of sizes a and b needs t * (a + b) / (1 + t) shared shingles.
+    needed = threshold / (1 + threshold) * (F.size("_all") + F.size("_window")) - 1e-9
+    windows = windows.filter(F.size(F.filter("_window", lambda x: F.array_contains("_all", x))) >= needed).drop("_all")
     marked = windows.withColumn("_print", simhash(F.col("_window")))
     index = items.select("_text", "_n", simhash(F.col("_shingles")).alias("_item_print"), "_shingles")
     block = F.posexplode(F.array(*[block_value(F.col("_item_print"), b) for b in range(BLOCKS)])).alias("_block", "_own")

@@ -27,12 +27,14 @@ from cloudgauge.llm.common import appended, slices, with_field
 
 #: Pages that the trees are fitted on: those with the smallest hashes. Every page is extracted.
 FIT_SAMPLE = 200
+#: Characters below which a page may teach; longer ones are extracted like all others.
+FIT_LONGEST = 1_000_000
 #: Start tags, end tags, comments and declarations. An unclosed comment or tag runs to the end of the page.
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""(?:\b(?:class|id|role|itemprop|aria-label)\s*=\s*)(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 TOKEN = re.compile(r"[a-z]+")
 #: Elements whose content is not text.
-RAW = ("script", "style", "noscript", "template", "svg", "iframe", "textarea", "select", "head", "object", "canvas", "math")
+RAW = ("script", "style", "template", "svg", "iframe", "textarea", "select", "head")
 RAW_END = {t: re.compile(rf"</{t}\b[^>]*>", re.I) for t in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 BLOCK = {
@@ -83,7 +85,10 @@ def parse(source: str) -> Page:
     """Block-level tree of a page and its text blocks in page order; unclosed and stray tags are put up with."""
     nodes = [Node("html", -1, 0)]
     blocks: list[tuple[int, str]] = []
-    stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their nodes
+    # Open elements with their nodes; an inline element that has ended amid others stays as an empty name.
+    stack: list[tuple[str, int]] = [("html", 0)]
+    places: dict[str, list[int]] = {"html": [0]}  # where each name stands on the stack, so that no tag walks through it
+    tops = [0]  # where the open block elements stand
     held: list[str] = []
     in_link, linked, spans = 0, 0, 0
 
@@ -105,9 +110,23 @@ def parse(source: str) -> Page:
     def pop_to(position: int) -> None:
         nonlocal in_link
         close_block()
-        in_link = max(0, in_link - sum(1 for t, _ in stack[position:] if t == "a"))
+        for name, _ in stack[position:]:
+            if name:
+                places[name].pop()
+                in_link -= name == "a"
+        while tops[-1] >= position:
+            tops.pop()
         del stack[position:]
 
+    def push(name: str, node: int) -> None:
+        places.setdefault(name, []).append(len(stack))
+        if name in BLOCK:
+            tops.append(len(stack))
+        stack.append((name, node))
+
+    def nearest(names: set[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     at = 0
     while True:
         match = TAG.search(source, at)
@@ -138,31 +157,24 @@ def parse(source: str) -> Page:
                 close_block()
             spans += 1
         elif closing:
-            for position in range(len(stack) - 1, 0, -1):
-                if stack[position][0] == name:
-                    if name in BLOCK:
-                        pop_to(position)
-                    else:
-                        # an inline end tag does not reach beyond its block
-                        if all(t not in BLOCK for t, _ in stack[position:]):
-                            if name == "a":
-                                in_link = max(0, in_link - 1)
-                            del stack[position]
-                    break
-                if name not in BLOCK and stack[position][0] in BLOCK:
-                    break
+            position = nearest({name})
+            if position and name in BLOCK:
+                pop_to(position)
+            elif position > tops[-1]:  # an inline end tag does not reach beyond its block
+                places[name].pop()
+                in_link -= name == "a"
+                stack[position] = ("", stack[position][1])
+                while stack[-1][0] == "":
+                    stack.pop()
         elif name in BLOCK:
             closes, within = CLOSES.get(name, ({"p"}, {"td", "th", "button", "table"}))
             if name in HEADINGS:
                 closes = closes | HEADINGS
-            for position in range(len(stack) - 1, 0, -1):
-                if stack[position][0] in within:
-                    break
-                if stack[position][0] in closes:
-                    pop_to(position)
-                    break
+            position = nearest(closes)
+            if position > nearest(within):
+                pop_to(position)
             close_block()
-            if name in ("html", "body") and any(t == name for t, _ in stack[1:]):
+            if name in ("html", "body") and nearest({name}):
                 continue
             parent = stack[-1][1]
             node = Node(name, parent, nodes[parent].depth + 1, index=len(nodes[parent].children))
@@ -173,12 +185,12 @@ def parse(source: str) -> Page:
             nodes[parent].children.append(len(nodes))
             nodes.append(node)
             if not match[3].rstrip().endswith("/"):
-                stack.append((name, len(nodes) - 1))
+                push(name, len(nodes) - 1)
         else:
             spans += 1
             if name == "a":
                 in_link += 1
-            stack.append((name, stack[-1][1]))
+            push(name, stack[-1][1])
     close_block()
     for i in range(len(nodes) - 1, 0, -1):
         node, parent = nodes[i], nodes[nodes[i].parent]
@@ -233,6 +245,19 @@ def decode(page: Page, odds: np.ndarray) -> str:
     return "\n\n".join(text for owner, text in page.blocks if keep[owner] and (odds[owner] > 0 or not nodes[owner].children))
 
 
+def telling(page: Page) -> bool:
+    """Whether the page marks its main text by an element."""
+    return any(node.tag in MAIN_TAGS and not node.side for node in page.nodes)
+
+
+def assumed(page: Page) -> Page:
+    """The page with paragraphs and headings as main elements: what teaches where no page of a table marks its text."""
+    for node in page.nodes:
+        if node.tag in HEADINGS | {"p", "blockquote", "pre"} and node.links * 2 <= node.text:
+            node.tag = "main"
+    return page
+
+
 def targets(page: Page) -> np.ndarray:
     """Whether each node holds main text, by the page's own elements and attribute words."""
     nodes = page.nodes
@@ -290,6 +315,7 @@ def relaid(page: Page, number: int) -> list[str]:
     cut = body.find("</p>", half) + 4 if "</p>" in body[half:] else len(body)
     mixed = body[:cut] + inner + body[cut:]
     return [
+        f"<html><body><div><ul>{menu}</ul></div><div>{body}</div><div>{note[:90]}<ul>{menu}</ul></div></body></html>",
         f'<html><body>{before}<{wrap} class="{content}">{mixed}</{wrap}>{after}{end}</body></html>',
         f"<html><body>{before}<article>{mixed}{after}</article>{end}</body></html>",
         f"<html><body>{before}<main>{body}</main>{inner}{after}{end}</body></html>"]
@@ -303,24 +329,32 @@ def relaid_targets(page: Page) -> np.ndarray:
     return targets(page)
 
 
-def train(pages: DataFrame, column: str = "html", sample: int = FIT_SAMPLE) -> Boosted:
-    """Trees fitted on the ``sample`` pages of smallest text hash, at most; null pages teach nothing.
+def train(pages: DataFrame, column: str = "html", sample: int = FIT_SAMPLE, longest: int = FIT_LONGEST) -> Boosted:
+    """Trees fitted on the ``sample`` pages of smallest text hash, at most, of those that mark their main text by an
+    element and have less than ``longest`` characters. Other pages teach nothing, unless no page of the table marks its text:
+    then a sample of all pages teaches, with paragraphs and headings outside side matter as main text.
 
     Only hashes are sorted; of the pages no more than the sample leaves the executors.
     """
-    known = pages.select(F.col(column).cast("string").alias("_html"), F.xxhash64(F.col(column).cast("string")).alias("_hash"))
-    known = known.filter("_html is not null and length(_html) < 1000000")
+    every = pages.select(F.col(column).cast("string").alias("_html"), F.xxhash64(F.col(column).cast("string")).alias("_hash"))
+    every = every.filter(F.length("_html") < longest)
+    known = every.filter(F.col("_html").rlike(r"(?i)<(article|main)[\s>]"))
+    if not known.limit(1).count():
+        known = every
     last = known.select("_hash").distinct().orderBy("_hash").limit(sample).agg(F.max("_hash")).first()[0]
     chosen = known.filter(F.col("_hash") <= F.lit(last).cast("long")).dropDuplicates(["_hash"]).orderBy("_hash").select("_html").collect()
     xs, ys = [np.zeros((0, 29))], [np.zeros(0)]
     for number, row in enumerate(chosen):
         page = parse(row[0])
-        xs.append(features(page))
+        x = features(page)
+        if not telling(page):
+            page = assumed(page)
+        xs.append(x)
         ys.append(targets(page))
         for text in relaid(page, number):
             again = parse(text)
             xs.append(features(again))
-            ys.append(relaid_targets(again))
+            ys.append(relaid_targets(again if telling(again) or any(n.main for n in again.nodes) else assumed(again)))
     return fit(np.concatenate(xs), np.concatenate(ys))
 
 

@@ -25,8 +25,8 @@ def brute_leaks(docs, items, size=5, threshold=0.8):
         target = Counter(tuple(wanted[i : i + k]) for i in range(len(wanted) - k + 1)) if wanted else Counter()
         for doc, body in docs:
             own = words_of(body)
-            for s in range(max(1, len(own) - len(wanted) + 1)) if wanted else []:
-                window = own[s : s + len(wanted)]
+            for s in range(k - len(wanted), len(own) - k + 1) if wanted else []:
+                window = own[max(s, 0) : s + len(wanted)]
                 have = Counter(tuple(window[i : i + k]) for i in range(len(window) - k + 1))
                 both, total = sum((have & target).values()), sum((have | target).values())
                 if total and both / total >= threshold:
@@ -65,6 +65,34 @@ def test_leaks(spark):
     assert decontam.find_leaks(df, bench.limit(0)).count() == 0 and decontam.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_leaks_with_moved_parts(spark):
+    """Items whose parts are swapped, doubled, interleaved with others or cut by the text's ends."""
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    some = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    items = [(i, some(100)) for i in range(8)] + [(8, some(10) * 6), (9, ["la"] * 30)]
+    docs = []
+    for i, item in items:
+        a, b, c = item[: len(item) // 2], item[len(item) // 2 :], item[len(item) // 3 :]
+        for parts in (b + a, a + some(1) + b, a + a + b, c + item[: len(item) // 3], a[:40] + some(3) + a[40:] + b, b + some(30) + a, c, item[:-8]):
+            docs.append((len(docs), some(rng.choice([0, 0, 50])) + parts + some(rng.choice([0, 0, 50]))))
+    docs = [(d, " ".join(w)) for d, w in docs]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    items = [(i, " ".join(w)) for i, w in items]
+    got = {(r["doc_id"], r["item_id"]): r["similarity"] for r in decontam.find_leaks(df, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_leaks(docs, items)
+    assert set(got) == set(want) and len(want) > 30
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_long_repeated_text(spark):
+    """A repeated word makes one window, not one per place."""
+    docs = [(1, "la " * 300_000), (2, "la lo " * 100_000), (3, "la " * 10)]
+    items = [(1, "la " * 30), (2, "la lo " * 20)]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(1, 1), (2, 2)}
+
+
 def test_more_items_take_more_passes(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BROADCAST_ROWS", 700)
     items = [(i, " ".join(f"i{i}w{j}" for j in range(12))) for i in range(9)]

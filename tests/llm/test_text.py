@@ -1,6 +1,7 @@
 """Licences, chats, main text, languages and revisits."""
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -122,6 +123,32 @@ def test_main_text(spark):
     assert len(html.parse(deep).blocks) == 1
 
 
+def plain_page(i, wrap="<div>{}</div>"):
+    body = "".join(f"<p>Paragraph {i}-{j} tells of the things that happened there. It has several sentences, and commas.</p>" for j in range(5))
+    menu = "".join(f'<li><a href="/{j}">Entry {j}</a></li>' for j in range(6))
+    return f"<html><body><div><ul>{menu}</ul></div>{wrap.format(f'<h1>Title {i}</h1>{body}')}<div><ul>{menu}</ul>Imprint {i}</div></body></html>"
+
+
+@pytest.mark.parametrize("marked", [0, 10, 100])
+def test_pages_without_labels_teach_nothing(spark, marked):
+    """No page, a tenth of the pages, or every page marks its main text; none comes out empty."""
+    rows = [(i, plain_page(i, "<article>{}</article>" if i < marked else "<div>{}</div>")) for i in range(100)]
+    df = spark.createDataFrame(rows, "page_id long, html string")
+    got = {r["page_id"]: r["main_text"] for r in html.extract(df, html.train(df)).collect()}
+    for i in range(100):
+        assert got[i].startswith(f"Title {i}\n\nParagraph {i}-0") and got[i].endswith("commas.") and got[i].count("\n\n") == 5, got[i]
+
+
+def test_parser_is_linear_and_keeps_fallback_text():
+    for text in ("<div>" * 200_000, "<div>" * 100_000 + "</section>" * 100_000, "<b>" * 100_000 + "</i>" * 100_000, "<i><p>" + "<b>" * 100_000 + "</i>" * 100_000,
+                 "<p>x<li>" * 60_000, "<ul>" * 60_000 + "<li>x" * 60_000):
+        start = time.process_time()
+        html.parse(text)
+        assert time.process_time() - start < 6
+    page = html.parse("<article><p>a <math><mi>x</mi></math> b</p><object>fallback</object><p>i <b>j <i>k</b> l</i> m</p></article>")
+    assert [t for _, t in page.blocks] == ["a x b", "fallback", "i j k l m"]
+
+
 def test_kept_blocks_have_kept_ancestors():
     page = html.parse('<div class="a"><p>one</p></div><div class="b"><p>two</p></div>')
     import numpy as np
