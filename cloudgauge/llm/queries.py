@@ -160,8 +160,8 @@ SELECT d.doc_id, len(d.s) AS n_shingles, LEAST(d.doc_id, COALESCE(m.y, d.doc_id)
     d.doc_id = LEAST(d.doc_id, COALESCE(m.y, d.doc_id)) AS kept
 FROM sets d LEFT JOIN (SELECT x, MIN(y) AS y FROM reach GROUP BY x) m ON m.x = d.doc_id"""
 
-#: Captures that the WARC query derives from a page: its full response, and a later or earlier check of the same URL.
-DAY = 86_400
+#: Stands for a missing page id in the times of captures.
+UNNAMED_PAGE = 1_000_000_000
 
 
 @query
@@ -169,37 +169,41 @@ def op10_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page as a stored response and a 304 revisit, written as WARC records, parsed and resolved.
 
     The revisit comes up to three days later, or for every fourth page half a second's worth earlier; its ETag is weak
-    for every third page and missing for every fifth, where only the date can validate.
+    for every third page and missing for every fifth, where only the date can validate. A page without an id is named by
+    its content, comes last in time and has no page_id in the result.
     """
-    pages = table(spark, sf_dir, "pages").filter("page_id is not null")
-    page, tag = F.col("page_id"), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
+    pages = table(spark, sf_dir, "pages")
+    name = F.coalesce(F.col("page_id").cast("string"), F.md5(F.concat(
+        F.coalesce("url", F.lit("")), F.lit("|"), F.coalesce("html", F.lit(""))).cast("binary")))
+    page, tag = F.coalesce("page_id", F.lit(UNNAMED_PAGE)), F.concat(F.lit('"'), F.md5(F.coalesce("html", F.lit("")).cast("binary")), F.lit('"'))
     dated = F.concat(F.lit("Last-Modified: day "), F.floor(page / 7).cast("string"))
     at = page * 60
     later = F.when(page % 4 == 3, at - 30).otherwise(at + (page % 72) * 3600 + 30)
     url = F.coalesce("url", F.lit(""))
     response = warc.warc_record(
-        F.lit("response"), url, at, F.concat(F.lit("r"), page.cast("string")), F.when(F.col("html").isNull(), "404 Not Found").otherwise("200 OK"),
+        F.lit("response"), url, at, F.concat(F.lit("r"), name), F.when(F.col("html").isNull(), "404 Not Found").otherwise("200 OK"),
         F.array(F.lit("Content-Type: text/html"), F.concat(F.lit("ETag: "), tag), dated, F.lit("Cache-Control: max-age=60")),
         F.coalesce("html", F.lit("")))
     checked = F.array_compact(F.array(
         F.when(page % 5 != 0, F.concat(F.lit("ETag: "), F.when(page % 3 == 0, "W/").otherwise(""), tag)),
         F.when(page % 5 == 0, dated), F.lit("Cache-Control: max-age=600"), F.lit("Content-Length: 0")))
     revisit = warc.warc_record(
-        F.lit("revisit"), url, later, F.concat(F.lit("v"), page.cast("string")), F.lit("304 Not Modified"), checked, F.lit(""))
+        F.lit("revisit"), url, later, F.concat(F.lit("v"), name), F.lit("304 Not Modified"), checked, F.lit(""))
     records = pages.select(F.explode(F.array(response, revisit)).alias("record"))
     found = warc.resolve_revisits(warc.parse_records(records).drop("body"))
     names = F.array_sort(F.map_keys("headers"))
     headers = F.array_join(F.transform(names, lambda n: F.concat(n, F.lit("="), F.col("headers")[n])), ";")
     return found.select(
-        F.substring("record_id", 2, 99).cast("long").alias("page_id"), "canonical", "outcome",
-        F.substring("response_id", 2, 99).cast("long").alias("response_page"), headers.alias("headers"), "payload_digest")
+        F.substring("record_id", 2, 99).try_cast("long").alias("page_id"), "canonical", "outcome",
+        F.substring("response_id", 2, 99).try_cast("long").alias("response_page"), headers.alias("headers"), "payload_digest")
 
 
 ORACLE["op10_warc_revisits"] = r"""
 WITH parts AS (
-    SELECT page_id, html, regexp_replace(regexp_replace(trim(COALESCE(url, ''), ' '), '#.*$', ''), '^https?://', '', 'i') AS bare,
-        '"' || md5(COALESCE(html, '')) || '"' AS tag, 'day ' || CAST(page_id // 7 AS BIGINT) AS dated
-    FROM pages WHERE page_id IS NOT NULL),
+    SELECT row_number() OVER () AS row_id, page_id AS own_id, COALESCE(page_id, 1000000000) AS page_id,
+        COALESCE(CAST(page_id AS VARCHAR), md5(COALESCE(url, '') || '|' || COALESCE(html, ''))) AS name, html, regexp_replace(regexp_replace(trim(COALESCE(url, ''), ' '), '#.*$', ''), '^https?://', '', 'i') AS bare,
+        '"' || md5(COALESCE(html, '')) || '"' AS tag, 'day ' || CAST(COALESCE(page_id, 1000000000) // 7 AS BIGINT) AS dated
+    FROM pages),
 urls AS (
     SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(bare, '^[^/?]*')), '^www\d*\.', ''), ':(80|443)$', '')
             || regexp_replace(regexp_extract(bare, '^[^/?]*(/[^?]*)?', 1), '/+$', '') AS base,
@@ -209,13 +213,13 @@ pages2 AS (SELECT *, base || CASE WHEN query <> '' THEN '?' || query ELSE '' END
 responses AS (SELECT *, page_id * 60 AS t FROM pages2 WHERE html IS NOT NULL AND html <> ''),
 revisits AS (
     SELECT *, CASE WHEN page_id % 4 = 3 THEN page_id * 60 - 30 ELSE page_id * 60 + (page_id % 72) * 3600 + 30 END AS t FROM pages2),
-joined AS (SELECT v.*, r.page_id AS response_page, r.tag AS rtag, r.dated AS rdated, md5(r.html) AS digest,
-        row_number() OVER (PARTITION BY v.page_id ORDER BY r.t DESC, 'r' || r.page_id DESC) AS k
+joined AS (SELECT v.*, r.name AS response_name, r.own_id AS response_page, r.tag AS rtag, r.dated AS rdated, md5(r.html) AS digest,
+        row_number() OVER (PARTITION BY v.row_id ORDER BY r.t DESC, 'r' || r.name DESC) AS k
     FROM revisits v LEFT JOIN responses r ON r.canonical = v.canonical AND r.t <= v.t),
-judged AS (SELECT *, CASE WHEN response_page IS NULL THEN 'no_response'
+judged AS (SELECT *, CASE WHEN response_name IS NULL THEN 'no_response'
         WHEN page_id % 5 <> 0 THEN CASE WHEN tag = rtag THEN 'resolved' ELSE 'mismatch' END
         WHEN dated = rdated THEN 'resolved' ELSE 'mismatch' END AS outcome FROM joined WHERE k = 1)
-SELECT page_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN response_page END AS response_page,
+SELECT own_id AS page_id, canonical, outcome, CASE WHEN outcome = 'resolved' THEN response_page END AS response_page,
     CASE WHEN outcome = 'resolved' THEN 'cache-control=max-age=600;content-type=text/html;etag='
         || CASE WHEN page_id % 5 <> 0 THEN CASE WHEN page_id % 3 = 0 THEN 'W/' ELSE '' END || tag ELSE rtag END
         || ';last-modified=' || rdated END AS headers,

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cloudgauge.llm.common import Scratch
-from cloudgauge.operators.ordered import latest
+from cloudgauge.llm.scans import latest
 
 #: Header fields by which a 304 answer updates the stored response. Fixed values.
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "vary")
@@ -107,11 +107,12 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     revisit = (F.col("warc_type") == "revisit") & (F.col("status") == 304)
     kept = rows.filter(full | revisit).withColumn("_kind", F.when(full, F.lit(0)).otherwise(F.lit(1)))
     # The range partitioning reads its input twice; parsing is done once.
-    kept = Scratch(records.sparkSession).write(kept)
+    scratch = Scratch(records.sparkSession)
+    kept = scratch.write(kept)
     packed = F.when(F.col("canonical").isNotNull() & (F.col("_kind") == 0), F.struct(
         F.col("record_id").alias("id"), F.col("status").alias("status"), F.col("headers").alias("headers"),
         F.col("payload_digest").alias("digest"), F.col("_etag").alias("etag"), F.col("_modified").alias("modified")))
-    joined = latest(kept, ["canonical"], ["captured_at", "record_id", "_kind"], packed, "_response").filter("_kind = 1")
+    joined = latest(kept, ["canonical"], ["captured_at", "record_id", "_kind"], packed, "_response", scratch).filter("_kind = 1")
     was = F.col("_response")
     outcome = (
         F.when(was.isNull() | F.col("canonical").isNull(), "no_response")
