@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cloudgauge.llm import bpe, decontam, langid, minhash
 from cloudgauge.llm.common import Scratch, table
@@ -18,8 +19,9 @@ from cloudgauge.llm.common import Scratch, table
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose text has a language: texts without a letter and null texts go."""
     model = langid.train(docs)
-    found = langid.identify(docs.withColumnsRenamed({"lang_pred": "lang_pred_", "score": "score_"}), model)
-    return found.filter(f"lang_pred <> '{langid.UNDETERMINED}'").select(*docs.columns)
+    aside = {c: f"_own_{c}" for c in ("lang_pred", "score")}  # columns of the documents, not the prediction
+    found = langid.identify(docs.withColumnsRenamed(aside), model).filter(f"lang_pred <> '{langid.UNDETERMINED}'")
+    return found.select(*[F.col(aside.get(c, c)).alias(c) for c in docs.columns])
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
