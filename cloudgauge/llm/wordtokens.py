@@ -19,6 +19,9 @@ LETTERS = "a-zß-öø-ķĺ-ňŋ-ſ"
 PLAIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^{LETTERS}0-9]+")
 #: Chunks of these characters are plain: no composition, white space or letter rule beyond the pattern applies to them.
 SAFE = re.compile("[!-~À-ÖØ-öø-įı-ķĺ-ňŋ-ſ]+")
+#: A chunk that is one word, and a single mark after such a word, which is a chunk of its own.
+WORD = re.compile(b"[a-z]+")
+MARK = re.compile(rb"[.,;:!?](?=[ \n\r\t]|\Z)(?<=[a-z0-9].)")
 
 
 class WordTokens:
@@ -40,6 +43,9 @@ class WordTokens:
         self.model.no_padding()
         if any(self.model.encode(x, add_special_tokens=False).ids for x in (" ", "\t\n")):
             raise ValueError("this vocabulary keeps white space; its texts can't be encoded by chunk")
+        vocabulary = self.model.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.words: dict[str, np.ndarray] = {}
         self.forget()
 
@@ -71,18 +77,31 @@ class WordTokens:
                 del known[w]
         return out
 
+    def encode_plain(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words of the letters a to z, one after the other, and how many belong to each: a word's last token ends it."""
+        ids = np.array(self.model.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        return ids, np.diff(np.flatnonzero(self.ends[ids]), prepend=-1)
+
     def learn(self, chunks: list[bytes]) -> None:
-        ids = self.encode_chunks(chunks)
+        plain = [c for c in chunks if WORD.fullmatch(c)]
+        for i in range(0, len(plain), 20_000):
+            part = plain[i : i + 20_000]
+            self.store(part, *self.encode_plain(part))
+        rest = [c for c in chunks if not WORD.fullmatch(c)]
+        if rest:
+            ids = self.encode_chunks(rest)
+            self.store(rest, np.concatenate(ids), np.fromiter(map(len, ids), np.int64, len(ids)))
+
+    def store(self, chunks: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         first, n = len(self.chunks), len(chunks)
-        counts = np.fromiter(map(len, ids), np.int64, n)
         while first + n > len(self.starts):
             self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
-        while self.used + counts.sum() > len(self.flat):
+        while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        self.flat[self.used : self.used + counts.sum()] = np.concatenate(ids)
+        self.flat[self.used : self.used + len(ids)] = ids
         self.counts[first : first + n] = counts
         self.starts[first : first + n] = self.used + np.cumsum(counts) - counts
-        self.used += int(counts.sum())
+        self.used += len(ids)
         self.chunks.update(zip(chunks, range(first, first + n)))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
@@ -93,7 +112,7 @@ class WordTokens:
         for raw in texts:
             # Lower case is safe before composition unless a combining mark follows; special strings are case-sensitive.
             kept = b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw
-            found.append((raw if kept else raw.lower()).split())
+            found.append((raw if kept else MARK.sub(rb" \g<0>", raw.lower())).split())
         missing = list(set().union(*found).difference(self.chunks))
         if missing:
             self.learn(missing)
