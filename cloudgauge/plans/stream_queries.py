@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cloudgauge.plans import recipes
-from cloudgauge.plans.capture_queries import JUDGED, LIMIT, QUEUED
+from cloudgauge.plans.capture_queries import JUDGED, LIMIT, PLAN, QUEUED, plan_of
 from cloudgauge.plans.fleet_queries import ANSWERS, TIMEOUT_MS
 from cloudgauge.plans.cloud_queries import round_all
 from cloudgauge.plans.recipes import with_sql
@@ -37,8 +37,7 @@ SELECT l.session_id, l.nth AS pair_index, l.frame_number AS left_frame_number, r
   GREATEST(l.arrival_us, r.arrival_us) AS ready_us, FALSE AS late_arrival
 FROM ok l JOIN ok r ON l.session_id = r.session_id AND l.nth = r.nth AND l.side = 'left' AND r.side = 'right'"""))
 def q_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.replay(recipes.frame_events(spark, sf_dir), "arrival_us",
-                       lambda s: stateful.pair_stream(s, DELAY, "event_id"))
+    return jobs.replay_pairs(recipes.frame_events(spark, sf_dir), "arrival_us", DELAY, "event_id")
 
 
 @query("stream_pairs_all", sql=with_sql("frame_events", body=JUDGED + """
@@ -47,8 +46,7 @@ SELECT l.session_id, l.nth AS pair_index, l.frame_number AS left_frame_number, r
   GREATEST(l.arrival_us, r.arrival_us) AS ready_us, FALSE AS late_arrival
 FROM prev l JOIN prev r ON l.session_id = r.session_id AND l.nth = r.nth AND l.side = 'left' AND r.side = 'right'"""))
 def q_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jobs.replay(recipes.frame_events(spark, sf_dir), "arrival_us",
-                       lambda s: stateful.pair_stream(s, DELAY, "event_id", stop_on_violation=False))
+    return jobs.replay_pairs(recipes.frame_events(spark, sf_dir), "arrival_us", DELAY, "event_id", stop_on_violation=False)
 
 
 @query("stream_queue", sql=with_sql("frame_events", body=QUEUED + f"""
@@ -71,6 +69,35 @@ def q_extra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.replay(events, "arrival_us", lambda s: stateful.monitor_sequence(s, DELAY, never_ms, "event_id"))
 
 
+WAIT_MS = 43_200_000
+
+
+@query("stream_timeout", sql=with_sql("frame_events", body=JUDGED + PLAN + f"""
+, waits AS (SELECT session_id, side, nth, frame_number, arrival_us, expected_frames,
+    LEAD(arrival_us) OVER (PARTITION BY session_id, side ORDER BY arrival_us, event_id) AS next_us
+  FROM prev JOIN plan USING (session_id))
+, open_waits AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY session_id, side ORDER BY nth) AS k FROM waits
+  WHERE nth < expected_frames AND (next_us IS NULL OR next_us - arrival_us >= {WAIT_MS * 1000}))
+SELECT session_id, side, arrival_us + {WAIT_MS * 1000} AS arrival_us, frame_number, nth + 1 AS index, 'timeout' AS violation
+FROM open_waits WHERE k = 1"""))
+def q_timeout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first wait of each side that took too long, by the frame that ended it or by the watermark."""
+    events = recipes.frame_events(spark, sf_dir)
+    timed = events.withColumn("arrival_ts", F.timestamp_micros("arrival_us")).join(
+        plan_of(events).select("session_id", "expected_frames"), "session_id")
+    # A row long after the last one lets the watermark pass every open wait.
+    after = F.col("m") + 864_000_000_000
+    end = timed.agg(F.max("arrival_us").alias("m")).select(
+        F.lit(-1).cast("bigint").alias("session_id"), F.lit("end").alias("side"), F.timestamp_micros(after).alias("arrival_ts"),
+        after.alias("arrival_us"), F.lit(0).cast("bigint").alias("event_id"), F.lit(True).alias("metadata_valid"),
+        F.lit(0).cast("bigint").alias("lost_packets"), *[
+            F.lit(0).cast("bigint").alias(c) for c in ("frame_number", "trigger_index", "n_bytes", "expected_frames")])
+    out = jobs.replay(timed.select(end.columns).unionByName(end), "arrival_us",
+                      lambda s: stateful.monitor_sequence(s, DELAY, WAIT_MS, "event_id"))
+    return out.filter("violation = 'timeout'").select(
+        "session_id", "side", "arrival_us", "frame_number", "index", "violation")
+
+
 @query("stream_live_fps", sql=with_sql("frame_events", body="""
 , f AS (SELECT session_id, side, arrival_us, ROW_NUMBER() OVER (PARTITION BY session_id, side ORDER BY arrival_us, event_id) AS i
    FROM frame_events)

@@ -77,6 +77,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    files, location = _file_system(spark, path)
+    files.mkdirs(location)
+
+
 def delete_path(spark: SparkSession, path: str) -> None:
     files, location = _file_system(spark, path)
     files.delete(location, True)

@@ -6,17 +6,19 @@ import time
 import uuid
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from cloudgauge.functions import serialcodec
 from cloudgauge.operators import stereo
 from cloudgauge.operators.fleet import COMMAND_TIMEOUT_MS, frames_of, key_logs
-from cloudgauge.session import delete_path, run_folder
+from cloudgauge.session import delete_path, make_folder, run_folder
+from cloudgauge.streaming import stateful
 
 Sink = Callable[[DataFrame, int], None]
 ROWS_PER_STORE = 500_000
+ROWS_PER_BATCH = 1_000_000
 
 
 def reconstruct_stream(
@@ -93,6 +95,21 @@ def serial_monitor(
         F.col("_b.response").alias("response"))
 
 
+def pair_stream(
+    events: DataFrame, folder: str, watermark: str = "10 seconds", tie: str = "frame_number", stop_on_violation: bool = True
+) -> tuple[DataStreamWriter, DataFrame]:
+    """k-th left frame with k-th right frame per session, each frame used once.
+
+    Two queries, because Spark takes one such operator in each: the first writes numbered frames to ``folder`` (start the
+    returned writer with a checkpoint), the second is the returned stream of pairs over that folder.
+    """
+    spark = events.sparkSession
+    make_folder(spark, folder)
+    numbered = stateful.number_frames(events, watermark, tie, stop_on_violation)
+    writer = numbered.writeStream.format("parquet").option("path", folder).outputMode("append")
+    return writer, stateful.pair_numbered(spark.readStream.schema(stateful.NUMBERED).parquet(folder))
+
+
 def with_progress(
     query: StreamingQuery, callback: Callable[[dict], None], on_error: Callable[[Exception], None] | None = None,
     poll_s: float = 0.2,
@@ -116,43 +133,60 @@ def with_progress(
         time.sleep(poll_s)
 
 
+def own_session(spark: SparkSession, **settings: str) -> SparkSession:
+    """A session of the same application with the caller's settings and some others; the caller's stay as they are."""
+    session = spark.newSession()
+    for name, value in spark.conf.getAll.items():
+        if session.conf.isModifiable(name):
+            session.conf.set(name, value)
+    for name, value in settings.items():
+        session.conf.set(name.replace("__", "."), value)
+    return session
+
+
 def replay(
-    rows: DataFrame, time_column: str, build: Callable[[DataFrame], DataFrame], slices: int = 3
+    rows: DataFrame, time_column: str, build: Callable[[DataFrame], DataFrame], slices: int = 3,
+    rows_per_batch: int = ROWS_PER_BATCH,
 ) -> DataFrame:
     """Run a stream operator over stored rows in time order and return all it emitted.
 
-    The rows are written in ``slices`` time ranges of about equal size; the query runs to
-    the end of each range and continues from its checkpoint with the next, so that no
-    micro-batch is larger than one range. Rows without a time go into the first range.
+    The rows are written once, parted by time ranges of about equal size: at least ``slices``, and so many that a
+    range holds about ``rows_per_batch`` rows (rows of one time stay together). The ranges are given to the stream one
+    file after the other, and one query takes one file per micro-batch. Rows without a time go first.
     """
     spark = rows.sparkSession
     base = f"{run_folder(spark)}/replay-{uuid.uuid4().hex}"
-    found = rows.agg(
-        F.percentile_approx(time_column, [i / slices for i in range(1, slices)], 10_000).alias("cuts"),
-        F.count(F.lit(1)).alias("n")).first()
-    cuts = found["cuts"]
+    n = rows.count()
+    slices = max(slices, -(-n // rows_per_batch))
+    cuts = rows.agg(F.percentile_approx(
+        time_column, [i / slices for i in range(1, slices)], max(10_000, 20 * slices)).alias("cuts")).first()["cuts"]
+    cuts = sorted(set(cuts or []))
+    # The first cut that is not below the time; a time above all cuts has the last slice.
+    at = F.lit(len(cuts))
+    if cuts:
+        known = F.array(*[F.lit(c) for c in cuts])
+        at = F.size(F.filter(known, lambda c: c < F.col(time_column)))
+    sliced = rows.withColumn("_slice", F.when(F.col(time_column).isNull(), 0).otherwise(at))
+    sliced.write.partitionBy("_slice").parquet(f"{base}/slices")
+    for i in sorted(r["_slice"] for r in sliced.select("_slice").distinct().collect()) if n else []:
+        part = spark.read.schema(rows.schema).parquet(f"{base}/slices/_slice={i}")
+        part.coalesce(1).write.mode("append").parquet(f"{base}/in")
+    if not n:
+        rows.limit(0).write.parquet(f"{base}/in")
     # State stores are opened per partition and micro-batch, so their number follows the rows.
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    stores = min(width, max(8, found["n"] // ROWS_PER_STORE))
-    bounds = [None, *sorted(set(cuts or [])), None]
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        part = rows
-        if lo is not None:
-            part = part.filter(F.col(time_column) > lo)
-        if hi is not None:
-            early = F.col(time_column) <= hi
-            part = part.filter(early | F.col(time_column).isNull() if lo is None else early)
-        part.write.mode("append").parquet(f"{base}/in")
-        stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in")
-        out = build(stream)
-        spark.conf.set("spark.sql.shuffle.partitions", str(stores))
-        try:
-            query = (
-                out.writeStream.format("parquet").option("path", f"{base}/out")
-                .option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start())
-        finally:
-            spark.conf.set("spark.sql.shuffle.partitions", str(width))
-        query.awaitTermination()
-    delete_path(spark, f"{base}/in")
-    delete_path(spark, f"{base}/state")
+    stores = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(8, n // ROWS_PER_STORE))
+    session = own_session(spark, spark__sql__shuffle__partitions=str(stores))
+    out = build(session.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in"))
+    out.writeStream.format("parquet").option("path", f"{base}/out").option(
+        "checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    for folder in ("in", "slices", "state"):
+        delete_path(spark, f"{base}/{folder}")
     return spark.read.schema(out.schema).parquet(f"{base}/out")
+
+
+def replay_pairs(
+    rows: DataFrame, time_column: str, watermark: str = "10 seconds", tie: str = "frame_number", stop_on_violation: bool = True
+) -> DataFrame:
+    """Both steps of ``pair_stream`` over stored rows."""
+    numbered = replay(rows, time_column, lambda s: stateful.number_frames(s, watermark, tie, stop_on_violation))
+    return replay(numbered, "arrival_us", stateful.pair_numbered)

@@ -1,8 +1,8 @@
 """Stateful stream operators on frame events.
 
 Each operator keeps a few numbers per key. A micro-batch of a key is ordered by arrival
-inside the operator, so its size is set by the source's rate limit. Rules are evaluated on
-whole arrays. Arrivals older than what a key has already seen cannot be put in order any
+inside the operator: it holds the rows' numbers once, so the source's rate limit bounds it, and
+walks them in slices that carry the state. Rules are evaluated on whole arrays. Arrivals older than what a key has already seen cannot be put in order any
 more; they come out as ``late_arrival`` and belong to a batch audit.
 """
 
@@ -21,7 +21,7 @@ from cloudgauge.session import micros
 
 VIOLATIONS = "session_id bigint, side string, arrival_us bigint, tie bigint, frame_number bigint, `index` bigint, violation string"
 SEQUENCE_STATE = "prev_frame bigint, prev_trigger bigint, count bigint, last_us bigint, last_tie bigint, expected bigint, timed_out boolean"
-EVENT_COLUMNS = ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad"]
+SLICE = 100_000
 
 
 def prepare(events: DataFrame, watermark: str, tie: str = "frame_number") -> DataFrame:
@@ -35,14 +35,19 @@ def prepare(events: DataFrame, watermark: str, tie: str = "frame_number") -> Dat
         F.col("n_bytes"), expected.cast("bigint").alias("expected"))
 
 
-def gather(batches: Iterator[pd.DataFrame], last: tuple[int, int] | None) -> tuple[pd.DataFrame, pd.DataFrame]:
-    """Rows of one key and micro-batch in arrival order, and those that came too late."""
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows.sort_values(["arrival_us", "tie"], kind="stable", ignore_index=True)
-    if last is None:
-        return rows, rows.iloc[:0]
-    late = (rows["arrival_us"] < last[0]) | ((rows["arrival_us"] == last[0]) & (rows["tie"] < last[1]))
-    return rows[~late].reset_index(drop=True), rows[late]
+def gather(
+    batches: Iterator[pd.DataFrame], last: tuple[int, int] | None, columns: Sequence[str]
+) -> tuple[pd.DataFrame, Iterator[pd.DataFrame]]:
+    """Rows of one key and micro-batch that came too late, and the others in arrival order, slice by slice."""
+    rows = pd.concat([batch[list(columns)] for batch in batches], ignore_index=True)
+    us, tie = rows["arrival_us"].to_numpy(), rows["tie"].to_numpy()
+    order = np.lexsort((tie, us))
+    n_late = 0
+    if last is not None:
+        n_late = int(((us < last[0]) | ((us == last[0]) & (tie < last[1]))).sum())
+    in_time = order[n_late:]
+    parts = (rows.take(in_time[at:at + SLICE]).reset_index(drop=True) for at in range(0, len(in_time), SLICE))
+    return rows.take(order[:n_late]), parts
 
 
 def judge(rows: pd.DataFrame, prev_frame: int | None, prev_trigger: int | None) -> np.ndarray:
@@ -60,34 +65,50 @@ def judge(rows: pd.DataFrame, prev_frame: int | None, prev_trigger: int | None)
     return np.select([rows["bad"].to_numpy(bool), gap, trigger_gap], ["incomplete_frame", "frame_gap", "trigger_gap"], "")
 
 
+FOUND_COLUMNS = ["session_id", "side", "arrival_us", "tie", "frame_number", "index", "violation"]
+
+
 def _sequence(timeout_us: int):
+    columns = ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad", "expected"]
+
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        session, side = key
         old = state.get if state.exists else (None, None, 0, None, None, None, False)
         prev_frame, prev_trigger, count, last_us, last_tie, expected, timed_out = old
+
+        def silence(us: int, frame: int, index: int) -> pd.DataFrame:
+            return pd.DataFrame([(*key, us + timeout_us, 0, frame, index, "timeout")], columns=FOUND_COLUMNS)
+
         if state.hasTimedOut:
             if not timed_out:
-                yield pd.DataFrame({
-                    "session_id": [session], "side": [side], "arrival_us": [last_us + timeout_us], "tie": [0],
-                    "frame_number": [prev_frame], "index": [count + 1], "violation": ["timeout"]})
+                yield silence(last_us, prev_frame, count + 1)
             state.update((prev_frame, prev_trigger, count, last_us, last_tie, expected, True))
             return
-        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
-        late = late.assign(index=0, violation="late_arrival")
-        if len(rows):
+        late, parts = gather(batches, None if last_us is None else (last_us, last_tie), columns)
+        if len(late):
+            yield late.assign(index=0, violation="late_arrival")[FOUND_COLUMNS]
+        for rows in parts:
             rows = rows.assign(index=np.arange(1, len(rows) + 1) + count, violation=judge(rows, prev_frame, prev_trigger))
             if rows["expected"].notna().any():
                 expected = int(rows["expected"].dropna().iloc[0])
                 extra = (rows["index"] > expected) & (rows["violation"] == "")
                 rows.loc[extra, "violation"] = "extra_frame"
-            tail = rows.iloc[-1]
+            us, frame = rows["arrival_us"].to_numpy("i8"), rows["frame_number"].to_numpy("i8")
+            if expected is not None and not timed_out:
+                # A wait that ended inside the micro-batch; the timer finds those that are still open.
+                before = np.concatenate([us[:1] if last_us is None else [last_us], us[:-1]])
+                waited = np.flatnonzero((us - before >= timeout_us) & (rows["index"].to_numpy() <= expected))
+                if len(waited):
+                    at = int(waited[0])
+                    timed_out = True
+                    yield silence(int(before[at]), int(frame[at - 1]) if at else prev_frame, count + at + 1)
+            found = (rows["violation"] != "").to_numpy()
+            if found.any():
+                yield rows.loc[found, FOUND_COLUMNS]
             count += len(rows)
-            prev_frame, prev_trigger = int(tail["frame_number"]), int(tail["trigger_index"])
-            last_us, last_tie = int(tail["arrival_us"]), int(tail["tie"])
-        found = pd.concat([rows[rows["violation"] != ""] if len(rows) else late.iloc[:0], late])
-        yield found[["session_id", "side", "arrival_us", "tie", "frame_number", "index", "violation"]]
+            prev_frame, prev_trigger = int(frame[-1]), int(rows["trigger_index"].iloc[-1])
+            last_us, last_tie = int(us[-1]), int(rows["tie"].iloc[-1])
         state.update((prev_frame, prev_trigger, count, last_us, last_tie, expected, timed_out))
-        if expected is not None and count < expected:
+        if expected is not None and count < expected and not timed_out:
             mark = max((last_us + timeout_us) // 1000, state.getCurrentWatermarkMs() + 1)
             state.setTimeoutTimestamp(mark)
 
@@ -98,80 +119,119 @@ def monitor_sequence(
     events: DataFrame, watermark: str = "10 seconds", timeout_ms: int = FRAME_TIMEOUT_MS, tie: str = "frame_number"
 ) -> DataFrame:
     """All violations per (session, side) as they happen: incomplete frames, frame and
-    trigger gaps, frames beyond ``expected_frames`` (where that column exists), and a
-    timeout when no frame came in time before the expected count."""
+    trigger gaps, frames beyond ``expected_frames`` (where that column exists), and once a
+    timeout where a frame up to the expected count came ``timeout_ms`` or more after the one before, or not at
+    all. A side is known from its first frame on. What counts is event time: a wait shows by the frame that ends it or by the watermark that passes it,
+    so the result does not depend on how the rows fall into micro-batches."""
     rows = prepare(events, watermark, tie)
     return rows.groupBy("session_id", "side").applyInPandasWithState(
         _sequence(timeout_ms * 1000), VIOLATIONS, SEQUENCE_STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-PAIRS = ("session_id bigint, pair_index bigint, left_frame_number bigint, right_frame_number bigint, "
-         "left_trigger_index bigint, right_trigger_index bigint, ready_us bigint, late_arrival boolean")
-PAIR_COLUMNS = [c.split()[0] for c in PAIRS.split(", ")]
-PAIR_STATE = ("left_frame array<bigint>, left_trigger array<bigint>, left_us array<bigint>, right_frame array<bigint>, "
-              "right_trigger array<bigint>, right_us array<bigint>, paired bigint, stopped boolean, last_us bigint, "
-              "last_tie bigint, left_prev array<bigint>, right_prev array<bigint>")
+NUMBERED = ("session_id bigint, side string, nth bigint, frame_number bigint, trigger_index bigint, arrival_us bigint, "
+            "late_arrival boolean")
+NUMBERED_COLUMNS = [c.split()[0] for c in NUMBERED.split(", ")]
+NUMBER_STATE = ("left bigint, right bigint, stopped boolean, last_us bigint, last_tie bigint, left_frame bigint, "
+                "left_trigger bigint, right_frame bigint, right_trigger bigint")
+
 
+def _numbering(stop_on_violation: bool):
+    columns = ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad"]
 
-def _pairing(stop_on_violation: bool):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        old = state.get if state.exists else ([], [], [], [], [], [], 0, False, None, None, [], [])
-        queues = {"left": [np.array(v, dtype="i8") for v in old[0:3]], "right": [np.array(v, dtype="i8") for v in old[3:6]]}
-        paired, stopped, last_us, last_tie = old[6:10]
-        prev = {"left": list(old[10]), "right": list(old[11])}
-        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        old = state.get if state.exists else (0, 0, False, None, None, None, None, None, None)
+        count = dict(zip(("left", "right"), old[:2]))
+        stopped, last_us, last_tie = old[2:5]
+        prev = {"left": old[5:7], "right": old[7:9]}
+        late, parts = gather(batches, None if last_us is None else (last_us, last_tie), columns)
         if len(late):
-            is_left = late["side"] == "left"
-            yield pd.DataFrame({
-                "session_id": key[0], "pair_index": None, "left_frame_number": late["frame_number"].where(is_left),
-                "right_frame_number": late["frame_number"].where(~is_left),
-                "left_trigger_index": late["trigger_index"].where(is_left),
-                "right_trigger_index": late["trigger_index"].where(~is_left), "ready_us": late["arrival_us"],
-                "late_arrival": True})[PAIR_COLUMNS].astype({c: "Int64" for c in PAIR_COLUMNS[:-1]})
-        if len(rows):
+            nth = pd.array([None] * len(late), dtype="Int64")
+            yield late.assign(nth=nth, late_arrival=True)[NUMBERED_COLUMNS]
+        for rows in parts:
             last_us, last_tie = int(rows["arrival_us"].iloc[-1]), int(rows["tie"].iloc[-1])
-        if stopped or not len(rows):
-            state.update((*old[:8], last_us, last_tie, *old[10:]))
-            return
-        if stop_on_violation:
-            verdict = np.full(len(rows), "", dtype=object)
-            for side in ("left", "right"):
-                at = np.flatnonzero((rows["side"] == side).to_numpy())
-                if len(at):
-                    verdict[at] = judge(rows.iloc[at].reset_index(drop=True), *(prev[side] or (None, None)))
-            broken = np.flatnonzero(verdict != "")
-            if len(broken):
-                stopped = True
-                rows = rows.iloc[: broken[0]]
-        for side in ("left", "right"):
-            mine = rows[rows["side"] == side]
-            if len(mine):
-                prev[side] = [int(mine["frame_number"].iloc[-1]), int(mine["trigger_index"].iloc[-1])]
-            queues[side] = [np.concatenate([q, mine[c].to_numpy("i8")]) for q, c in zip(
-                queues[side], ("frame_number", "trigger_index", "arrival_us"))]
-        n = min(len(queues["left"][0]), len(queues["right"][0]))
-        if n:
-            left, right = [q[:n] for q in queues["left"]], [q[:n] for q in queues["right"]]
-            yield pd.DataFrame({
-                "session_id": key[0], "pair_index": np.arange(1, n + 1) + paired, "left_frame_number": left[0],
-                "right_frame_number": right[0], "left_trigger_index": left[1], "right_trigger_index": right[1],
-                "ready_us": np.maximum(left[2], right[2]), "late_arrival": False})
-        rest = [q[n:].tolist() for side in ("left", "right") for q in queues[side]]
-        state.update((*rest, paired + n, stopped, last_us, last_tie, prev["left"], prev["right"]))
+            if stopped:
+                continue
+            places = {side: np.flatnonzero((rows["side"] == side).to_numpy()) for side in count}
+            kept = len(rows)
+            if stop_on_violation:
+                for side, at in places.items():
+                    if len(at):
+                        broken = np.flatnonzero(judge(rows.take(at).reset_index(drop=True), *prev[side]) != "")
+                        if len(broken):
+                            stopped, kept = True, min(kept, int(at[broken[0]]))
+            for side, at in places.items():
+                mine = rows.take(at[at < kept])
+                if len(mine):
+                    yield mine.assign(nth=np.arange(1, len(mine) + 1) + count[side], late_arrival=False)[NUMBERED_COLUMNS]
+                    count[side] += len(mine)
+                    prev[side] = (int(mine["frame_number"].iloc[-1]), int(mine["trigger_index"].iloc[-1]))
+        state.update((count["left"], count["right"], stopped, last_us, last_tie, *prev["left"], *prev["right"]))
 
     return run
 
 
-def pair_stream(
+def number_frames(
     events: DataFrame, watermark: str = "10 seconds", tie: str = "frame_number", stop_on_violation: bool = True
 ) -> DataFrame:
-    """k-th left frame with k-th right frame per session, each frame used once. With
-    ``stop_on_violation`` the first broken sequence rule ends the session's pairing. State
-    is what one side has received ahead of the other. A frame older than what its session has already
-    seen pairs with nothing and comes out as ``late_arrival``."""
+    """Every frame with its number ``nth`` on its side of the session, from counters alone. With
+    ``stop_on_violation`` the first broken sequence rule ends the session. A frame older than what its session has
+    already seen has no number and comes out as ``late_arrival``."""
     rows = prepare(events, watermark, tie).drop("arrival_ts", "n_bytes", "expected")
     return rows.groupBy("session_id").applyInPandasWithState(
-        _pairing(stop_on_violation), PAIRS, PAIR_STATE, "append", GroupStateTimeout.NoTimeout)
+        _numbering(stop_on_violation), NUMBERED, NUMBER_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+PAIRS = ("session_id bigint, pair_index bigint, left_frame_number bigint, right_frame_number bigint, "
+         "left_trigger_index bigint, right_trigger_index bigint, ready_us bigint, late_arrival boolean")
+PAIR_COLUMNS = [c.split()[0] for c in PAIRS.split(", ")]
+PAIR_BLOCK = 1024
+BLOCK_STATE = ("left_nth array<bigint>, left_frame array<bigint>, left_trigger array<bigint>, left_us array<bigint>, "
+               "right_nth array<bigint>, right_frame array<bigint>, right_trigger array<bigint>, right_us array<bigint>, "
+               "paired bigint")
+WAITING = ["nth", "frame_number", "trigger_index", "arrival_us"]
+
+
+def _pair_block(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Pairs of one block of numbers; the state holds the block's frames that still wait for their partner."""
+    if key[1] < 0:
+        for late in batches:
+            is_left = late["side"] == "left"
+            yield pd.DataFrame({
+                "session_id": key[0], "pair_index": None, "left_frame_number": late["frame_number"].where(is_left),
+                "right_frame_number": late["frame_number"].where(~is_left),
+                "left_trigger_index": late["trigger_index"].where(is_left),
+                "right_trigger_index": late["trigger_index"].where(~is_left), "ready_us": late["arrival_us"],
+                "late_arrival": True})[PAIR_COLUMNS].astype({c: "Int64" for c in PAIR_COLUMNS[:-1]})
+        return
+    old = state.get if state.exists else (*[[]] * 8, 0)
+    rows = pd.concat([batch[["side", *WAITING]] for batch in batches], ignore_index=True)
+    sides = []
+    for i, side in enumerate(("left", "right")):
+        held = pd.DataFrame({c: np.array(v, "i8") for c, v in zip(WAITING, old[4 * i:4 * i + 4])})
+        sides.append(pd.concat([held, rows.loc[rows["side"] == side, WAITING].astype("i8")]).set_index("nth"))
+    left, right = sides
+    both = left.join(right, how="inner", lsuffix="_l", rsuffix="_r").sort_index()
+    if len(both):
+        yield pd.DataFrame({
+            "session_id": key[0], "pair_index": both.index.to_numpy(), "left_frame_number": both["frame_number_l"].to_numpy(),
+            "right_frame_number": both["frame_number_r"].to_numpy(),
+            "left_trigger_index": both["trigger_index_l"].to_numpy(),
+            "right_trigger_index": both["trigger_index_r"].to_numpy(),
+            "ready_us": np.maximum(both["arrival_us_l"], both["arrival_us_r"]).to_numpy(), "late_arrival": False})
+    paired = old[8] + len(both)
+    if paired == PAIR_BLOCK:
+        state.remove()
+        return
+    rest = [side.drop(both.index).reset_index() for side in sides]
+    state.update((*[frames[c].tolist() for frames in rest for c in WAITING], paired))
+
+
+def pair_numbered(numbered: DataFrame) -> DataFrame:
+    """Left and right frame of equal number per session. A state row holds the waiting frames of ``PAIR_BLOCK``
+    numbers and goes when all of them are paired, so a side that is far ahead adds rows, not longer ones."""
+    block = F.when(F.col("late_arrival"), -1).otherwise(F.floor((F.col("nth") - 1) / PAIR_BLOCK)).cast("bigint")
+    return numbered.withColumn("block", block).groupBy("session_id", "block").applyInPandasWithState(
+        _pair_block, PAIRS, BLOCK_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 FPS = "session_id bigint, side string, arrival_us bigint, fps double, late_arrival boolean"
@@ -181,27 +241,28 @@ FPS_STATE = "start_us bigint, count bigint, last_us bigint, last_tie bigint"
 def _fps(period_us: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         start, count, last_us, last_tie = state.get if state.exists else (None, 0, None, None)
-        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        late, parts = gather(
+            batches, None if last_us is None else (last_us, last_tie), ["session_id", "side", "arrival_us", "tie"])
         if len(late):
             yield late[["session_id", "side", "arrival_us"]].assign(fps=np.nan, late_arrival=True)
-        if not len(rows):
-            return
-        times = rows["arrival_us"].to_numpy("i8")
-        if start is None:
-            start = int(times[0])
-        at, done = 0, []
-        while at < len(times):
-            hit = int(np.searchsorted(times, start + period_us, side="left"))
-            hit = max(hit, at)
-            if hit >= len(times):
-                count += len(times) - at
-                break
-            count += hit - at + 1
-            done.append((*key, int(times[hit]), count / ((int(times[hit]) - start) / 1e6)))
-            start, count, at = int(times[hit]), 0, hit + 1
-        state.update((start, count, int(times[-1]), int(rows["tie"].iloc[-1])))
-        if done:
-            yield pd.DataFrame(done, columns=["session_id", "side", "arrival_us", "fps"]).assign(late_arrival=False)
+        for rows in parts:
+            times = rows["arrival_us"].to_numpy("i8")
+            if start is None:
+                start = int(times[0])
+            at, done = 0, []
+            while at < len(times):
+                hit = int(np.searchsorted(times, start + period_us, side="left"))
+                hit = max(hit, at)
+                if hit >= len(times):
+                    count += len(times) - at
+                    break
+                count += hit - at + 1
+                done.append((*key, int(times[hit]), count / ((int(times[hit]) - start) / 1e6)))
+                start, count, at = int(times[hit]), 0, hit + 1
+            last_us, last_tie = int(times[-1]), int(rows["tie"].iloc[-1])
+            if done:
+                yield pd.DataFrame(done, columns=["session_id", "side", "arrival_us", "fps"]).assign(late_arrival=False)
+        state.update((start, count, last_us, last_tie))
 
     return run
 
@@ -232,23 +293,20 @@ QUEUE_STATE = "queued bigint, peak bigint, last_us bigint, last_tie bigint"
 def _queue(limit: int):
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         queued, peak, last_us, last_tie = state.get if state.exists else (0, 0, None, None)
-        rows, late = gather(batches, None if last_us is None else (last_us, last_tie))
+        late, parts = gather(
+            batches, None if last_us is None else (last_us, last_tie), ["arrival_us", "tie", "n_bytes"])
         # A late step is in no order any more, but its bytes are in the queue, or gone, from now on.
         queued += int(late["n_bytes"].sum())
         peak = max(peak, queued) if len(late) else peak
-        if not len(rows):
-            state.update((queued, peak, last_us, last_tie))
-            yield pd.DataFrame({
-                "session_id": [key[0]], "side": [key[1]], "at_us": [last_us], "queued_bytes": [queued], "peak_bytes": [peak],
-                "overflow": [peak > limit], "late_rows": [len(late)]})
-            return
-        level = rows["n_bytes"].to_numpy("i8").cumsum() + queued
-        came = level[rows["n_bytes"].to_numpy() >= 0]
-        peak = max(peak, int(came.max()) if len(came) else 0)
-        state.update((int(level[-1]), peak, int(rows["arrival_us"].iloc[-1]), int(rows["tie"].iloc[-1])))
+        for rows in parts:
+            level = rows["n_bytes"].to_numpy("i8").cumsum() + queued
+            came = level[rows["n_bytes"].to_numpy() >= 0]
+            queued, peak = int(level[-1]), max(peak, int(came.max()) if len(came) else 0)
+            last_us, last_tie = int(rows["arrival_us"].iloc[-1]), int(rows["tie"].iloc[-1])
+        state.update((queued, peak, last_us, last_tie))
         yield pd.DataFrame({
-            "session_id": [key[0]], "side": [key[1]], "at_us": [int(rows["arrival_us"].iloc[-1])],
-            "queued_bytes": [int(level[-1])], "peak_bytes": [peak], "overflow": [peak > limit], "late_rows": [len(late)]})
+            "session_id": [key[0]], "side": [key[1]], "at_us": [last_us], "queued_bytes": [queued], "peak_bytes": [peak],
+            "overflow": [peak > limit], "late_rows": [len(late)]})
 
     return run
 

@@ -141,14 +141,93 @@ def test_streams_equal_batch(sessions, plan, spark):
     extra = [r for r in found(live) if r not in WANTED]
     assert (5, "left", 21, "extra_frame") in extra and (5, "left", 22, "extra_frame") in extra
     assert any(r[3] == "timeout" and r[:2] == (4, "right") for r in extra)
-    every = jobs.replay(rows, "us", lambda s: stateful.pair_stream(s, "1 second", stop_on_violation=False))
+    every = jobs.replay_pairs(rows, "us", "1 second", stop_on_violation=False)
     key = ["session_id", "pair_index", "left_frame_number", "right_frame_number"]
     assert sorted(every.select(key).collect()) == sorted(capture.pair_by_arrival(sessions).select(key).collect())
-    stopped = jobs.replay(rows, "us", lambda s: stateful.pair_stream(s, "1 second"))
+    stopped = jobs.replay_pairs(rows, "us", "1 second")
     counts = {r.session_id: r["count"] for r in stopped.groupBy("session_id").count().collect()}
     assert counts == {1: 20, 2: 7, 3: 3, 4: 18, 5: 20}
 
 
+def test_timeouts_do_not_depend_on_batches(spark):
+    """A stalled and a silent side give the same timeouts however the rows are cut."""
+    rows = spark.createDataFrame(
+        frames(1, "left", 10) + frames(1, "right", 10, stall=6) + frames(2, "left", 4) + frames(2, "right", 10, stall=9)
+        + [(9, "end", T0 + datetime.timedelta(hours=1), 1, 0, 0, True, 1)], EVENTS)
+    rows = rows.withColumn("expected_frames", F.when(F.col("session_id") < 9, 10)).withColumn("us", F.unix_micros("arrival_ts"))
+    for n in (1, 3, 8):
+        live = jobs.replay(rows, "us", lambda s: stateful.monitor_sequence(s, "1 second"), n)
+        late = live.filter("violation = 'timeout'").select("session_id", "side", "index", "frame_number", "arrival_us")
+        base = int(T0.timestamp()) * 1_000_000 + 3_000_000
+        assert sorted(map(tuple, late.collect())) == [
+            (1, "right", 7, 6, base + 150_000), (2, "left", 5, 4, base + 90_000), (2, "right", 10, 9, base + 240_000)]
+
+
+def test_pair_stream_in_two_queries(spark, sessions, tmp_path):
+    sessions.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(sessions.schema).parquet(str(tmp_path / "in"))
+    writer, pairs = jobs.pair_stream(stream, str(tmp_path / "numbered"))
+    writer.option("checkpointLocation", str(tmp_path / "a")).trigger(availableNow=True).start().awaitTermination()
+    pairs.writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+        "checkpointLocation", str(tmp_path / "b")).trigger(availableNow=True).start().awaitTermination()
+    counts = spark.read.parquet(str(tmp_path / "out")).groupBy("session_id").count().collect()
+    assert dict(map(tuple, counts)) == {1: 20, 2: 7, 3: 3, 4: 18, 5: 20}
+
+
+def test_one_side_far_ahead():
+    """A million left frames before the first right one: counters, and blocks of bounded length."""
+    n, state = 1_000_000, Held()
+    at = np.arange(n)
+    left = pd.DataFrame({"session_id": 1, "side": "left", "arrival_us": at, "tie": at, "frame_number": at % 2**32,
+                         "trigger_index": 0, "bad": False, "n_bytes": 1})
+    right = left[:3000].assign(side="right", arrival_us=at[:3000] + n)
+    numbered = pd.concat([*stateful._numbering(True)((1,), iter([left[i::7] for i in range(7)]), state),
+                          *stateful._numbering(True)((1,), iter([right]), state)])
+    assert not any(isinstance(v, (list, np.ndarray)) for v in state.get)
+    assert len(numbered) == n + 3000 and state.get[:2] == (n, 3000)
+    longest, pairs = 0, 0
+    for block, part in numbered.groupby((numbered["nth"].astype("i8") - 1) // stateful.PAIR_BLOCK):
+        held = Held()
+        for half in (part[part["side"] == "left"], part[part["side"] == "right"]):
+            if len(half):
+                pairs += sum(map(len, stateful._pair_block((1, block), iter([half]), held)))
+                longest = max([longest, *[len(v) for v in held.get[:8]]] if held.exists else [longest])
+    assert longest == stateful.PAIR_BLOCK and pairs == 3000
+
+
+def test_hot_session_in_slices(monkeypatch):
+    """Slices carry the state: small ones give what one slice gives."""
+    rng = np.random.default_rng(5)
+    n = 5000
+    rows = pd.DataFrame({"session_id": 1, "side": rng.choice(["left", "right"], n), "arrival_us": rng.integers(0, n // 2, n),
+                         "tie": rng.permutation(n), "bad": rng.random(n) < 0.001, "n_bytes": rng.integers(-50, 60, n),
+                         "expected": 4000.0})
+    rows = rows.sort_values(["arrival_us", "tie"])
+    rows["frame_number"] = rows.groupby("side").cumcount() + (rng.random(n) < 0.001)
+    rows["trigger_index"] = 0
+    rows = rows.sample(frac=1, random_state=1)
+
+    def outcome(run, size):
+        monkeypatch.setattr(stateful, "SLICE", size)
+        state = Held()
+        out = pd.concat(run((1, "left"), iter([rows[i::4] for i in range(4)]), state))
+        return out.sort_values(list(out.columns), ignore_index=True), state.get
+
+    for run in (stateful._sequence(300), stateful._numbering(False), stateful._numbering(True), stateful._fps(100), stateful._queue(100)):
+        (whole, end), (cut, cut_end) = outcome(run, n), outcome(run, 37)
+        pd.testing.assert_frame_equal(whole, cut, check_dtype=False)
+        assert end == cut_end
+
+
+def test_replay_leaves_settings_and_takes_rows_without_time(spark):
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = spark.createDataFrame([(i if i % 3 else None, i) for i in range(100)], "us long, v long")
+    out = jobs.replay(rows, "us", lambda s: s.select("v"), rows_per_batch=10)
+    assert sorted(r.v for r in out.collect()) == list(range(100))
+    assert jobs.replay(rows.limit(0), "us", lambda s: s.select("v")).count() == 0
+    assert spark.conf.get("spark.sql.shuffle.partitions") == width
+
+
 def test_live_fps(spark):
     rows = spark.createDataFrame(frames(1, "left", 101), EVENTS).withColumn("us", F.unix_micros("arrival_ts"))
     rates = jobs.replay(rows, "us", lambda s: stateful.live_fps(s, "1 second")).orderBy("arrival_us").collect()
@@ -159,16 +238,28 @@ def test_live_fps(spark):
 class Held:
     """State of one key between micro-batches."""
 
-    exists, hasTimedOut, get = False, False, None
+    exists, hasTimedOut, get, timer = False, False, None, None
 
     def update(self, value):
-        self.exists, self.get = True, value
+        self.exists, self.get, self.timer = True, value, None
+
+    def remove(self):
+        self.exists, self.get = False, None
+
+    def getCurrentWatermarkMs(self):
+        return 0
+
+    def setTimeoutTimestamp(self, mark):
+        self.timer = mark
+
+
+EVENT_NAMES = ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad", "n_bytes"]
 
 
-def micro_batches(run, *batches):
-    state, names = Held(), ["session_id", "side", "arrival_us", "tie", "frame_number", "trigger_index", "bad", "n_bytes"]
+def micro_batches(run, *batches, names=EVENT_NAMES, key=(1, "left"), state=None):
+    state = state or Held()
     for rows in batches:
-        out = list(run((1, "left"), iter([pd.DataFrame(rows, columns=names)]), state))
+        out = list(run(key, iter([pd.DataFrame(rows, columns=names)]), state))
         yield pd.concat(out) if out else None
 
 
@@ -178,10 +269,12 @@ def test_late_rows_come_out():
 
     first = [row("left", 10, 1), row("left", 20, 2), row("right", 21, 1)]
     second = [row("left", 5, 9), row("right", 30, 2)]
-    _, pairs = micro_batches(stateful._pairing(False), first, second)
-    late = pairs[pairs["late_arrival"]]
+    numbered = list(micro_batches(stateful._numbering(False), first, second))
+    assert numbered[1]["late_arrival"].tolist() == [True, False] and numbered[1]["nth"].isna().tolist() == [True, False]
+    late, pairs = (pd.concat(stateful._pair_block((1, block), iter(rows), Held())) for block, rows in (
+        (-1, [numbered[1][:1]]), (0, [numbered[0], numbered[1][1:]])))
     assert late["left_frame_number"].tolist() == [9] and late["pair_index"].isna().all() and late["ready_us"].tolist() == [5]
-    assert pairs[~pairs["late_arrival"]]["pair_index"].tolist() == [2]
+    assert pairs["pair_index"].tolist() == [1, 2] and pairs["ready_us"].tolist() == [21, 30]
     _, rates = micro_batches(stateful._fps(1_000_000), first[:2], [row("left", 5, 9), row("left", 3_000_000, 3)])
     assert rates["late_arrival"].tolist() == [True, False] and rates["arrival_us"].tolist() == [5, 3_000_000]
     _, queue, only_late = micro_batches(
