@@ -24,7 +24,10 @@ DIAGNOSTIC_FULL = 200
 DIAGNOSTIC_HEAD = 10
 DIAGNOSTIC_EVERY = 50
 BLOCK = 8
-NOISE = 1e-15
+# Azimuths about the baseline (radians) that agree this well are equal; their error is rounding only.
+SAME_AZIMUTH = 1e-12
+AZIMUTH_CELL = 1e-11
+AZIMUTH_ROUNDING = 4e-15
 
 FRAME = ("frame_id",)
 
@@ -167,37 +170,39 @@ def _oriented(best: DataFrame, by: Sequence[str], threshold: float) -> DataFrame
         pick("u", "u", "right_u", False), pick("v", "v", "right_v", False), m["err"].alias("error"))
 
 
+def _same_azimuth(drive: DataFrame, found: DataFrame, by: Sequence[str], hit: Column) -> DataFrame:
+    """For each driving observation the lowest searched id of the same azimuth, as ``_same``. Azimuths 0 and pi are one."""
+    first = found.groupBy(*by, F.col("_phi").alias("_there")).agg(F.min(hit).alias("_same"))
+    first = first.withColumn("_cell", F.floor(F.col("_there") / AZIMUTH_CELL))
+    phi = F.col("_phi")
+    turns = F.filter(F.array(phi, phi + F.pi(), phi - F.pi()),
+                     lambda a: (a > -AZIMUTH_CELL) & (a < F.pi() + AZIMUTH_CELL))
+    here = drive.select(*by, "obs_id", F.explode(turns).alias("_here"))
+    cells = F.array_distinct(F.array(*[F.floor((F.col("_here") + d) / AZIMUTH_CELL) for d in (-SAME_AZIMUTH, SAME_AZIMUTH)]))
+    near = here.withColumn("_cell", F.explode(cells)).join(first, [*by, "_cell"])
+    near = near.filter(F.abs(F.col("_here") - F.col("_there")) <= SAME_AZIMUTH)
+    return near.groupBy(*by, "obs_id").agg(F.min("_same").alias("_same"))
+
+
 def epipolar_match(
     obs: DataFrame,
     calibrations: DataFrame,
     threshold: float = MATCH_THRESHOLD,
     by: Sequence[str] = FRAME,
     rig: Sequence[str] = ("rig_id",),
-    prune: bool = True,
 ) -> DataFrame:
     """For each observation of the smaller side the observation of the other side with the
     smallest epipolar error (lowest id on ties), if the error is below ``threshold``.
 
-    ``prune=False`` compares all pairs of a frame and suits frames known to be small. With
-    ``prune=True`` the searched side is cut into blocks of equal count along its azimuth
-    about the baseline. Since ``error = |a||b||sin(azimuth difference)|`` for the parts
-    ``a, b`` at right angles to the baseline, the blocks around a ray bound what the others
-    could give; rays whose best is not yet proven search a wider window in the next round.
+    Observations of the same azimuth about the baseline (to ``SAME_AZIMUTH``), or on the baseline, have the error 0;
+    one lowest id per azimuth answers them, so a line along the epipolar direction costs its observations, not their
+    pairs. For the others the searched side is cut into blocks of equal count along the azimuth. Since
+    ``error = |a||b||sin(azimuth difference)|`` for the parts ``a, b`` at right angles to the baseline, the blocks
+    around a ray bound what the others could give; rays whose best is not yet proven search a wider window in the
+    next round.
     """
     rays = _roles(cut_lineage(observation_rays(obs, calibrations, rig)), by)
     ray, base = vec("rx", "ry", "rz"), vec("bx", "by", "bz")
-    if not prune:
-        drive = rays.filter("_drives")
-        other = rays.filter("NOT _drives").select(
-            *by, F.struct(F.col("obs_id").alias("obs"), "u", "v", "rx", "ry", "rz").alias("_o"))
-        o = F.col("_o")
-        pairs = drive.join(other, list(by))
-        m = F.struct(_error(ray, (o["rx"], o["ry"], o["rz"]), base).alias("err"), o["obs"].alias("obs"),
-                     o["u"].alias("u"), o["v"].alias("v"))
-        best = pairs.groupBy(*by, "side", "obs_id").agg(
-            F.first("u").alias("u"), F.first("v").alias("v"), F.min(m).alias("_m"))
-        return _oriented(best, by, threshold)
-
     rays = rays.withColumn("_e1", pack(orthogonal(base)))
     e1 = tuple(F.col("_e1")[a] for a in "xyz")
     e2 = cross(base, e1)
@@ -212,14 +217,21 @@ def epipolar_match(
     placed = cut_lineage(placed)
     found = placed.filter("NOT _drives").withColumn("_block", F.floor((F.col("_pos") - 1) / BLOCK))
     edges = found.groupBy(*by, "_block").agg(F.min("_phi").alias("_first"), F.max("_phi").alias("_last"))
+    on_axis = F.col("_len") <= SAME_AZIMUTH
+    hit = F.struct(F.lit(0.0).alias("err"), F.col("obs_id").alias("obs"), "u", "v")
     spans = found.groupBy(*by).agg(
-        F.min("_phi").alias("_lo"), F.max("_phi").alias("_hi"), F.min("_len").alias("_short"),
-        F.max("_block").alias("_blocks"))
+        F.min("_phi").alias("_lo"), F.max("_phi").alias("_hi"), F.min(F.when(~on_axis, F.col("_len"))).alias("_short"),
+        F.max("_block").alias("_blocks"), F.min(hit).alias("_any"), F.min(F.when(on_axis, hit)).alias("_axis"))
     drive = placed.filter("_drives").withColumn("_home", F.floor(F.col("_pos") / BLOCK))
     drive = salted_join(drive, spans, by, spread=["obs_id"])
+    drive = join_on(drive, _same_azimuth(drive.filter(~on_axis), found.filter(~on_axis), by, hit), [*by, "obs_id"], "left")
+    exact = F.when(on_axis, F.col("_any")).otherwise(F.least("_same", "_axis"))
+    drive = cut_lineage(drive.withColumn("_m", exact).drop("_any", "_axis", "_same"))
+    answer = [*by, "side", "obs_id", "u", "v", "_m"]
+    results, width = [drive.filter("_m IS NOT NULL").select(*answer)], 1
+    drive = drive.filter("_m IS NULL").drop("_m")
     other = found.select(
         *by, "_block", F.struct(F.col("obs_id").alias("obs"), "u", "v", "rx", "ry", "rz").alias("_o"))
-    results, width = [], 1
     while True:
         lo = F.greatest(F.lit(0), F.least(F.col("_home"), F.col("_blocks")) - width)
         hi = F.least(F.col("_blocks"), F.col("_home") + width)
@@ -238,11 +250,12 @@ def epipolar_match(
         gap = F.least(
             F.when(~all_left, F.col("_phi") - F.col("_first")).otherwise(F.lit(10.0)),
             F.when(~all_right, F.col("_last") - F.col("_phi")).otherwise(F.lit(10.0)))
-        bound = F.col("_len") * F.col("_short") * F.least(F.sin(F.greatest(gap, F.lit(0.0))), F.sin(far))
+        gap = F.greatest(gap - AZIMUTH_ROUNDING, F.lit(0.0))
+        bound = F.col("_len") * F.col("_short") * F.least(F.sin(gap), F.sin(far))
         err = F.col("_m")["err"]
-        proven = (all_left & all_right) | (err <= NOISE) | (err < bound * (1 - 1e-9)) | (bound >= threshold)
+        proven = (all_left & all_right) | (err < bound * (1 - 1e-9)) | (bound >= threshold)
         judged = cut_lineage(judged.withColumn("_proven", proven).drop("_first", "_last"))
-        results.append(judged.filter("_proven"))
+        results.append(judged.filter("_proven").select(*answer))
         if judged.filter("NOT _proven").isEmpty():
             break
         drive = judged.filter("NOT _proven").drop("_m", "_proven", "_from", "_to")

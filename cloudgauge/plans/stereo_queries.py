@@ -49,8 +49,8 @@ MATCH_COLUMNS = """SELECT frame_id, lo AS left_obs, ro AS right_obs, ROUND(lu, 6
   ROUND(ru, 6) AS right_u, ROUND(rv, 6) AS right_v, ROUND(err, 6) AS error FROM best WHERE err < {}"""
 
 
-def matched(spark: SparkSession, sf_dir: str, threshold: float = 0.5, prune: bool = True) -> DataFrame:
-    return stereo.epipolar_match(observations(spark, sf_dir), calibrations(spark), threshold, prune=prune)
+def matched(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> DataFrame:
+    return stereo.epipolar_match(observations(spark, sf_dir), calibrations(spark), threshold)
 
 
 @query("pixel_ray", sql=with_sql("line_obs", body=RAYS + """

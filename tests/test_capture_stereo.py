@@ -370,6 +370,67 @@ def test_stripe_pair_reconstructs(spark, tmp_path):
     assert summary.collect()[0].merged_points == 96
 
 
+def all_pairs(obs, cal, threshold, same=0.0):
+    """Every driving observation against every searched one; errors up to ``same`` count as 0, lowest id on ties."""
+    rays = stereo.observation_rays(obs, cal).toPandas()
+    out = []
+    for frame, rows in rays.groupby("frame_id"):
+        left, right = rows[rows["side"] == "left"], rows[rows["side"] == "right"]
+        if not len(left) or not len(right):
+            continue
+        drive, other = (left, right) if len(left) <= len(right) else (right, left)
+        other = other.sort_values("obs_id")
+        base = rows[["bx", "by", "bz"]].to_numpy()[0]
+        err = np.abs(np.cross(drive[["rx", "ry", "rz"]].to_numpy()[:, None], other[["rx", "ry", "rz"]].to_numpy()[None]) @ base)
+        err[err <= same] = 0.0
+        best = err.argmin(axis=1)
+        for i, j in enumerate(best):
+            if err[i, j] < threshold:
+                ids = int(drive["obs_id"].iloc[i]), int(other["obs_id"].iloc[j])
+                out.append((frame, *(ids if drive is left else ids[::-1])))
+    return sorted(out)
+
+
+def matched_ids(obs, cal, threshold):
+    return sorted(map(tuple, stereo.epipolar_match(obs, cal, threshold).select("frame_id", "left_obs", "right_obs").collect()))
+
+
+OBSERVED = "frame_id long, side string, obs_id long, u double, v double, rig_id string"
+
+
+def test_lines_along_the_epipolar_direction(spark):
+    """Horizontal lines of 100 observations, rows that repeat, the image centre row, and a line off every other."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for f, (vl, vr) in enumerate([(31.0, 31.0), (24.0, 24.0), (24.0, 25.0)]):
+        for side, v in (("left", vl), ("right", vr)):
+            ids = rng.permutation(100)
+            rows += [(f, side, int(i), float(u), v, "rig") for i, u in zip(ids, rng.uniform(0, 64, 100))]
+    for side, n in (("left", 200), ("right", 240)):
+        rows += [(3, side, i, float(u), float(v), "rig") for i, (u, v) in enumerate(
+            zip(rng.uniform(0, 64, n), rng.integers(0, 6, n)))]
+    obs = spark.createDataFrame(rows, OBSERVED)
+    cal = rig(spark)
+    for threshold in (0.5, 0.001):
+        got = matched_ids(obs, cal, threshold)
+        assert got == all_pairs(obs, cal, threshold, 1e-13)
+    assert {r for f, _, r in matched_ids(obs, cal, 0.5) if f in (0, 1)} == {0}
+
+
+def test_observations_on_the_baseline(spark):
+    """With the baseline along the view, rays through its image have no azimuth: error 0 with everything."""
+    rng = np.random.default_rng(2)
+    rows = [(0, side, i, float(u), float(v), "rig") for side in ("left", "right")
+            for i, (u, v) in enumerate(rng.uniform(0, 48, (60, 2)))]
+    rows += [(1, "left", i, 40.0 + i, 30.0 - i, "rig") for i in range(20)] + [(1, "left", 20, 32.0, 24.0, "rig")]
+    rows += [(1, "right", i, 10.0 + i, 40.0 - i * i / 9, "rig") for i in range(30)]
+    rows += [(2, "left", i, 40.0 + i, 30.0 - i * i, "rig") for i in range(5)]
+    rows += [(2, "right", i, 10.0 + i, 40.0 - i * i / 9, "rig") for i in range(30)] + [(2, "right", 30, 32.0, 24.0, "rig")]
+    obs = spark.createDataFrame(rows, OBSERVED)
+    cal = rig(spark, t=[0.0, 0.0, -60.0])
+    assert matched_ids(obs, cal, 0.5) == all_pairs(obs, cal, 0.5, 1e-13)
+
+
 def test_pruned_match_equals_full(spark):
     rng = np.random.default_rng(5)
     rows = []
@@ -377,14 +438,11 @@ def test_pruned_match_equals_full(spark):
         for side, n in (("left", 40 + 60 * f), ("right", 90)):
             v = rng.uniform(0, 48, n) if f < 2 else 24 + rng.normal(size=n) * 1e-3
             rows += [(f, side, i, float(u), float(w), "rig") for i, (u, w) in enumerate(zip(rng.uniform(0, 64, n), v))]
-    obs = spark.createDataFrame(rows, "frame_id long, side string, obs_id long, u double, v double, rig_id string")
+    obs = spark.createDataFrame(rows, OBSERVED)
     turn = [np.cos(0.1), 0, np.sin(0.1), 0, 1, 0, -np.sin(0.1), 0, np.cos(0.1)]
     cal = rig(spark, r=[float(x) for x in turn], t=[-60.0, 3.0, 5.0])
     for threshold in (0.5, 0.002):
-        full = stereo.epipolar_match(obs, cal, threshold, prune=False)
-        fast = stereo.epipolar_match(obs, cal, threshold)
-        key = ["frame_id", "left_obs", "right_obs"]
-        assert sorted(full.select(key).collect()) == sorted(fast.select(key).collect())
+        assert matched_ids(obs, cal, threshold) == all_pairs(obs, cal, threshold)
 
 
 def test_undistort_inverts_projection(spark):
