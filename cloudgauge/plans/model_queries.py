@@ -141,6 +141,43 @@ def q_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_all(models.sphere_distance(first, second), 6)
 
 
+def axes_sql(rows: str, keys: str) -> str:
+    """CTEs up to ``axis``: per group of ``rows`` the centre and, for the axes k = 0, 1, 2 of rising eigenvalue, the entries
+    of the projection on the axis, ``(C - li)(C - lj) / ((lk - li)(lk - lj))`` with the other two eigenvalues."""
+    others = {0: (1, 2), 1: (0, 2), 2: (0, 1)}
+    entries = {
+        "xx": "(a - {i}) * (a - {j}) + d * d + e * e", "yy": "(b - {i}) * (b - {j}) + d * d + f * f",
+        "zz": "(c - {i}) * (c - {j}) + e * e + f * f", "xy": "(a - {i}) * d + d * (b - {j}) + e * f",
+        "xz": "(a - {i}) * e + d * f + e * (c - {j})", "yz": "d * e + (b - {i}) * f + f * (c - {j})"}
+    projections = ", ".join(
+        f"({text.format(i=f'l{i}', j=f'l{j}')}) / ((l{k} - l{i}) * (l{k} - l{j})) AS {name}{k}"
+        for k, (i, j) in others.items() for name, text in entries.items())
+    return f"""
+, centre AS (SELECT {keys}, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM {rows} GROUP BY {keys})
+, cov AS (SELECT {keys}, MIN(cx) AS cx, MIN(cy) AS cy, MIN(cz) AS cz, AVG((x - cx) * (x - cx)) AS a, AVG((y - cy) * (y - cy)) AS b,
+    AVG((z - cz) * (z - cz)) AS c, AVG((x - cx) * (y - cy)) AS d, AVG((x - cx) * (z - cz)) AS e, AVG((y - cy) * (z - cz)) AS f
+  FROM {rows} JOIN centre USING ({keys}) GROUP BY {keys})
+, mean AS (SELECT *, (a + b + c) / 3 AS q FROM cov)
+, spread AS (SELECT *, SQRT(((a - q) * (a - q) + (b - q) * (b - q) + (c - q) * (c - q) + 2 * (d * d + e * e + f * f)) / 6) AS p
+  FROM mean)
+, turn AS (SELECT *, ACOS(GREATEST(-1, LEAST(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e)
+    + e * (d * f - (b - q) * e)) / (2 * p * p * p)))) / 3 AS t FROM spread)
+, eigen AS (SELECT *, q + 2 * p * COS(t) AS l2, q + 2 * p * COS(t + 2 * PI() / 3) AS l0,
+    q + 2 * p * COS(t - 2 * PI() / 3) AS l1 FROM turn)
+, axis AS (SELECT {keys}, cx, cy, cz, a + b + c - l2 <= 1e-13 * l2 AS collinear, {projections} FROM eigen)"""
+
+
+@query("pca_axes", sql=f"WITH points AS ({FLAT})" + axes_sql("points", "cloud_id") + """
+SELECT cloud_id, """ + ", ".join(f"ROUND({n}{k}, 6) AS {n}{k}" for k in range(3) for n in ("xx", "yy", "zz", "xy", "xz", "yz")) + """
+FROM axis""")
+def q_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Products of each axis' components: the axis up to its sign."""
+    axes = fit.pca(recipes.raw_points(spark, sf_dir))
+    return axes.select("cloud_id", *[
+        F.round(F.col(f"axis{k}")[n[0]] * F.col(f"axis{k}")[n[1]], 6).alias(f"{n}{k}")
+        for k in range(3) for n in ("xx", "yy", "zz", "xy", "xz", "yz")])
+
+
 # The three invariants of the covariance matrix determine its eigenvalues.
 @query("pca_invariants", sql=f"""
 WITH points AS ({FLAT}), m AS (SELECT cloud_id, AVG(x) AS cx, AVG(y) AS cy, AVG(z) AS cz FROM points GROUP BY 1),
@@ -300,11 +337,22 @@ def q_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
 , label AS (WITH RECURSIVE reach AS (SELECT cloud_id, point_id, point_id AS label FROM far
    UNION SELECT r.cloud_id, e.dst, r.label FROM reach r JOIN edges e ON e.cloud_id = r.cloud_id AND e.src = r.point_id)
    SELECT cloud_id, point_id, MIN(label) AS label FROM reach GROUP BY 1, 2)
-SELECT cloud_id, label AS defect_id, BOOL_OR(z < 5) AS dent, COUNT(*) AS n, ROUND(MAX(ABS(z - 5)), 6) AS max_depth
-FROM label JOIN points USING (cloud_id, point_id) GROUP BY 1, 2 HAVING COUNT(*) >= 3"""))
+, member AS (SELECT cloud_id, label, x, y, z FROM (SELECT *, COUNT(*) OVER (PARTITION BY cloud_id, label) AS n
+   FROM label JOIN points USING (cloud_id, point_id)) WHERE n >= 3)""" + axes_sql("member", "cloud_id, label") + """
+, along AS (SELECT cloud_id, label, z, collinear, """ + ", ".join(f"""
+   CASE GREATEST(xx{k}, yy{k}, zz{k}) WHEN xx{k} THEN ((x - cx) * xx{k} + (y - cy) * xy{k} + (z - cz) * xz{k}) / SQRT(xx{k})
+     WHEN yy{k} THEN ((x - cx) * xy{k} + (y - cy) * yy{k} + (z - cz) * yz{k}) / SQRT(yy{k})
+     ELSE ((x - cx) * xz{k} + (y - cy) * yz{k} + (z - cz) * zz{k}) / SQRT(zz{k}) END AS s{k}""" for k in (1, 2)) + """
+  FROM member JOIN axis USING (cloud_id, label))
+SELECT cloud_id, label AS defect_id, BOOL_OR(z < 5) AS dent, COUNT(*) AS n, ROUND(MAX(ABS(z - 5)), 6) AS max_depth,
+  ROUND(MAX(s2) - MIN(s2), 5) AS length, ROUND(CASE WHEN BOOL_OR(collinear) THEN 0 ELSE MAX(s1) - MIN(s1) END, 4) AS width,
+  ROUND(CASE WHEN BOOL_OR(collinear) THEN 0 ELSE (MAX(s2) - MIN(s2)) * (MAX(s1) - MIN(s1)) END, 3) AS area
+FROM along GROUP BY 1, 2"""))
 def q_defects(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, _ = defects.measure_defects(recipes.points(spark, sf_dir), recipes.models(spark, sf_dir), 5.0, 5.0, 3)
-    return round_all(found.select("cloud_id", "defect_id", "dent", "n", "max_depth"), 6)
+    return found.select(
+        "cloud_id", "defect_id", "dent", "n", F.round("max_depth", 6).alias("max_depth"), F.round("length", 5).alias("length"),
+        F.round("width", 4).alias("width"), F.round("area", 3).alias("area"))
 
 
 @query("sample_stride", sql=with_sql("points", body="""
