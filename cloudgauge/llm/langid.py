@@ -17,11 +17,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from cloudgauge.llm.common import appended, slices, with_field
+from cloudgauge.llm.common import Scratch, appended, slices, with_field
 
 UNDETERMINED = "und"
 BUCKETS = 1 << 16
-#: Bytes that the log-probability matrix may take; beyond, there are fewer buckets.
+#: Bytes of the log-probability matrix that a pass may hold; more languages take more passes.
 MODEL_BYTES = 64 << 20
 BLOCK = 1 << 17
 _LETTERS: list[np.ndarray] = []
@@ -89,17 +89,54 @@ class Model:
         return total, n_letters
 
 
-def train(docs: DataFrame, text: str = "text", label: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5) -> Model:
+@dataclass
+class Trained:
+    """Counts of all languages; ``parts`` gives their matrix by groups of languages, in order of their names."""
+
+    languages: list[str]
+    counts: DataFrame  # lang, bucket (-1: rows of the language), n
+    buckets: int
+    smoothing: float
+
+    def parts(self) -> Iterator[Model]:
+        """Models of at most ``MODEL_BYTES``. Priors refer to all languages, so scores of the parts compare."""
+        width = max(1, MODEL_BYTES // (self.buckets * 8))
+        if len(self.languages) <= width:
+            got = self.counts.toArrow()
+            yield self._model(self.languages, got, None)
+            return
+        all_rows = self.counts.filter("bucket < 0").agg(F.sum("n")).first()[0]
+        for at in range(0, len(self.languages), width):
+            names = self.languages[at : at + width]
+            got = self.counts.filter(F.col("lang").between(names[0], names[-1])).toArrow()
+            yield self._model(names, got, all_rows)
+
+    def _model(self, languages: list[str], got: pa.Table, all_rows: int | None) -> Model:
+        names = np.array(got.column("lang").to_pylist(), object)
+        bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
+        counts = np.zeros((self.buckets, max(1, len(languages))))
+        rows = np.zeros(max(1, len(languages)))
+        for i, lang in enumerate(languages):
+            own = names == lang
+            real = own & (bucket >= 0)
+            counts[bucket[real], i] = n[real]
+            rows[i] = n[own & (bucket < 0)].sum()
+        counts += self.smoothing
+        share = np.log(np.maximum(rows, 1) / max(1.0, rows.sum() if all_rows is None else all_rows))
+        return Model(languages, np.log(counts / counts.sum(axis=0)), share)
+
+
+def train(
+    docs: DataFrame, text: str = "text", label: str = "lang", buckets: int = BUCKETS, smoothing: float = 0.5
+) -> Trained:
     """A model from all rows with a label; rows with a null label or text teach nothing.
 
     Every task sums its rows into one counter per language; only (language, bucket) sums leave it. The
-    driver receives languages x buckets numbers, whatever the number of rows, and ``MODEL_BYTES`` bounds them.
+    driver receives the names and, a group of languages at a time, their bucket sums, whatever the number of rows.
     """
     labelled = docs.select(F.col(label).cast("string").alias("lang"), F.col(text).cast("string").alias("text"))
     labelled = labelled.filter("lang is not null and text is not null")
-    n_languages = labelled.select("lang").distinct().count()
-    while n_languages * buckets * 8 > MODEL_BYTES and buckets > 256:
-        buckets //= 2
+    names = sorted((r["lang"] for r in labelled.select("lang").distinct().collect()), key=str.encode)
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -115,8 +152,8 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", buckets: int
                 for at in range(0, len(codes), BLOCK):
                     for bucket, counts in grams(codes, at, min(at + BLOCK, len(codes)), buckets):
                         total += np.bincount(bucket[counts], minlength=buckets)
-            if len(sums) * buckets * 8 > MODEL_BYTES:
-                yield from told(sums, rows)
+                if len(sums) * buckets * 8 > MODEL_BYTES:
+                    yield from told(sums, rows)
         yield from told(sums, rows)
 
     def told(sums: dict[str, np.ndarray], rows: dict[str, int]) -> Iterator[pa.RecordBatch]:
@@ -130,45 +167,65 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", buckets: int
 
     counted = labelled.mapInArrow(count, "lang string, bucket long, n long")
     summed = counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    got = summed.toArrow()
-    names = np.array(got.column("lang").to_pylist(), object)
-    bucket, n = got.column("bucket").to_numpy(), got.column("n").to_numpy()
-    languages = sorted(set(names))
-    counts = np.zeros((buckets, max(1, len(languages))))
-    rows = np.zeros(max(1, len(languages)))
-    for i, lang in enumerate(languages):
-        own = names == lang
-        real = own & (bucket >= 0)
-        counts[bucket[real], i] = n[real]
-        rows[i] = n[own & (bucket < 0)].sum()
-    counts += smoothing
-    share = np.log(np.maximum(rows, 1) / max(1.0, rows.sum()))
-    return Model(languages, np.log(counts / counts.sum(axis=0)), share)
-
-
-def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
+    if len(names) * buckets * 8 > MODEL_BYTES:
+        summed = Scratch(docs.sparkSession).write(summed)
+    return Trained(names, summed, buckets, smoothing)
+
+
+def identify(docs: DataFrame, model: Model | Trained, text: str = "text") -> DataFrame:
     """``docs`` with ``lang_pred`` and ``score``, the posterior of the predicted language.
 
     Null texts, texts without a letter, and all texts under a model without languages are ``und`` with
     score 0. Equal scores go to the first language by name. Columns of these two names are replaced; all
-    other columns and rows stay. The model (at most ``MODEL_BYTES``) travels with the function.
+    other columns and rows stay. A pass holds at most ``MODEL_BYTES`` of the model; with more languages there
+    are more passes, each over the written rows of the one before, which carry the best score and the
+    sum of the likelihoods relative to it.
     """
+    spark = docs.sparkSession
     schema = with_field(docs.schema, ("lang_pred", T.StringType()), ("score", T.DoubleType()))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
-        for batch in slices(batches, text):
-            total, n_letters = known.scores([x or "" for x in batch.column(text).to_pylist()])
-            if not known.languages:
-                n_letters[:] = 0
-            best = total.argmax(axis=1)
-            score = 1.0 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
-            names = [known.languages[b] if n else UNDETERMINED for b, n in zip(best, n_letters)]
-            yield appended(batch, schema, lang_pred=pa.array(names, pa.string()),
-                           score=pa.array(np.where(n_letters > 0, score, 0.0)))
-
-    return docs.mapInArrow(run, schema)
+    top = "_top"
+    while top in docs.columns:
+        top += "_"
+    if isinstance(model, Model):
+        languages, parts = model.languages, iter([model])
+    else:
+        languages, parts = model.languages, model.parts()
+
+    def scored(df: DataFrame, part: Model, first: bool) -> DataFrame:
+        out = with_field(schema, (top, T.DoubleType()))
+        shared = spark.sparkContext.broadcast(part)
+
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            known = shared.value
+            for batch in slices(batches, text):
+                total, n_letters = known.scores([x or "" for x in batch.column(text).to_pylist()])
+                if not languages:
+                    n_letters[:] = 0
+                best, high = total.argmax(axis=1), total.max(axis=1)
+                mass = np.exp(total - high[:, None]).sum(axis=1)
+                names = [known.languages[b] if n else UNDETERMINED for b, n in zip(best, n_letters)]
+                if not first:
+                    earlier = batch.column(top).to_numpy(zero_copy_only=False)
+                    score = batch.column("score").to_numpy(zero_copy_only=False)
+                    both = np.maximum(high, earlier)
+                    with np.errstate(divide="ignore"):
+                        mass = mass * np.exp(high - both) + np.exp(earlier - both) / score
+                    names = [n if new else o for n, o, new in zip(names, batch.column("lang_pred").to_pylist(), high > earlier)]
+                    high = both
+                yield appended(batch, out, lang_pred=pa.array(names, pa.string()), **{
+                    "score": pa.array(np.where(n_letters > 0, 1.0 / mass, 0.0)), top: pa.array(high)})
+
+        return df.mapInArrow(run, out)
+
+    scratch, found, written = Scratch(spark), docs, None
+    for i, part in enumerate(parts):
+        if i:
+            before, written = written, scratch.write(found)
+            if before is not None:
+                scratch.drop(before)
+            found = written
+        found = scored(found, part, i == 0)
+    return found.drop(top)
 
 
 def held_out(doc_id: str = "doc_id") -> Column:

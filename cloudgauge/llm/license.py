@@ -1,10 +1,11 @@
 """Licence statements in texts, found through a positional index of their rare words.
 
-The index maps the words of all templates to (template, position). A template is looked up
-by its words of highest IDF only: every place of such a word in a text proposes a start of
-the template, places that agree on the start are intersected, and a start counts when the
-template's mandatory phrases stand at their places and enough of its IDF weight is matched.
-Templates of two or three words must match whole, so all their places are found.
+The index maps the words of all templates to (template, position). A file's own licence words
+are looked up from the highest IDF on, per template as many as no statement can do without, and the
+places are intersected by relative position: each proposes starts of the template, up to ``SLACK`` words
+off. A start counts when enough of the template's IDF weight stands at its place or up to ``SLACK`` words beside it
+and the mandatory phrases do. Of overlapping starts of one template the best stays. Templates of two
+or three words must match whole, so all their places are found.
 """
 
 from __future__ import annotations
@@ -62,14 +63,13 @@ NOTICES = (
     Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee "
              "is hereby granted", ("permission to use",)),
 )
-ANCHORS = 4
 SLACK = 2
 MIN_SCORE = 0.6
 
 
 @dataclass
 class Index:
-    """Postings of the templates' rarest words."""
+    """Postings of all words of the templates."""
 
     templates: tuple[Template, ...]
     postings: dict[bytes, list[tuple[int, int]]] = field(default_factory=lambda: defaultdict(list))
@@ -82,39 +82,73 @@ class Index:
         spread = Counter(w for words in self.words for w in set(words))
         self.idf = {w: math.log(1 + len(self.templates) / n) for w, n in spread.items()}
         self.weights = [sum(self.idf[w] for w in words) for words in self.words]
-        self.needed = []
         for i, words in enumerate(self.words):
-            ranked = sorted(range(len(words)), key=lambda k: (-self.idf[words[k]], k))
-            chosen = ranked[: 1 if self.templates[i].base else ANCHORS]
-            for k in chosen:
-                self.postings[words[k]].append((i, k))
-            self.needed.append(1 if len(chosen) < 2 else 2)
+            for k, w in enumerate(words):
+                self.postings[w].append((i, k))
 
     def scan(self, words: list[bytes]) -> list[tuple[int, int, float]]:
         """(template, start, score) of all statements in the text, in order of start."""
-        votes: Counter[tuple[int, int]] = Counter()
-        postings = self.postings
-        for at in [i for i, w in enumerate(words) if w in postings]:
-            for template, k in postings[words[at]]:
-                votes[template, at - k] += 1
+        places: dict[bytes, list[int]] = defaultdict(list)
+        for at, w in enumerate(words):
+            if w in self.postings:
+                places[w].append(at)
+        have: dict[int, float] = defaultdict(float)
+        for w in places:
+            for template, _ in self.postings[w]:
+                have[template] += self.idf[w]
         found = []
-        for (template, start), n in votes.items():
-            if n < self.needed[template]:
-                continue
-            wanted = self.words[template]
+        for template, weight in have.items():
             if self.templates[template].base:
-                if start >= 0 and words[start : start + len(wanted)] == wanted:
-                    found.append((template, start, 1.0))
+                found += self._phrase_places(template, words, places)
+            elif weight >= MIN_SCORE * self.weights[template] * (1 - 1e-9):
+                found += self._statements(template, words, places, weight)
+        return sorted(found, key=lambda x: (x[1], x[0]))
+
+    def _phrase_places(self, template: int, words: list[bytes], places: dict[bytes, list[int]]) -> list[tuple[int, int, float]]:
+        wanted = self.words[template]
+        if any(w not in places for w in wanted):
+            return []
+        rarest = min(range(len(wanted)), key=lambda k: (len(places[wanted[k]]), k))
+        return [(template, at - rarest, 1.0) for at in places[wanted[rarest]]
+                if at >= rarest and words[at - rarest : at - rarest + len(wanted)] == wanted]
+
+    def _statements(
+        self, template: int, words: list[bytes], places: dict[bytes, list[int]], left: float
+    ) -> list[tuple[int, int, float]]:
+        wanted, least = self.words[template], MIN_SCORE * self.weights[template] * (1 - 1e-9)
+        ranked = sorted((k for k, w in enumerate(wanted) if w in places),
+                        key=lambda k: (-self.idf[wanted[k]], len(places[wanted[k]]), k))
+        votes: dict[int, float] = defaultdict(float)
+        for k in ranked:
+            if left < least / 2:  # what the other words can add; half of the least weight must come from those looked up
+                break
+            w = wanted[k]
+            for start in {at - k + j for at in places[w] for j in range(-SLACK, SLACK + 1)}:
+                votes[start] += self.idf[w]
+            left -= self.idf[w]
+        passed = []
+        for start, voted in votes.items():
+            if voted + left < least:
                 continue
-            matched = sum(self.idf[w] for k, w in enumerate(wanted)
-                          if 0 <= start + k < len(words) and words[start + k] == w)
-            score = matched / self.weights[template]
-            if score >= MIN_SCORE and all(
+            exact = near = 0.0
+            for k, w in enumerate(wanted):
+                at = start + k
+                if 0 <= at < len(words) and words[at] == w:
+                    exact += self.idf[w]
+                    near += self.idf[w]
+                elif w in words[max(0, at - SLACK) : max(0, at + SLACK + 1)]:
+                    near += self.idf[w]
+            if near >= least and all(
                 any(x >= 0 and words[x : x + len(p)] == p for x in range(start + k - SLACK, start + k + SLACK + 1))
                 for p, k in self.phrases[template]
             ):
-                found.append((template, max(start, 0), min(score, 1.0)))
-        return sorted(found, key=lambda x: (x[1], x[0]))
+                passed.append((-round(exact, 9), -round(near, 9), start))
+        taken: set[int] = set()
+        for _, near, start in sorted(passed):
+            if not any(x in taken for x in range(start - len(wanted) + 1, start + len(wanted))):
+                taken.add(start)
+        score = {start: min(1.0, -near / self.weights[template]) for _, near, start in passed}
+        return [(template, max(start, 0), score[start]) for start in taken]
 
 
 MATCH = T.StructType([

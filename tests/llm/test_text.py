@@ -3,6 +3,7 @@
 import re
 import time
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -47,6 +48,59 @@ def test_all_places_of_phrases(words):
     assert sorted(found) == brute_licenses(" ".join(words))[1]
 
 
+def brute_statements(words, template):
+    """Every start of a template, in order of preference, without an index."""
+    idf = {w: np.log(1 + len(license.BASE + license.NOTICES) / sum(w in t.text.split() for t in license.BASE + license.NOTICES))
+           for w in template.text.split()}
+    wanted, slack, passed = template.text.split(), license.SLACK, []
+    for start in range(-len(wanted) - slack, len(words) + slack):
+        near = sum(idf[w] for k, w in enumerate(wanted) if w in words[max(0, start + k - slack) : max(0, start + k + slack + 1)])
+        exact = sum(idf[w] for k, w in enumerate(wanted) if 0 <= start + k < len(words) and words[start + k] == w)
+        if near < license.MIN_SCORE * sum(idf[w] for w in wanted) * (1 - 1e-9):
+            continue
+        firm = True
+        for phrase in template.phrases:
+            p = phrase.split()
+            k = next(k for k in range(len(wanted)) if wanted[k : k + len(p)] == p)
+            firm &= any(x >= 0 and words[x : x + len(p)] == p for x in range(start + k - slack, start + k + slack + 1))
+        if firm:
+            passed.append((-round(exact, 9), -round(near, 9), start))
+    taken = []
+    for _, _, start in sorted(passed):
+        if all(abs(start - t) >= len(wanted) for t in taken):
+            taken.append(start)
+    return sorted(max(0, t) for t in taken)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from(
+    [t.text for t in license.NOTICES] + ["licensed under x the apache y license", "the", "license", "software and", "mit license", "x"]),
+    max_size=6), st.lists(st.integers(0, 200), max_size=8), st.lists(st.tuples(st.integers(0, 200), st.sampled_from("x the of".split())), max_size=6))
+def test_statements_are_those_of_brute_force(pieces, gone, added):
+    words = " ".join(pieces).split()
+    for i in gone:
+        if words:
+            words.pop(i % len(words))
+    for i, w in added:
+        words.insert(i % (len(words) + 1), w)
+    index = license.Index(license.BASE + license.NOTICES)
+    found = index.scan([w.encode() for w in words])
+    for i, template in enumerate(index.templates):
+        if not template.base:
+            assert sorted(s for t, s, _ in found if t == i) == brute_statements(words, template), template.text
+
+
+def test_words_put_in_or_left_out_keep_the_label(spark):
+    texts = ["Licensed under, as of today, the Apache License, Version 2.0 (the License); you may use this file except in compliance with the License",
+             "this program is free software you can redistribute it or modify it under the terms of the general public license as published",
+             "the apache server has a license", ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = license.scan_licenses(df).select("doc_id", license.labels_of(F.col("licenses")).alias("l"))
+    labels = {r["doc_id"]: r["l"] for r in out.collect()}
+    assert "apache" in labels[0] and labels[1] == "gpl" and labels[2] == "" and labels[3] == ""
+    assert license.scan_licenses(df.limit(0)).count() == 0
+
+
 LAYOUTS = [
     ('{"role":"system","text":"x"}', "turn", [("system", "x")]),
     ('{"messages":[{"role":"user","content":"b","n":1},{"content":null,"role":null}],"id":5}', "messages", [("user", "b"), ("", "")]),
@@ -173,6 +227,29 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.identify(df, nothing).collect()} == {"und"}
 
 
+def test_more_languages_than_a_pass_holds(spark, monkeypatch):
+    """Passes over groups of languages give what one matrix gives."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for lang in range(11):
+        alphabet = [chr(c) for c in rng.choice(np.arange(0x61, 0x7b), 9, False)]
+        rows += [(len(rows) + i, "".join(rng.choice([*alphabet, " "], 60)), f"l{lang}", 1.0) for i in range(6)]
+    rows += [(900, "", "l1", 2.0), (901, None, "l2", 2.0), (902, "12 34", "l3", 2.0), (903, "abc", None, 2.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, _top double")
+
+    def told():
+        return {r["doc_id"]: (r["lang_pred"], r["score"], r["_top"]) for r in langid.identify(df, langid.train(df, buckets=1024)).collect()}
+
+    whole = told()
+    monkeypatch.setattr(langid, "MODEL_BYTES", 4 * 1024 * 8)
+    assert len(list(langid.train(df, buckets=1024).parts())) == 3
+    parted = told()
+    assert whole.keys() == parted.keys() and {parted[i][0] for i in (900, 901, 902)} == {"und"}
+    for i, (lang, score, top) in whole.items():
+        assert parted[i][0] == lang and abs(parted[i][1] - score) < 1e-9 and parted[i][2] == top
+
+
+
 def test_blocks_do_not_change_scores(monkeypatch):
     import numpy as np
 
