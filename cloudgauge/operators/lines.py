@@ -10,7 +10,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cloudgauge.operators import ordered
@@ -71,56 +71,90 @@ def morph_open(mask: DataFrame, width: int, height: int, by: Sequence[str] = FRA
     return rows
 
 
-def _neighbours(cells: DataFrame, keys: Sequence[str], offsets: Sequence[tuple[int, int]]) -> DataFrame:
-    steps = F.explode(F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in offsets]))
-    moved = cells.select(*keys, F.col("y").alias("_y0"), F.col("x").alias("_x0"), steps.alias("_s"))
-    moved = moved.select(*keys, "_y0", "_x0", (F.col("_y0") + F.col("_s.dy")).alias("y"),
-                         (F.col("_x0") + F.col("_s.dx")).alias("x"))
-    return moved.join(cells.select(*keys, "y", "x"), [*keys, "y", "x"])
+# -- connected regions by runs -------------------------------------------------------
 
 
-FORWARD_8 = [(0, 1), (1, -1), (1, 0), (1, 1)]
-FORWARD_4 = [(0, 1), (1, 0)]
-ALL_4 = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+def pixel_runs(mask: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
+    """``(by, y, x0, x1)``: the longest runs of set pixels in each image row. Repeated pixels count once."""
+    w = Window.partitionBy(*by, "y").orderBy("x")
+    rows = mask.select(*by, "y", "x", (F.col("x") - F.dense_rank().over(w)).alias("_g"))
+    return rows.groupBy(*by, "y", "_g").agg(F.min("x").alias("x0"), F.max("x").alias("x1")).drop("_g")
 
 
-def pixel_components(
-    mask: DataFrame, by: Sequence[str] = FRAME, offsets: Sequence[tuple[int, int]] = FORWARD_8
-) -> DataFrame:
-    """``(by, y, x, label)`` of the connected regions of a sparse mask."""
-    cells = mask.select(*by, "y", "x")
-
-    def code(y: str, x: str) -> Column:
-        return F.shiftleft(F.col(y).cast("bigint"), 32) + F.col(x)
-
-    vertices = cells.select(*by, code("y", "x").alias("id"))
-    edges = _neighbours(cells, by, offsets).select(*by, code("_y0", "_x0").alias("src"), code("y", "x").alias("dst"))
-    labels = connected_components(vertices, edges, by)
-    return labels.select(
-        *by, F.shiftright("id", 32).cast("int").alias("y"),
-        F.expr("cast(id & 4294967295 as int)").alias("x"), "label")
-
-
-def _filled(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Add the holes of each region. Only regions with a gap inside some row can have
-    holes; their gaps are filled unless they reach the bounding box border."""
-    rows = cells.groupBy(*keys, "y").agg(
-        F.min("x").alias("_a"), F.max("x").alias("_b"), F.count(F.lit(1)).alias("_c"))
-    gappy = rows.filter(F.col("_b") - F.col("_a") + 1 > F.col("_c")).select(*keys).distinct()
-    suspects = cut_lineage(cells.join(gappy, list(keys)))
-    if suspects.isEmpty():
-        return cells
-    box = suspects.groupBy(*keys).agg(*[f(c).alias(f"_{n}{c}") for c in "yx" for n, f in (("l", F.min), ("h", F.max))])
-    lines = box.withColumn("y", F.explode(F.sequence("_ly", "_hy")))
-    area = lines.withColumn("x", F.explode(F.sequence("_lx", "_hx")))
-    empty = area.join(suspects.select(*keys, "y", "x"), [*keys, "y", "x"], "left_anti")
-    regions = pixel_components(empty, keys, FORWARD_4).withColumnRenamed("label", "_hole")
-    framed = regions.join(box, list(keys))
-    edge = (F.col("y") == F.col("_ly")) | (F.col("y") == F.col("_hy")) | (F.col("x") == F.col("_lx")) | (
-        F.col("x") == F.col("_hx"))
-    outside = framed.filter(edge).select(*keys, "_hole").distinct()
-    holes = regions.join(outside, [*keys, "_hole"], "left_anti").select(*keys, "y", "x")
-    return cells.unionByName(holes)
+def _code() -> Column:
+    return F.shiftleft(F.col("y").cast("bigint"), 32) + F.col("x0")
+
+
+def _touching(runs: DataFrame, keys: Sequence[str], reach: int) -> DataFrame:
+    """``(keys, src, dst)``: runs of neighbouring rows that overlap when widened by ``reach`` (0 or 1).
+
+    Of two such runs the one that starts later does so inside the other, which is then the last of its row to start
+    before. So each run looks at one run of the row above and one of the row below, and no pairs are formed.
+    """
+    sides = F.array(F.struct(F.col("y").alias("row"), F.lit(True).alias("up")),
+                    F.struct((F.col("y") - 1).alias("row"), F.lit(False).alias("up")))
+    rows = runs.select(*keys, _code().alias("src"), "x0", "x1", F.explode(sides).alias("_s")).select(
+        *keys, "src", "x0", "x1", "_s.row", "_s.up")
+    before = Window.partitionBy(*keys, "row").orderBy("x0", "up").rowsBetween(Window.unboundedPreceding, -1)
+
+    def last(up: bool) -> Column:
+        return F.last(F.when(F.col("up") == up, F.struct("src", "x1")), ignorenulls=True).over(before)
+
+    met = rows.withColumns({"_upper": last(True), "_lower": last(False)})
+    other = F.when(F.col("up"), F.col("_lower")).otherwise(F.col("_upper"))
+    met = met.withColumn("_o", other).filter(F.col("_o.x1") + reach >= F.col("x0"))
+    return met.select(*keys, "src", F.col("_o.src").alias("dst"))
+
+
+def _labelled(runs: DataFrame, keys: Sequence[str], reach: int, label: str) -> DataFrame:
+    """``runs`` with the smallest run code of their connected region."""
+    coded = runs.withColumn("id", _code())
+    found = connected_components(coded.select(*keys, "id"), _touching(runs, keys, reach), keys)
+    return coded.join(found.withColumnRenamed("label", label), [*keys, "id"]).drop("id")
+
+
+def pixel_components(mask: DataFrame, by: Sequence[str] = FRAME) -> DataFrame:
+    """``(by, y, x, label)`` of the 8-connected regions of a sparse mask."""
+    runs = _labelled(cut_lineage(pixel_runs(mask, by)), by, 1, "label")
+    return runs.select(*by, F.col("y").cast("int").alias("y"),
+                       F.explode(F.sequence(F.col("x0").cast("int"), F.col("x1").cast("int"))).alias("x"), "label")
+
+
+def _filled(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Runs of each region with its holes. Only gaps between two runs of a row can belong to a hole, and a 4-connected
+    group of them does unless one of them lies beside a place outside the first and last run of the next row."""
+    row = Window.partitionBy(*keys, "y").orderBy("x0")
+    gaps = runs.withColumn("_before", F.lag("x1").over(row)).filter("_before is not null").select(
+        *keys, "y", (F.col("_before") + 1).alias("x0"), (F.col("x0") - 1).alias("x1"))
+    gaps = cut_lineage(gaps)
+    if gaps.isEmpty():
+        return runs
+    spans = runs.groupBy(*keys, "y").agg(F.min("x0").alias("_a"), F.max("x1").alias("_b"))
+    groups = cut_lineage(_labelled(gaps, keys, 0, "_hole"))
+    beside = groups.withColumn("_to", F.explode(F.array(F.col("y") - 1, F.col("y") + 1))).join(
+        spans.withColumnRenamed("y", "_to"), [*keys, "_to"], "left")
+    leaves = F.col("_a").isNull() | (F.col("x0") < F.col("_a")) | (F.col("x1") > F.col("_b"))
+    outside = beside.filter(leaves).select(*keys, "_hole").distinct()
+    holes = groups.join(outside, [*keys, "_hole"], "left_anti")
+    both = runs.select(*keys, "y", "x0", "x1").unionByName(holes.select(*keys, "y", "x0", "x1"))
+    begins = F.coalesce(F.col("x0") > F.lag("x1").over(row) + 1, F.lit(True)).cast("int")
+    joined = both.withColumn("_new", begins).withColumn("_g", F.sum("_new").over(row))
+    return joined.groupBy(*keys, "y", "_g").agg(F.min("x0").alias("x0"), F.max("x1").alias("x1")).drop("_g")
+
+
+def _enclosed(runs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``(keys, _inner)``: pixels whose four neighbours are set, counted where the row's runs without their ends and the
+    runs of the rows above and below all overlap."""
+    def ends(y: Column, begin: Column, stop: Column) -> list[Column]:
+        return [F.struct(y.alias("row"), at.alias("at"), F.lit(d).alias("d")) for at, d in ((begin, 1), (stop, -1))]
+
+    y, x0, x1 = F.col("y"), F.col("x0"), F.col("x1")
+    events = F.array(*ends(y, x0 + 1, F.greatest(x1, x0 + 1)), *ends(y - 1, x0, x1 + 1), *ends(y + 1, x0, x1 + 1))
+    rows = runs.select(*keys, F.explode(events).alias("_e")).select(*keys, "_e.row", "_e.at", "_e.d")
+    w = Window.partitionBy(*keys, "row").orderBy("at")
+    depth = F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    parts = rows.select(*keys, depth.alias("_depth"), (F.lead("at").over(w) - F.col("at")).alias("_length"))
+    return parts.filter("_depth = 3").groupBy(*keys).agg(F.sum("_length").alias("_inner"))
 
 
 def stripe_ranges(
@@ -128,14 +162,15 @@ def stripe_ranges(
 ) -> DataFrame:
     """Bounding boxes of the large connected regions, grown by ``border`` and cut to the
     image, numbered ``range_id`` by (y, x) from 0. The area is that of the outline through
-    the pixel centres, holes filled: ``N - B / 2 - 1`` with ``B`` outline pixels."""
-    cells = pixel_components(mask, by).withColumnRenamed("label", "region")
+    the pixel centres, holes filled: ``N - B / 2 - 1`` with ``B`` outline pixels. Regions are
+    handled as runs of pixels in image rows, so a thin stripe across the frame costs its runs and not its box."""
     keys = [*by, "region"]
-    full = _filled(cells.select(*keys, "y", "x"), keys)
-    inner = _neighbours(full, keys, ALL_4).groupBy(*keys, F.col("_y0").alias("y"), F.col("_x0").alias("x")).agg(
-        F.count(F.lit(1)).alias("_c")).filter("_c = 4").groupBy(*keys).agg(F.count(F.lit(1)).alias("_inner"))
+    runs = cut_lineage(_labelled(cut_lineage(pixel_runs(mask, by)), by, 1, "region"))
+    full = _filled(runs, keys)
+    inner = _enclosed(full, keys)
     boxes = full.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), *[f(c).alias(f"_{n}{c}") for c in "yx" for n, f in (("l", F.min), ("h", F.max))])
+        F.sum(F.col("x1") - F.col("x0") + 1).alias("_n"), F.min("y").alias("_ly"), F.max("y").alias("_hy"),
+        F.min("x0").alias("_lx"), F.max("x1").alias("_hx"))
     boxes = join_on(boxes, inner, keys, "left")
     outline = F.col("_n") - F.coalesce("_inner", F.lit(0))
     boxes = boxes.withColumn("area", F.greatest(F.lit(0.0), F.col("_n") - outline / 2 - 1)).filter(

@@ -268,10 +268,11 @@ def estimate_spacing(df: DataFrame, by: Sequence[str] = ("cloud_id",)) -> DataFr
 
 
 def _close_leaves(
-    nodes: DataFrame, by: Sequence[str], reach: float, units: bool
+    nodes: DataFrame, by: Sequence[str], reach: float, units: bool, whole: bool = False
 ) -> tuple[DataFrame, DataFrame | None]:
     """Leaf pairs that may hold points within ``reach``. With ``units``, pairs of one unit
-    are dropped, and pairs of two units that are wholly within reach become edges."""
+    are dropped, and pairs of two units that are wholly within reach become edges. With
+    ``whole``, a cell wholly within reach of another is no pair but a row ``(node, near)`` with its number of points."""
     keys = list(by)
     pairs, edges, before = _roots(nodes, keys), None, None
     while True:
@@ -284,6 +285,11 @@ def _close_leaves(
             sure = pairs.filter("_sure").select(*keys, F.col("a.unit").alias("src"), F.col("b.unit").alias("dst"))
             edges = sure if edges is None else edges.unionByName(sure)
             pairs = pairs.filter("NOT _sure").drop("_sure")
+        elif whole:
+            pairs = cut_lineage(pairs.withColumn("_sure", _gap(a, b, True) <= reach * (1 - 1e-12)))
+            sure = pairs.filter("_sure").groupBy(*keys, F.col("a.node").alias("node")).agg(F.sum("b.n").alias("near"))
+            edges = sure if edges is None else edges.unionByName(sure)
+            pairs = pairs.filter("NOT _sure").drop("_sure")
         else:
             pairs = cut_lineage(pairs)
             if before is not None:
@@ -299,7 +305,7 @@ def _leaf_pairs(pairs: DataFrame, placed: DataFrame, by: Sequence[str], reach: f
     keys = list(by)
 
     def side(name: str) -> DataFrame:
-        body = F.struct("id", "unit", "x", "y", "z").alias(f"_{name}p")
+        body = F.struct("id", "m", "unit", "x", "y", "z").alias(f"_{name}p")
         return placed.select(*keys, F.col("node").alias(f"_{name}"), body)
 
     links = pairs.select(*keys, F.col("a.node").alias("_a"), F.col("b.node").alias("_b"))
@@ -325,6 +331,29 @@ def radius_pairs(points: DataFrame, radius: float, by: Sequence[str] = ("cloud_i
         *keys, "point_id", "neighbour_id", "distance")
 
 
+def radius_counts(points: DataFrame, radius: float, by: Sequence[str] = ("cloud_id",)) -> DataFrame:
+    """``(by, point_id, neighbours)``: the points within ``radius`` of each finite point, itself included.
+
+    Cells that lie wholly within reach of each other count as such, copies of a position by their
+    number, so neither dense regions nor copies make a row per pair of points.
+    """
+    keys = list(by)
+    nodes, placed = build_tree(positions(points, keys, 1), keys)
+    nodes, placed = cut_lineage(nodes), cut_lineage(placed)
+    pairs, sure = _close_leaves(nodes, keys, radius, False, whole=True)
+    ups = F.transform(F.sequence(F.lit(0), F.col("_leaf.level")), lambda s: F.struct(
+        (F.col("_leaf.level") - s).alias("level"),
+        *[F.floor(F.col("_leaf")[f"c{a}"] / F.pow(F.lit(2.0), s)).cast("bigint").alias(f"c{a}") for a in "xyz"]))
+    lines = nodes.filter("leaf").select(*keys, F.col("node").alias("_leaf")).withColumn("node", F.explode(ups))
+    given = lines.join(sure, [*keys, "node"]).groupBy(*keys, F.col("_leaf").alias("node")).agg(F.sum("near").alias("_sure"))
+    near = _leaf_pairs(pairs, placed, keys, radius).groupBy(*keys, F.col("_ap.id").alias("id")).agg(
+        F.sum("_bp.m").alias("_near"))
+    spots = placed.join(given, [*keys, "node"], "left").join(near, [*keys, "id"], "left").select(
+        *keys, "x", "y", "z", (F.coalesce("_sure", F.lit(0)) + F.coalesce("_near", F.lit(0))).alias("neighbours"))
+    pts = filter_finite(points).select(*keys, "point_id", *[(F.col(a) + F.lit(0.0)).alias(a) for a in "xyz"])
+    return pts.join(spots, [*keys, "x", "y", "z"]).select(*keys, "point_id", "neighbours")
+
+
 def reach_edges(points: DataFrame, reach: float, by: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Vertices and edges whose components are those of "within ``reach``", without one
     edge per close pair: cells that fit into the reach are single vertices.

@@ -330,6 +330,13 @@ def q_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("cloud_id", "point_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("radius_counts", sql=with_sql("points", body="""
+SELECT a.cloud_id, a.point_id, COUNT(*) AS neighbours FROM points a JOIN points b ON a.cloud_id = b.cloud_id
+AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= 225 GROUP BY 1, 2"""))
+def q_radius_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.radius_counts(recipes.points(spark, sf_dir), 15.0)
+
+
 @query("measure_defects", sql=with_sql("points", body="""
 , far AS (SELECT cloud_id, point_id, x, y, z, z < 5 AS dent FROM points WHERE ABS(z - 5) >= 5)
 , edges AS (SELECT a.cloud_id, a.point_id AS src, b.point_id AS dst FROM far a JOIN far b ON a.cloud_id = b.cloud_id AND a.dent = b.dent

@@ -471,6 +471,54 @@ def test_stripe_ranges_with_hole(spark):
         (0, 1, 0, 14, 12, 63.0), (1, 18, 18, 7, 7, 4.0)]
 
 
+def dense_ranges(cells, min_area):
+    """Areas and boxes of the regions by flooding a picture."""
+    def flood(start, free, steps):
+        seen, todo = {start}, [start]
+        while todo:
+            y, x = todo.pop()
+            for dy, dx in steps:
+                spot = (y + dy, x + dx)
+                if spot in free and spot not in seen:
+                    seen.add(spot)
+                    todo.append(spot)
+        return seen
+
+    four = [(0, 1), (0, -1), (1, 0), (-1, 0)]
+    eight = four + [(1, 1), (1, -1), (-1, 1), (-1, -1)]
+    left, out = set(cells), []
+    while left:
+        region = flood(next(iter(left)), left, eight)
+        left -= region
+        ys, xs = [y for y, _ in region], [x for _, x in region]
+        box = (min(ys), min(xs), max(ys), max(xs))
+        canvas = {(y, x) for y in range(box[0] - 1, box[2] + 2) for x in range(box[1] - 1, box[3] + 2)}
+        full = canvas - flood((box[0] - 1, box[1] - 1), canvas - region, four)
+        edge = sum(any((y + dy, x + dx) not in full for dy, dx in four) for y, x in full)
+        area = max(0.0, len(full) - edge / 2 - 1)
+        if area >= min_area:
+            out.append((*box, area))
+    return sorted(out)
+
+
+def test_stripe_ranges_match_flooding(spark):
+    rng = np.random.default_rng(11)
+    frames = {f: {(int(y), int(x)) for y, x in zip(*np.nonzero(rng.random((18, 22)) < share))}
+              for f, share in enumerate((0.2, 0.45, 0.55, 0.65, 0.8))}
+    frames[5] = {(y, x) for y in range(18) for x in range(y, y + 3)}  # a stripe across the frame
+    rings = [(1, 1, 16, 20), (4, 4, 13, 16), (6, 7, 10, 11)]
+    frames[6] = {(y, x) for a, b, c, d in rings for y in range(a, c + 1) for x in range(b, d + 1) if y in (a, c) or x in (b, d)}
+    frames[7] = frames[6] - {(1, 5)}
+    rows = [(f, y, x) for f, cells in frames.items() for y, x in cells]
+    mask = spark.createDataFrame(rows + rows[:50], "frame_id long, y int, x int")
+    found = {f: [] for f in frames}
+    for r in lines.stripe_ranges(mask, 40, 40, 1.0, 0).collect():
+        found[r.frame_id].append((r.y0, r.x0, r.y0 + r.h - 1, r.x0 + r.w - 1, r.area))
+    for f, cells in frames.items():
+        assert sorted(found[f]) == dense_ranges(cells, 1.0), f
+    assert lines.stripe_ranges(mask.limit(0), 40, 40, 1.0, 0).count() == 0
+
+
 def test_ridge_matches_dense_filters(spark):
     rng = np.random.default_rng(2)
     height, width, stripe, threshold, selection = 24, 40, 3.0, 100, 150

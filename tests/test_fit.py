@@ -127,6 +127,8 @@ def test_neighbours_match_brute_force(clouds):
     close = {}
     for r in neighbours.radius_pairs(df, 0.7).collect():
         close.setdefault((r.cloud_id, r.point_id), set()).add(r.neighbour_id)
+    counts = {reach: {(r.cloud_id, r.point_id): r.neighbours for r in neighbours.radius_counts(df, reach).collect()}
+              for reach in (0.7, 30.0)}
     for name, pts in sets.items():
         wanted, gaps = brute(pts, 5)
         for i, near in wanted.items():
@@ -134,6 +136,8 @@ def test_neighbours_match_brute_force(clouds):
             assert [m[2] for m in mine] == [j for _, j in near]
             assert np.allclose([m[1] for m in mine], [d for d, _ in near])
             assert close[(name, i)] == set(np.flatnonzero(gaps[i] <= 0.7))
+            for reach, told in counts.items():
+                assert told[(name, i)] == (gaps[i] <= reach).sum()
 
 
 def test_outliers_and_spacing(clouds):
